@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from .bpe_tree import op10_byte_bpe
+from .materialise import op6_materialise
+from .packing import op1_packing
 from .simhash import op4_simhash
 
 QUERIES = {
+    "op1_packing": op1_packing,
     "op4_simhash": op4_simhash,
+    "op6_materialise": op6_materialise,
+    "op10_byte_bpe": op10_byte_bpe,
 }
 
 ORACLES: dict[str, str] = {}
