@@ -5,12 +5,16 @@ from __future__ import annotations
 from .bpe_tree import op10_byte_bpe
 from .materialise import op6_materialise
 from .packing import op1_packing
+from .quality import op8_quality
 from .simhash import op4_simhash
+from .toxicity import op2_toxicity
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_toxicity": op2_toxicity,
     "op4_simhash": op4_simhash,
     "op6_materialise": op6_materialise,
+    "op8_quality": op8_quality,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
