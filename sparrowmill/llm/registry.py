@@ -7,13 +7,17 @@ from .materialise import op6_materialise
 from .packing import op1_packing
 from .quality import op8_quality
 from .simhash import op4_simhash
+from .sketches import op7_fingerprints
 from .toxicity import op2_toxicity
+from .urls import op5_url_filters
 
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_toxicity": op2_toxicity,
     "op4_simhash": op4_simhash,
+    "op5_url_filters": op5_url_filters,
     "op6_materialise": op6_materialise,
+    "op7_fingerprints": op7_fingerprints,
     "op8_quality": op8_quality,
     "op10_byte_bpe": op10_byte_bpe,
 }
