@@ -84,3 +84,11 @@ class Stored:
 def stored(df: DataFrame) -> DataFrame:
     """`df`, written to the shared folder and read again."""
     return Stored(df).df
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle files of jobs whose results are stored; nothing refers to them any more."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
