@@ -8,6 +8,7 @@ from .packing import op1_packing
 from .quality import op8_quality
 from .simhash import op4_simhash
 from .sketches import op7_fingerprints
+from .suffixes import op9_suffix_dedup
 from .toxicity import op2_toxicity
 from .urls import op5_url_filters
 
@@ -19,6 +20,7 @@ QUERIES = {
     "op6_materialise": op6_materialise,
     "op7_fingerprints": op7_fingerprints,
     "op8_quality": op8_quality,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
