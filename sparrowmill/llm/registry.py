@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe_tree import op10_byte_bpe
 from .materialise import op6_materialise
 from .packing import op1_packing
+from .passages import op3_passages
 from .quality import op8_quality
 from .simhash import op4_simhash
 from .sketches import op7_fingerprints
@@ -15,6 +16,7 @@ from .urls import op5_url_filters
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_toxicity": op2_toxicity,
+    "op3_passages": op3_passages,
     "op4_simhash": op4_simhash,
     "op5_url_filters": op5_url_filters,
     "op6_materialise": op6_materialise,
