@@ -103,9 +103,76 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return fps.join(named, "fp").select("id", "fp", "component_id")
 
 
-def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of `df` with one of each group: the one with the least id (of rows that share that id, all: they are one document)."""
-    kept = near_duplicates(df, id_col, text_col, **options).where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("_kept")).distinct()
+def _shingle_sets(column: pa.Array, width: int, seed: int = 42) -> list[bytes]:
+    """The sorted distinct shingle hashes of each text."""
+    w = Words(column, lower=True)
+    doc, start, length = w.shingles(width)
+    h = xxh64(w.joined, start, length, seed)
+    cut = np.searchsorted(doc, np.arange(w.rows + 1))
+    return [np.unique(h[a:z]).tobytes() for a, z in zip(cut, cut[1:])]
+
+
+def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The (a, b) of `pairs` whose texts' shingle sets have a Jaccard coefficient of `similarity` or more. `texts` (t, text) may repeat a t."""
+    pairs = Stored(pairs).df
+    wanted = pairs.select(F.col("a").alias("t")).union(pairs.select("b")).distinct()
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                yield pa.record_batch({"t": part.column("t"), "s": pa.array(_shingle_sets(part.column("text"), width), pa.binary())})
+
+    known = Stored(texts.join(wanted, "t").mapInArrow(sets, "t long, s binary")).df.dropDuplicates(["t"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    joined = pairs.join(known.toDF("a", "x"), "a").join(known.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    return joined.mapInArrow(compare, "a long, b long")
+
+
+def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, max_distance: int = 7, seeds: tuple[int, ...] = (42, 43, 44, 45)) -> DataFrame:
+    """(id, component_id): near duplicates by `seeds` fingerprints of `width`-word shingles and an exact check of the sets.
+
+    A link is two texts within `max_distance` bits in any of the fingerprints whose shingle sets have a Jaccard
+    coefficient of `similarity` or more, or one fingerprint. Equal texts are one node, so copies never meet in pairs.
+    """
+    keyed = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("t", F.xxhash64("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                fps = {f"f{i}": pa.array(simhash(part.column("text"), width, s).view(np.int64)) for i, s in enumerate(seeds)}
+                yield pa.record_batch({"id": part.column("id"), "t": part.column("t")} | fps)
+
+    names = [f"f{i}" for i in range(len(seeds))]
+    kind = df.schema[id_col].dataType.simpleString()
+    rows = Stored(keyed.select("id", "t", "text").mapInArrow(run, f"id {kind}, t long, " + ", ".join(f"{n} long" for n in names))).df
+    nodes = Stored(rows.groupBy("t").agg(F.min("id").alias("least"), *(F.first(n).alias(n) for n in names))).df
+    pairs = same = None
+    for n in names:
+        of = nodes.groupBy(F.col(n).alias("fp")).agg(F.min("t").alias("node"))
+        one = nodes.join(of, F.col(n) == F.col("fp")).where("t <> node").select(F.col("node").alias("a"), F.col("t").alias("b"))
+        found = Stored(links(of.select("fp"), max_distance)).df
+        found = found.join(of.toDF("a", "x"), "a").join(of.toDF("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        pairs = found if pairs is None else pairs.union(found)
+        same = one if same is None else same.union(one)
+    ok = verified(pairs.distinct(), keyed.select("t", "text"), width, similarity)
+    roots = components(ok.union(same))
+    grouped = nodes.join(roots, nodes.t == roots.node, "left").select("t", "least", F.coalesce("root", "t").alias("root"))
+    named = grouped.join(grouped.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("t", "component_id")
+    return rows.select("id", "t").join(named, "t").select("id", "component_id")
+
+
+def deduplicate(df: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of `df` with one id of each of `groups` (id, component_id): the least. Rows that share an id are one document; null ids go with a group that has another."""
+    kept = groups.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("_kept")).distinct()
     return df.join(kept, F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi")
 
 

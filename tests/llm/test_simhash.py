@@ -5,7 +5,7 @@ import pytest
 import xxhash
 
 from sparrowmill.llm.components import components
-from sparrowmill.llm.simhash import deduplicate, links, near_duplicates, op4_simhash
+from sparrowmill.llm.simhash import deduplicate, links, near_duplicates, op4_simhash, similar
 
 SF = "/root/testdata/sf0.001"
 
@@ -71,7 +71,19 @@ def test_odd_inputs(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, fp string")
     got = sorted(((r.id, r.component_id) for r in near_duplicates(df).collect()), key=str)
     assert got == sorted([(1, 1), (2, 1), (3, 1), (4, 4), (4, 4), (None, 4), (5, 5)], key=str)
-    kept = deduplicate(df)
+    kept = deduplicate(df, near_duplicates(df))
     assert kept.columns == df.columns
     assert sorted(r.doc_id for r in kept.collect()) == [1, 4, 4, 5]
     assert near_duplicates(df.limit(0)).count() == 0
+
+
+def test_similar_verifies_and_groups(spark):
+    rng = np.random.default_rng(4)
+    word = lambda n: [f"w{i}" for i in rng.integers(0, 9000, n)]
+    base = word(400)
+    rows = [(1, base), (2, base), (3, base[:200] + ["new"] + base[201:]), (4, base[:60] + word(340)), (5, word(400)), (6, [])]
+    df = spark.createDataFrame([(i, " ".join(w), "x") for i, w in rows] + [(7, None, "x")], "doc_id long, text string, t string")
+    got = {r.id: r.component_id for r in similar(df).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 6, 7: 6}
+    assert sorted(r.doc_id for r in deduplicate(df, similar(df)).collect()) == [1, 4, 5, 6]
+    assert similar(df.limit(0)).count() == 0
