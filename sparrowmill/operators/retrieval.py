@@ -12,6 +12,10 @@ def scored(qrels: DataFrame, queries: DataFrame) -> DataFrame:
     return pos.select("qid", "id").distinct().join(queries.select("qid").distinct(), "qid", "left_semi")
 
 
+def _within(n: int):
+    return lambda r: r <= n
+
+
 def per_query(ranked: DataFrame, qrels: DataFrame, k: int = 10, deep: int = 100) -> DataFrame:
     """(qid, n_rel, ndcg, mrr, map, and accuracy, precision, recall at 1, 3, 5, 10) for every query with a positive; one without a hit scores 0."""
     rel = qrels.groupBy("qid").agg(F.count("*").alias("n_rel"))
@@ -23,7 +27,7 @@ def per_query(ranked: DataFrame, qrels: DataFrame, k: int = 10, deep: int = 100)
     ap = F.aggregate(F.transform("at", lambda r, i: (i + 1) / r), F.lit(0.0), lambda s, p: s + p) / F.least("n_rel", F.lit(deep))
     cols = [(dcg / ideal).alias("ndcg"), F.when(F.size(top) > 0, 1 / F.element_at("at", 1)).otherwise(0.0).alias("mrr"), ap.alias("map")]
     for n in (1, 3, 5, 10):
-        found = F.size(F.filter("at", lambda r, n=n: r <= n))
+        found = F.size(F.filter("at", _within(n)))
         cols += [(found > 0).cast("double").alias(f"accuracy_{n}"), (found / n).alias(f"precision_{n}"), (found / F.col("n_rel")).alias(f"recall_{n}")]
     return x.select("qid", "n_rel", *cols)
 
