@@ -43,14 +43,23 @@ def token_ids(df: DataFrame, vocab: DataFrame, text_col: str, out: str = "ids")
         raise ValueError("the vocabulary is too large to broadcast")
     shared = df.sparkSession.sparkContext.broadcast({r.token: r.token_id for r in rows})
 
-    @F.pandas_udf("array<int>")
-    def encode(x):
+    @F.arrow_udf("array<int>")
+    def encode(x: pa.Array) -> pa.Array:
+        """Each different word of a batch is looked up once."""
         known = shared.value
-        return x.map(lambda t: np.fromiter((known.get(w, 0) for w in t), np.int32, len(t)))
+        d = x.flatten().dictionary_encode()
+        ids = np.array([known.get(w, 0) for w in d.dictionary.to_pylist()] or [0], np.int32)
+        return pa.ListArray.from_arrays(_starts(x), pa.array(ids[d.indices.to_numpy()] if len(d) else np.zeros(0, np.int32)))
 
     return df.withColumn(out, encode(words(F.col(text_col))))
 
 
+def _starts(x: pa.Array) -> pa.Array:
+    """Where each list of a column begins among its values, and the end; a null list is empty."""
+    n = x.value_lengths().fill_null(0).to_numpy()
+    return pa.array(np.append(0, np.cumsum(n)).astype(np.int32))
+
+
 def collect_weights(w: DataFrame) -> np.ndarray:
     """The table as a matrix by token id; every id from 0 must be there."""
     n = w.limit(MOST_TOKENS + 1).count()
@@ -72,25 +81,24 @@ def pool(df: DataFrame, weights: np.ndarray, ids_col: str = "ids", out: str = "e
         weights[[i for i in ignored if i < len(weights)]] = 0
     shared = df.sparkSession.sparkContext.broadcast(weights)
 
-    @F.pandas_udf("array<double>")
-    def mean(x):
+    @F.arrow_udf("array<double>")
+    def mean(x: pa.Array) -> pa.Array:
         w = shared.value
-        n = np.array([0 if r is None else len(r) for r in x], np.int64)
-        flat = np.concatenate([r for r in x if r is not None and len(r)] or [np.zeros(0, np.int64)])
+        start = _starts(x).to_numpy().astype(np.int64)
+        flat, n = x.flatten().to_numpy(zero_copy_only=False), np.diff(start)
         if len(flat) and (flat.max() >= len(w) or flat.min() < 0):
             raise ValueError("a token id is beyond the weight table")
         out = np.zeros((len(n), w.shape[1]))
         some = np.flatnonzero(n)
-        for at in range(0, len(some), 256):  # bounds what is gathered at once
-            k = some[at : at + 256]
-            lo, hi = n[: k[0]].sum(), n[: k[-1] + 1].sum()
-            first = np.cumsum(n[k]) - n[k]
-            out[k] = np.add.reduceat(w[flat[lo:hi]], first, axis=0)
-            if divide:
-                out[k] /= n[k][:, None]
-        import pandas as pd
-
-        return pd.Series(list(out))
+        at = 0
+        while at < len(some):  # bounds what is gathered at once
+            end = max(at + 1, int(np.searchsorted(start[some + 1] - start[some[at]], 1 << 16, side="right")))
+            k = some[at:end]
+            out[k] = np.add.reduceat(w[flat[start[k[0]] : start[k[-1] + 1]]], start[k] - start[k[0]], axis=0)
+            at = end
+        if divide:
+            out[some] /= n[some][:, None]
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * w.shape[1]), pa.array(out.ravel()))
 
     return df.withColumn(out, mean(F.col(ids_col)))
 
@@ -131,6 +139,32 @@ def wordpiece(df: DataFrame, path: str, text_col: str = "text", out: str = "ids"
     return df.withColumn(out, encode(F.col(text_col)))
 
 
+def similarities(corpus: DataFrame, queries: DataFrame, id_col: str = "id", query_col: str = "qid", vec: str = "embedding", tag: str = "label") -> DataFrame:
+    """(qid, id, same, score): the cosine of each of a stated set of queries with every row, and whether their tags are equal; by blocks of queries."""
+    rows = queries.select(query_col, vec, tag).collect()
+    if sum(len(r[1]) * 8 for r in rows) > MOST_BYTES:
+        raise ValueError("the query set is too large to broadcast; split it")
+    m = np.array([r[1] for r in rows], np.float64) if rows else np.zeros((0, 1))
+    length = np.sqrt((m * m).sum(1, keepdims=True))
+    shared = corpus.sparkSession.sparkContext.broadcast((np.array([r[0] for r in rows], np.int64), m / np.where(length == 0, 1, length), np.array([r[2] for r in rows])))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, m, tags = shared.value
+        for batch in batches:
+            if not batch.num_rows or not len(ids):
+                continue
+            own, mark = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
+            v = np.array(batch.column(1).to_pylist(), np.float64)
+            n = np.sqrt((v * v).sum(1, keepdims=True))
+            v = v / np.where(n == 0, 1, n)
+            for at in range(0, len(ids), 64):
+                q = ids[at : at + 64]
+                s = m[at : at + 64] @ v.T
+                yield pa.record_batch({"qid": pa.array(np.repeat(q, len(own))), "id": pa.array(np.tile(own, len(q))), "same": pa.array((tags[at : at + 64][:, None] == mark[None, :]).ravel()), "score": pa.array(s.ravel())})
+
+    return corpus.select(F.col(id_col).cast("bigint"), vec, tag).mapInArrow(run, "qid bigint, id bigint, same boolean, score double")
+
+
 def nearest(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "id", query_col: str = "qid", vec: str = "embedding", exclude_same: bool = False) -> DataFrame:
     """(qid, id, score, rank): the k corpus rows of greatest cosine for each query, ties by id.
 

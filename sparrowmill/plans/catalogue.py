@@ -387,12 +387,12 @@ el AS (SELECT query_id, positive, id, score, row_number() OVER (PARTITION BY que
 
 def _scores(spark, sf):
     """(query_id, document_ids, scores) of a stated set of queries (every twentieth vector) against all vectors, the nearest of the same label first."""
-    e = table(spark, sf, "embeddings")
-    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql"), F.col("embedding").alias("qv"))
-    s = e.join(F.broadcast(q), F.col("vec_id") != F.col("query_id")).select("query_id", (F.col("ql") == F.col("label")).alias("pos"), F.col("vec_id").alias("id"), F.round(V.cosine(F.col("qv"), F.col("embedding")), 6).alias("score"))
-    best = s.where("pos").groupBy("query_id").agg(F.max(F.struct("score", (-F.col("id")).alias("n"))).alias("b")).select("query_id", (-F.col("b.n")).alias("positive"))
-    s = s.join(F.broadcast(best), "query_id").groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct((F.col("id") != F.col("positive")).alias("o"), "id", "score"))).alias("a"))
-    return s.select("query_id", F.transform("a", lambda x: x["id"]).alias("document_ids"), F.transform("a", lambda x: x["score"]).alias("scores"))
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
+    q = e.where("id % 20 = 0").withColumnRenamed("id", "qid")
+    s = embed.similarities(e, q).where("id <> qid").select(F.col("qid").alias("query_id"), "id", "same", F.round("score", 6).alias("score"))
+    # Within a query: the nearest of the same label, then all others.
+    a = s.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct((~F.col("same")).alias("o"), (-F.col("score")).alias("n"), "id", "score"))).alias("a"))
+    return a.select("query_id", F.transform("a", lambda x: x["id"]).alias("document_ids"), F.transform("a", lambda x: x["score"]).alias("scores"))
 
 
 @query(f"WITH {SQL_SCORES} SELECT query_id, positive, n_eligible, string_agg(id::VARCHAR, ',' ORDER BY k) AS negatives FROM el WHERE n_eligible >= 50 AND k <= 50 GROUP BY query_id, positive, n_eligible")
