@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import embed, quantize, retrieval, schedule, split
+from ..operators import embed, quantize, retrieval, schedule, split, sweep
 from ..session import stored, table
 
 QUERIES: dict = {}
@@ -633,3 +633,57 @@ def artifact_validate(spark, sf):
     base = {"bits": "4", "axis": "row", "dim": "64", "vocab_size": "500", "variant": "int4-row-64", "tokenizer": "words"}
     rows = [("good", base, 500, 32, 500), ("bad_axis", base | {"axis": "col"}, 500, 32, 500), ("int2_dim", base | {"bits": "2", "axis": "dim"}, 500, 16, 64)]
     return quantize.artifact_errors(spark.createDataFrame(rows, "artifact string, metadata map<string,string>, n_rows bigint, row_bytes bigint, n_scales bigint"))
+
+
+# Sweeps, streams and library tokenizers --------------------------------------------------------------------------
+
+
+@query("""SELECT b.bits, CASE WHEN b.bits = 32 THEN NULL ELSE a.axis END AS axis, d.dim, CASE WHEN b.bits = 32 THEN 'fp32' ELSE 'int' || b.bits || '_' || a.axis END AS name
+FROM (VALUES (1024), (512), (256), (128), (64), (32)) d(dim), (VALUES (32), (8), (4), (3), (2)) b(bits), (VALUES ('dim'), ('row'), ('hybrid')) a(axis) WHERE b.bits < 32 OR a.axis = 'dim'""")
+def sweep_grid(spark, sf):
+    return sweep.grid(spark, sweep.cells())
+
+
+_CELLS = ((8, "dim", 64), (4, "row", 64), (4, "dim", 32), (2, "row", 32))
+
+
+def _sql_cell(bits: int, axis: str, dim: int) -> str:
+    codes = _sql_codes(bits, axis).replace(SQL_E, f"e AS (SELECT * FROM (SELECT vec_id AS token_id, unnest(embedding)::FLOAT AS x, generate_subscripts(embedding, 1) - 1 AS d FROM embeddings) WHERE d < {dim})")
+    w = "w AS (SELECT token_id AS t, (code * scale)::FLOAT::DOUBLE AS x, d + 1 AS d FROM cd)"
+    search = f"WITH {SQL_VOCAB}, {codes}, {w}, {SQL_UNIT.format(p='', dim=dim)}, {SQL_UNIT.format(p='q', dim=dim)}, {SQL_RANKED}"
+    return (
+        f"SELECT {bits} AS bits, '{axis}' AS axis, {dim} AS dim, round(avg(coalesce(dcg, 0) / (SELECT sum(1 / log2(i + 1)) FROM range(1, least(n_rel, 10) + 1) r(i))), 6) AS ndcg10 FROM ("
+        f"{search} SELECT n_rel, dcg FROM rel LEFT JOIN (SELECT qid, sum(1 / log2(rank + 1)) AS dcg FROM ranked JOIN qrels USING (qid, id) WHERE rank <= 10 GROUP BY qid) USING (qid)) s"
+    )
+
+
+@query(" UNION ALL ".join(_sql_cell(*c) for c in _CELLS))
+def quant_sweep(spark, sf):
+    c = stored(encoded(spark, sf).where(F.size("ids") > 0))
+    q = stored(encoded(spark, sf, "benchmark", "item_id").where(F.size("ids") > 0)).withColumnRenamed("id", "qid")
+    return sweep.evaluate(weights(spark, sf), c, q, stored(relevance(spark, sf)), list(_CELLS))
+
+
+@query()
+def wordpiece_encode(spark, sf):
+    """Ids of a tokenizer file, if one is installed; no SQL has its merges."""
+    import public_tokenizers as P
+
+    x = embed.wordpiece(table(spark, sf, "documents").select("doc_id", "text"), P.path("word_bpe_49k.json"))
+    return x.select("doc_id", F.size("ids").alias("n_tokens"))
+
+
+@query()
+def stream_incremental(spark, sf):
+    """All documents through a stream that runs what is there and stops; the result is what was appended."""
+    import uuid
+
+    from ..session import shared_dir
+    from ..streaming.incremental import tokenized_stream
+
+    out = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    docs = table(spark, sf, "documents")
+    vocab = embed.vocabulary(docs, "text", weights(spark, sf).count())
+    # A pattern, as a stream's path must be a folder or a pattern and the table may be one file.
+    tokenized_stream(spark, f"{sf}/documents.parque[t]", docs.schema, vocab, f"{out}/rows", f"{out}/checkpoint")
+    return spark.read.parquet(f"{out}/rows").select("doc_id", "source", F.size("ids").alias("n_tokens"))
