@@ -1,14 +1,14 @@
 """Toxicity by the nearest labelled examples.
 
 fit() takes a bounded sample of labelled rows (`per_class` of each label, the least hashes of their ids), picks the
-words, prefixes and suffixes whose association with the label is significant, and indexes the examples' TF-IDF
+words, prefixes and suffixes whose association with the label is significant and strong, and indexes the examples' TF-IDF
 vectors over them: postings in blocks of examples, with each term's greatest weight in each block. score() finds the
 exact `k` nearest by cosine for every row: blocks go by their upper bound until none can beat the k-th, and the
 neighbours' distance-weighted votes, each class weighted back to its share among all labels, give the score.
 
 Only the fit is bounded; every row is scored over its whole text. Defined cases: a null or empty text, and one with
 none of the terms, has no neighbour and gets the (weighted, smoothed) share of toxic examples without any term;
-rows with a null label or id don't train; repeated labels of an id count once, toxic if any is.
+rows with a null label or id don't train, copies of a text train once; repeated labels of an id count once, toxic if any is.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ from .textnum import Words, slices
 
 _EDGE = re.compile(r"^\W+|\W+$")
 BLOCK = 64
+LIFT = 3.0
 
 
 def features(word: str) -> set[str]:
@@ -112,7 +113,7 @@ class Model:
         if not len(term):
             return self.rest, []
         ids, sims = self.nearest(term, value, k)
-        vote = self.weight[ids] / (1.05 - np.minimum(sims, 1.0))
+        vote = self.weight[ids] * 4 * sims**2 / (1.05 - np.minimum(sims, 1.0))  # far neighbours leave it to the prior
         s = ((vote * self.toxic[ids]).sum() + self.prior) / (vote.sum() + 1.0)
         return float(s), [(self.ids[i], float(x), int(self.toxic[i])) for i, x in zip(ids[:3], sims[:3])]
 
@@ -128,7 +129,10 @@ def _significant(counts: DataFrame, n: np.ndarray, most: int, least: int = 4) ->
 
     row = a + b
     g2 = 2 * (part(a, row, F.lit(pos)) + part(b, row, F.lit(total - pos)) + part(pos - a, total - row, F.lit(pos)) + part(total - pos - b, total - row, F.lit(total - pos)))
-    return [r.feature for r in tried.withColumn("g2", g2).where(F.col("g2") >= 2 * np.log(m) + 8).orderBy(F.desc("g2"), "feature").limit(most).collect()]
+    # A term must also be LIFT times likelier in one class: long texts have more of every common word.
+    toxic, clean = (a + 0.5) / (pos + 1), (b + 0.5) / (total - pos + 1)
+    apart = (toxic >= LIFT * clean) | (clean >= LIFT * toxic)
+    return [r.feature for r in tried.withColumn("g2", g2).where(apart & (F.col("g2") >= 2 * np.log(m) + 8)).orderBy(F.desc("g2"), "feature").limit(most).collect()]
 
 
 def fit(labelled: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 4096, most_terms: int = 2048) -> Model:
@@ -141,6 +145,8 @@ def fit(labelled: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col:
         x = once.where(F.col("label") == label).orderBy(F.xxhash64("id"), "id").limit(per_class)
         picked = x if picked is None else picked.union(x)
     sample = Stored(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).join(F.broadcast(picked), "id")).df
+    # Copies would make a text's rare words look frequent: each text counts once in a class.
+    sample = Stored(sample.dropDuplicates(["t", "label"])).df
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of: dict[str, list[int]] = {}

@@ -89,7 +89,7 @@ def test_nearest_is_exact(spark):
 
 
 def test_toxicity_odd_rows(spark):
-    docs = spark.createDataFrame([(i, "vile words here" if i % 4 == 0 else "kind words here", "x") for i in range(200)] + [(None, None, "x"), (900, "", "x"), (901, "vile " * 60_000, "x")], "doc_id long, text string, score string")
+    docs = spark.createDataFrame([(i, f"vile words here {i}" if i % 4 == 0 else f"kind words here {i}", "x") for i in range(200)] + [(None, None, "x"), (900, "", "x"), (901, "vile " * 60_000, "x")], "doc_id long, text string, score string")
     labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)] + [(0, 0), (None, 1), (5, None)], "doc_id long, toxic int")
     m = toxicity.fit(labels, docs)
     got = {r.id: r.predicted for r in toxicity.score(docs, m).collect()}
