@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import Stored
+from ..session import Stored, release
 
 #: Cells in a third of the fingerprint (a power of two).
 THIRD = 16
@@ -41,41 +41,27 @@ def cells(digests: str) -> str:
 
 def as_text(cells_: str) -> str:
     """SQL: cells as lowercase hexadecimal: 4 digits of count, 16 of digests, 8 of checks for each."""
-    return f"lower(array_join(transform({cells_}, c -> concat(lpad(hex(c.n), 4, '0'), lpad(hex(c.k), 16, '0'), lpad(hex(c.c), 8, '0'))), ''))"
+    return f"lower(array_join(transform({cells_}, c -> concat(lpad(hex(c.n & 65535), 4, '0'), lpad(hex(c.k), 16, '0'), lpad(hex(c.c), 8, '0'))), ''))"
 
 
-def peeled(a: str, b: str, rounds: int = 12) -> str:
-    """SQL: how many digests peeling recovers from the cells `a` minus the cells `b`, or -1 if cells are left."""
-    start = f"zip_with({a}, {b}, (x, y) -> named_struct('n', x.n - y.n, 'k', x.k ^ y.k, 'c', x.c ^ y.c))"
-    pure = "array_distinct(transform(filter(s.cells, x -> abs(x.n) = 1 AND x.c = (xxhash64(x.k) & 4294967295)), x -> named_struct('n', x.n, 'k', x.k)))"
-    here = f"(shiftrightunsigned(p.k, 20 * (i div {THIRD})) & {THIRD - 1}) = i % {THIRD}"
-    take = f"transform(s.cells, (x, i) -> aggregate(s.pure, x, (y, p) -> IF({here}, named_struct('n', y.n - p.n, 'k', y.k ^ p.k, 'c', y.c ^ (xxhash64(p.k) & 4294967295)), y)))"
-    # Each step takes the pure digests of the one before out of the cells and looks for new ones.
-    none = "CAST(array() AS array<struct<n:int,k:bigint>>)"
-    step = f"transform(array(s), s -> named_struct('cells', IF(size(s.pure) = 0, s.cells, {take}), 'pure', s.pure, 'found', s.found + size(s.pure)))[0]"
-    look = f"transform(array({step}), s -> named_struct('cells', s.cells, 'pure', {pure}, 'found', s.found))[0]"
-    end = "IF(exists(s.cells, x -> x.n <> 0 OR x.k <> 0), -1, s.found)"
-    return f"aggregate(sequence(1, {rounds}), named_struct('cells', {start}, 'pure', {none}, 'found', 0), (s, r) -> {look}, s -> {end})"
-
-
-def _compare(df: DataFrame) -> DataFrame:
-    """`df` (t, digests, next_t, next_digests, ...) with the edited text's digests and what both sketches of the text give."""
+def _edited(df: DataFrame) -> DataFrame:
+    """`df` (t, digests, next_t, ...) with n_chars, edited_sha256 and the edited text's digests."""
     q = "CAST(floor(char_length(t) / 4) AS int)"
     edited = df.withColumn("n_chars", F.expr("CAST(char_length(t) AS bigint)")).withColumn("edited", F.expr(f"concat(substring(t, 1, char_length(t) - {q}), substring(next_t, 1, {q}))"))
-    out = edited.withColumn("edited_sha256", F.expr("sha2(edited, 256)")).withColumn("edited_digests", F.expr(paragraphs("edited")))
-    return out.withColumn("cells", F.expr(cells("digests"))).withColumn("edited_cells", F.expr(cells("edited_digests")))
+    return edited.withColumn("edited_sha256", F.expr("sha2(edited, 256)")).withColumn("edited_digests", F.expr(paragraphs("edited")))
 
 
 def _differences(pairs: DataFrame) -> DataFrame:
     """(chunk, place, kind, differ) for `pairs` (chunk, place, kind, a, b: arrays of digests): the number of digests on one side only, by peeling.
 
-    A pair's first sketch has cells for all its digests. All rounds of a size work within the pair's partition: a pure
+    Versions of a text (kind 0) begin with sketches of the fingerprint's size, other pairs (1) with cells for all their
+    digests. All rounds of a size work within the pair's partition: a pure
     cell of the third in turn is replaced by its digest taken out of the two other thirds.
     """
-    todo = pairs.withColumn("third", F.expr("CAST(pow(2, ceil(log2(greatest(0.55 * (size(a) + size(b)), 8)))) AS bigint)"))
+    fit = "CAST(pow(2, ceil(log2(greatest(0.55 * (size(a) + size(b)), 8)))) AS bigint)"
+    todo = pairs.withColumn("third", F.expr(f"IF(kind = 0, {THIRD}L, {fit})"))
     done = None
     for _ in range(DOUBLINGS):
-        todo = Stored(todo).df
         signed = "concat(transform(a, k -> named_struct('n', 1, 'k', k)), transform(b, k -> named_struct('n', -1, 'k', k)))"
         at = "named_struct('n', n, 'k', k, 'c', xxhash64(k), 'cell', {j} * third + (shiftrightunsigned(k, 20 * {j}) & (third - 1)))"
         key = ["chunk", "place", "kind", "third"]
@@ -99,7 +85,7 @@ def _differences(pairs: DataFrame) -> DataFrame:
         failed = tried.where("cell >= 0").select("chunk", "place", "kind")
         if failed.isEmpty():
             return done
-        todo = todo.join(failed, ["chunk", "place", "kind"], "left_semi").withColumn("third", F.col("third") * 2)
+        todo = Stored(todo.join(failed, ["chunk", "place", "kind"], "left_semi").withColumn("third", F.col("third") * 2)).df
     # Digests that share all cells at every size: as good as never, and then counted directly.
     return done.union(todo.select("chunk", "place", "kind", F.expr("CAST(size(array_except(a, b)) + size(array_except(b, a)) AS bigint)")))
 
@@ -116,14 +102,14 @@ def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Ids are integers. The text is shuffled once, by chunk; only the first and last rows of chunks meet again.
     """
     t = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t")).withColumn("digests", F.expr(paragraphs("t")))
-    t = t.withColumn("chunk", F.coalesce(F.floor(F.col("id") / 1024), F.lit(-(1 << 62))))
+    t = t.withColumn("chunk", F.coalesce(F.shiftright(F.col("id").cast("bigint"), 10), F.lit(-(1 << 62))))
     w = W.partitionBy("chunk").orderBy(F.col("id").asc_nulls_first(), "t")
     return t.select("*", F.row_number().over(w).alias("place"), F.lead("t").over(w).alias("next_t"), F.lead("digests").over(w).alias("next_digests"))
 
 
 def _next_chunk(chunks: DataFrame) -> DataFrame:
     """(chunk, after): the following chunk, after the last the first. Windows over groups of 1,024 chunks, then over the groups' first ones."""
-    c = chunks.withColumn("group", F.floor(F.col("chunk") / 1024))
+    c = chunks.withColumn("group", F.shiftright("chunk", 10))
     inner = c.withColumn("after", F.lead("chunk").over(W.partitionBy("group").orderBy("chunk")))
     top = c.groupBy("group").agg(F.min("chunk").alias("low"))
     every = W.orderBy("group")  # a row for each million ids
@@ -133,27 +119,50 @@ def _next_chunk(chunks: DataFrame) -> DataFrame:
 
 def versions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for each row, see op7's contract."""
-    kept = ["id", "chunk", "place", "n_chars", "edited_sha256", "digests", "edited_digests", "next_digests", "cells", "edited_cells"]
+    spark = df.sparkSession
+    key = ["chunk", "place"]
+    kept = ["id", *key, "n_chars", "edited_sha256", "digests", "edited_digests", "next_digests"]
     both = with_next(df, id_col, text_col)
     # Rows with a successor in their chunk are done at once; of a chunk's first and last rows the text is kept.
     edge = F.when((F.col("place") == 1) | F.col("next_t").isNull(), F.col("t")).alias("edge")
-    inside = Stored(_compare(both).select(*kept, edge, F.col("next_t").isNull().alias("last"))).df
+    inside = Stored(_edited(both).select(*kept, edge, F.col("next_t").isNull().alias("last"))).df
+    release(spark)
     after = _next_chunk(inside.select("chunk").distinct())
     firsts = inside.where("place = 1").select(F.col("chunk").alias("after"), F.col("edge").alias("next_t"), F.col("digests").alias("next_digests"))
-    lasts = inside.where("last").select("id", "chunk", "place", F.col("edge").alias("t"), "digests").join(after, "chunk").join(firsts, "after")
-    rows = inside.where("NOT last").select(*kept).union(_compare(lasts).select(*kept))
-    rows = Stored(rows.withColumn("found", F.expr(peeled("cells", "edited_cells"))).withColumn("fingerprint", F.expr(as_text("cells"))).withColumn("edited_fingerprint", F.expr(as_text("edited_cells"))).drop("cells", "edited_cells")).df
-    key = ["chunk", "place"]
-    pairs = rows.where("found < 0").select(*key, F.lit(0).alias("kind"), F.col("digests").alias("a"), F.col("edited_digests").alias("b")).union(rows.select(*key, F.lit(1), "digests", "next_digests"))
+    lasts = inside.where("last").select("id", *key, F.col("edge").alias("t"), "digests").join(after, "chunk").join(firsts, "after")
+    rows = inside.where("NOT last").select(*kept).union(Stored(_edited(lasts).select(*kept)).df)
+    pairs = rows.select(*key, F.lit(0).alias("kind"), F.col("digests").alias("a"), F.col("edited_digests").alias("b")).union(rows.select(*key, F.lit(1), "digests", "next_digests"))
     differ = _differences(pairs).groupBy(*key).agg(F.max(F.when(F.col("kind") == 0, F.col("differ"))).alias("edited_differ"), F.max(F.when(F.col("kind") == 1, F.col("differ"))).alias("next_differ"))
+    differ = Stored(differ).df
+    release(spark)
 
-    def likeness(a: str, b: str, d):
-        n = F.size(a) + F.size(b)
+    def likeness(n, d):
         return F.when(n == 0, 1.0).otherwise((n - d) / (n + d))
 
-    joined = rows.join(differ, key)
-    changed = F.when(F.col("found") >= 0, F.col("found")).otherwise(F.col("edited_differ"))
-    return joined.select("id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness("digests", "edited_digests", changed).alias("near_edited"), likeness("digests", "next_digests", F.col("next_differ")).alias("near_next"))
+    sizes = [F.size(c).alias(f"n_{c}") for c in ("digests", "edited_digests", "next_digests")]
+    joined = rows.select("id", *key, "n_chars", "edited_sha256", *sizes).join(differ, key).join(_texts(rows), key)
+    return joined.select(
+        "id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+        likeness(F.col("n_digests") + F.col("n_edited_digests"), F.col("edited_differ")).alias("near_edited"), likeness(F.col("n_digests") + F.col("n_next_digests"), F.col("next_differ")).alias("near_next"),
+    )
+
+
+def _texts(rows: DataFrame) -> DataFrame:
+    """(chunk, place, fingerprint, edited_fingerprint): what as_text(cells()) gives, by aggregation within a row's partition."""
+    key = ["chunk", "place"]
+    zero = f"transform(sequence(0, {3 * THIRD - 1}), i -> named_struct('cell', i, 'n', 0, 'k', 0L))"
+
+    def spread(role: int, digests: str) -> str:
+        at = ", ".join(f"transform({digests}, k -> named_struct('cell', {j * THIRD} + CAST(shiftrightunsigned(k, {20 * j}) & {THIRD - 1} AS int), 'n', 1, 'k', k))" for j in range(3))
+        return f"named_struct('role', {role}, 'cells', concat({zero}, {at}))"
+
+    x = rows.select(*key, "digests", "edited_digests").repartition(*key)
+    x = x.select(*key, F.explode(F.expr(f"array({spread(0, 'digests')}, {spread(1, 'edited_digests')})")).alias("r")).select(*key, "r.role", F.explode("r.cells").alias("c")).select(*key, "role", "c.*")
+    x = x.groupBy(*key, "role", "cell").agg(F.sum("n").alias("n"), F.bit_xor("k").alias("k"), F.bit_xor(F.expr("IF(n = 0, 0L, xxhash64(k) & 4294967295)")).alias("c"))
+    text = F.expr("lower(concat(lpad(hex(n & 65535), 4, '0'), lpad(hex(k), 16, '0'), lpad(hex(c), 8, '0')))")
+    all_ = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cell", text.alias("t")))), lambda c: c["t"]), "")
+    x = x.groupBy(*key, "role").agg(all_.alias("t"))
+    return x.groupBy(*key).agg(F.max(F.when(F.col("role") == 0, F.col("t"))).alias("fingerprint"), F.max(F.when(F.col("role") == 1, F.col("t"))).alias("edited_fingerprint"))
 
 
 def op7_fingerprints(spark, sf_dir: str) -> DataFrame:

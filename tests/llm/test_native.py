@@ -95,6 +95,8 @@ def test_op7_matches_brute_force(spark):
     got = {r.doc_id: r for r in sketches.op7_fingerprints(spark, SF).collect()}
     assert got.keys() == {i for i, _ in rows}
     check_versions(rows, got)
+    alone = {r.id: r.fingerprint for r in sketches.fingerprints(spark.read.parquet(f"{SF}/documents.parquet")).collect()}
+    assert alone == {i: r.fingerprint for i, r in got.items()}
     by_text = {}
     for i, t in rows:
         assert by_text.setdefault(t, got[i].fingerprint) == got[i].fingerprint
