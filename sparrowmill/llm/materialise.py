@@ -30,6 +30,8 @@ from .tokens import byte_bpe
 MAGIC = b"SPMILL01"
 HEADER = 32
 PAD = 0xFFFF
+#: Bytes that a task gathers before it bundles them by shard.
+BUNDLE = 64 << 20
 
 
 def feistel(x: np.ndarray, n: int, key: int, rounds: int = 6) -> np.ndarray:
@@ -97,40 +99,72 @@ def write_shards(placed: DataFrame, total: int, out_dir: str, tokens: int = 256,
     task that runs again or twice does no harm. Evaluating the result writes the files.
     """
     record = np.dtype([("n", "<u2"), ("ids", "<u2", (tokens,))])
+    kind = placed.schema["id"].dataType.simpleString()
+
+    def block(rows: pa.Table) -> bytes:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            w.write_table(rows.combine_chunks())
+        return sink.getvalue().to_pybytes()
+
+    def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What a task has for a shard travels as one compressed block: half the bytes of rows of their own."""
+
+        def flush(held):
+            t = pa.Table.from_batches(held)
+            of = t.column("slot").to_numpy() // shard
+            order = np.argsort(of, kind="stable")
+            t, of = t.take(pa.array(order)), of[order]
+            cut = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+            blocks = [block(t.slice(x, y - x)) for x, y in zip(cut, np.append(cut[1:], len(of)))]
+            return pa.record_batch({"shard": pa.array(of[cut]), "block": pa.array(blocks, pa.binary())})
+
+        held, size = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.nbytes
+            if size > BUNDLE:
+                yield flush(held)
+                held, size = [], 0
+        if held:
+            yield flush(held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(out_dir)
         fs.create_dir(root, recursive=True)
-        at, sink, name = -1, None, ""
-
-        def close():
-            if sink is not None:
-                sink.close()
-                fs.move(f"{root}/{name}", f"{root}/shard-{at:08d}.bin")
 
-        for batch in batches:
-            slot = batch.column("slot").to_numpy()
+        def write(at: int, blocks: list[bytes]) -> pa.RecordBatch:
+            t = pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in blocks]).sort_by("slot").combine_chunks()
+            slot = t.column("slot").to_numpy()
             rec = np.zeros(len(slot), record)
             rec["ids"] = PAD
-            rec["n"] = batch.column("n").to_numpy()
-            ids = batch.column("ids").to_pylist()
+            rec["n"] = t.column("n").to_numpy()
             crc = []
-            for i, x in enumerate(ids):
+            for i, x in enumerate(t.column("ids").to_pylist()):
                 rec["ids"][i, : len(x) // 2] = np.frombuffer(x, "<u2")
                 crc.append(zlib.crc32(x))
-            of = slot // shard
-            for k in np.unique(of):
-                if k != at:
-                    close()
-                    at, name = int(k), f".shard-{int(k):08d}-{uuid.uuid4().hex}"
-                    sink = fs.open_output_stream(f"{root}/{name}")
-                    sink.write(struct.pack("<8sIIQQ", MAGIC, 1, tokens, at * shard, min(shard, total - at * shard)))
-                sink.write(rec[of == k].tobytes())
-            yield pa.record_batch({"id": batch.column("id"), "piece": batch.column("piece"), "slot": batch.column("slot"), "shard": pa.array(of), "byte_offset": pa.array(HEADER + (slot - of * shard) * record.itemsize), "n_tokens": batch.column("n"), "crc32": pa.array(crc, pa.int64())})
-        close()
-
-    kind = placed.schema["id"].dataType.simpleString()
-    dealt = placed.withColumn("_shard", F.floor(F.col("slot") / shard)).repartition("_shard").drop("_shard").sortWithinPartitions("slot")
+            name = f"{root}/.shard-{at:08d}-{uuid.uuid4().hex}"
+            with fs.open_output_stream(name) as sink:
+                sink.write(struct.pack("<8sIIQQ", MAGIC, 1, tokens, at * shard, min(shard, total - at * shard)))
+                sink.write(rec.tobytes())
+            fs.move(name, f"{root}/shard-{at:08d}.bin")
+            one = lambda c: t.column(c).chunk(0) if t.column(c).num_chunks else pa.array([], t.column(c).type)
+            return pa.record_batch({"id": one("id"), "piece": one("piece"), "slot": one("slot"), "shard": pa.array(np.full(len(slot), at)), "byte_offset": pa.array(HEADER + (slot - at * shard) * record.itemsize), "n_tokens": one("n"), "crc32": pa.array(crc, pa.int64())})
+
+        at, blocks = -1, []
+        for batch in batches:
+            for k, x in zip(batch.column("shard").to_pylist(), batch.column("block").to_pylist()):
+                if k != at and blocks:
+                    yield write(at, blocks)
+                    blocks = []
+                at = k
+                blocks.append(x)
+        if blocks:
+            yield write(at, blocks)
+
+    bundled = placed.select("id", "piece", "n", "ids", "slot").mapInArrow(bundle, "shard long, block binary")
+    dealt = bundled.repartition("shard").sortWithinPartitions("shard")
     return dealt.mapInArrow(run, f"id {kind}, piece int, slot long, shard long, byte_offset long, n_tokens int, crc32 long")
 
 
