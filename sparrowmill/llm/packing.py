@@ -101,7 +101,7 @@ def token_pieces(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
 
 #: About so many pieces share a salt; ranks are dealt within (length, salt).
-RANKED = 50_000
+RANKED = 4_000
 
 
 def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 import base64
 import os
 import unicodedata
-from itertools import chain
 
 import numpy as np
 
@@ -29,7 +28,7 @@ class WordBpe:
     library whole.
     """
 
-    def __init__(self, path: str, keep: int = 250_000):
+    def __init__(self, path: str, keep: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers
 
@@ -37,6 +36,9 @@ class WordBpe:
         self.part = Tokenizer.from_file(path)
         self.part.normalizer = normalizers.Sequence([])
         self.keep, self.known = keep, {}
+        vocab = self.whole.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
 
     def stretches(self, text: str) -> list[str] | None:
         if not text.isascii():
@@ -48,20 +50,43 @@ class WordBpe:
             return None
         return text.split()
 
+    def _learn(self, new: list[str]) -> None:
+        """Adds stretches: letters and what follows them apart; words of letters alone go to the library by the thousand,
+        as one text, and are told apart by the ids that end a word."""
+        letters, odd, split = set(), [], []
+        for x in new:
+            core = x.rstrip(".,;:!?")
+            if core.isalpha():
+                letters.add(core)
+                if core != x:
+                    split.append((x, core, x[len(core) :]))
+            else:
+                odd.append(x)
+        odd.extend({t for _, _, t in split}.difference(self.known, odd))
+        words = list(letters.difference(self.known))
+        for at in range(0, len(words), 1000):
+            some = words[at : at + 1000]
+            ids = np.array(self.part.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            stop = np.flatnonzero(self.ends[ids]) + 1
+            raw = ids.tobytes()
+            begin = 0
+            for w, end in zip(some, stop.tolist()):
+                self.known[w] = raw[4 * begin : 4 * end]
+                begin = end
+        for w, e in zip(odd, self.part.encode_batch_fast(odd, add_special_tokens=False)):
+            self.known[w] = np.array(e.ids, "<u4").tobytes()
+        for x, core, tail in split:
+            self.known[x] = self.known[core] + self.known[tail]
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         parts = [self.stretches(t) for t in texts]
         new = set().union(*(p for p in parts if p is not None)).difference(self.known)
         if len(self.known) + len(new) > self.keep:
             self.known = {}
             new = set().union(*(p for p in parts if p is not None))
-        new = list(new)
-        for w, e in zip(new, self.part.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[w] = tuple(e.ids)
+        self._learn(list(new))
         get = self.known.__getitem__
-        return [
-            np.fromiter(chain.from_iterable(map(get, p)), np.uint32) if p is not None else np.array(self.whole.encode(t, add_special_tokens=False).ids, np.uint32)
-            for t, p in zip(texts, parts)
-        ]
+        return [np.frombuffer(b"".join(map(get, p)), "<u4") if p is not None else np.array(self.whole.encode(t, add_special_tokens=False).ids, np.uint32) for t, p in zip(texts, parts)]
 
 
 def word_bpe(path: str) -> WordBpe:
