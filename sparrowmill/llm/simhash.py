@@ -15,10 +15,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import Stored
+from ..session import Stored, release
 from .components import components
 from .textnum import Words, slices, xxh64
 
+#: Texts with one shingle up to which all their pairs are candidates.
+MOST = 32
 _SPREAD = np.array([sum(((v >> (7 - j)) & 1) << (8 * j) for j in range(8)) for v in range(256)], np.uint64)
 
 
@@ -137,11 +139,49 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float)
     return joined.mapInArrow(compare, "a long, b long")
 
 
+def prefix_pairs(texts: DataFrame, width: int, similarity: float, most: int = MOST) -> DataFrame:
+    """(a, b), a < b: candidates by shared prefixes. `texts` (t, text) may repeat a t.
+
+    Of a set of n shingles in order of their hashes the first n - ceil(similarity * n) + 1 are its prefix; two sets of the
+    similarity share a shingle of both prefixes, and their sizes differ by the similarity at most. All pairs of a shingle's
+    texts are candidates up to `most` texts; where more have it, each meets the first of them and the first of those that
+    go on with the same shingle, so that a group's size never counts twice.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                sets = [np.frombuffer(x, np.int64) for x in _shingle_sets(part.column("text"), width)]
+                size = np.array([len(x) for x in sets], np.int64)
+                take = np.where(size > 0, size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1, 0)
+                none = np.zeros(0, np.int64)
+                h = np.concatenate([none, *(x[:n] for x, n in zip(sets, take))])
+                after = np.concatenate([none, *(np.append(x, 0)[1 : n + 1] for x, n in zip(sets, take))])
+                row = np.repeat(np.arange(len(sets)), take)
+                yield pa.record_batch({"t": part.column("t").take(pa.array(row)), "n": pa.array(size[row].astype(np.int32)), "h": pa.array(h), "c": pa.array((after >> 32).astype(np.int32))})
+
+    all_ = Stored(texts.mapInArrow(run, "t long, n int, h long, c int"))
+    several = Stored(all_.df.groupBy("h").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo <> hi").select("h")).df
+    release(texts.sparkSession)
+    met = Stored(all_.df.join(several, "h").distinct()).df  # copies of a text give equal rows
+    all_.drop()
+    groups = Stored(met.groupBy("h").agg(F.count("*").alias("m"), F.min(F.struct("t", "n")).alias("first"))).df
+    few = met.join(groups.where(F.col("m") <= most).select("h"), "h")
+    pairs = few.select("h", F.col("t").alias("a"), F.col("n").alias("x")).join(few.select("h", F.col("t").alias("b"), F.col("n").alias("y")), "h").where("a < b")
+    many = met.join(groups.where(F.col("m") > most).select("h", "first"), "h")
+    nexts = Stored(many.groupBy("h", "c").agg(F.min(F.struct("t", "n")).alias("second"))).df
+    many = many.join(nexts, ["h", "c"]).select("t", "n", F.explode(F.array_distinct(F.array("first", "second"))).alias("p"))
+    stars = many.select(F.col("p.t").alias("a"), F.col("p.n").alias("x"), F.col("t").alias("b"), F.col("n").alias("y")).where("a < b")
+    close = F.least("x", "y") >= similarity * F.greatest("x", "y") - 1e-9
+    return pairs.select("a", "x", "b", "y").union(stars).where(close).select("a", "b").distinct()
+
+
 def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, max_distance: int = 7, seeds: tuple[int, ...] = (42, 43, 44, 45)) -> DataFrame:
-    """(id, component_id): near duplicates by `seeds` fingerprints of `width`-word shingles and an exact check of the sets.
+    """(id, component_id): near duplicates by `width`-word shingles, with an exact check of the sets.
 
-    A link is two texts within `max_distance` bits in any of the fingerprints whose shingle sets have a Jaccard
-    coefficient of `similarity` or more, or one fingerprint. Equal texts are one node, so copies never meet in pairs.
+    Candidates are the texts within `max_distance` bits in any of the `seeds` fingerprints and those that share a shingle of
+    their prefixes. A link is a candidate whose shingle sets have a Jaccard coefficient of `similarity` or more, or two texts
+    of one fingerprint. Equal texts are one node, so copies never meet in pairs.
     """
     keyed = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("t", F.xxhash64("text"))
 
@@ -163,6 +203,7 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
         found = found.join(of.toDF("a", "x"), "a").join(of.toDF("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         pairs = found if pairs is None else pairs.union(found)
         same = one if same is None else same.union(one)
+    pairs = pairs.union(prefix_pairs(keyed.select("t", "text"), width, similarity))
     ok = verified(pairs.distinct(), keyed.select("t", "text"), width, similarity)
     roots = components(ok.union(same))
     grouped = nodes.join(roots, nodes.t == roots.node, "left").select("t", "least", F.coalesce("root", "t").alias("root"))
