@@ -2,28 +2,42 @@
 
 A text's paragraphs are its stretches between line ends and sentence ends, of 96 characters at most, counted from
 their beginning. Each paragraph's 64-bit digest goes to three cells, one in each third of the sketch, that hold a
-count, the digests' XOR and the XOR of their checks. Two versions' sketches subtract cell by cell; what is common
+count, the digests' XOR and the XOR of their checks. Two versions' fingerprints subtract cell by cell; what is common
 cancels, and peeling (a cell with one digest gives it away and frees two others) recovers the digests that differ.
-If cells are left, the pair is tried again with a sketch of twice the size, until all peel; from the number of
-recovered digests follows the likeness, the Jaccard coefficient of the paragraphs.
+If cells are left, the pair is tried again with a larger sketch: as many fingerprints side by side as keep DENSE
+digests each, a digest's leading bits say which; one that still doesn't peel is doubled, by one more bit, until all do.
+Different digests differ in a bit, so that ends, and nothing is estimated. From the number of recovered digests follows
+the likeness, the Jaccard coefficient of the paragraphs.
+
+All of this happens within a row, so the text is shuffled once, to stand beside its successor, and nothing else is.
 
 Defined cases: a null text is empty and has an empty sketch; two empty ones are alike (1.0); a text of line and
 sentence ends alone has its own digest as its only paragraph; repeated paragraphs count once; very long texts make
-larger sketches in the comparison, the fingerprint's size is fixed.
+larger sketches in the comparison, the fingerprint's size is fixed. Rows of one id stand in the order of their texts; a
+row without an id has no place in the order and is its own successor. Ids are integers, others are refused.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
+
+#: Cells in a third of the fingerprint (a power of two), and signed digests for which a sketch of that size is tried again.
+THIRD, DENSE = 16, 24
+#: Bits of a digest from which its cell in each third is read; the others, in this order, deal it to larger sketches, then these.
+PLACES = (0, 20, 40)
+SPLITS = (*range(63, 43, -1), *range(39, 23, -1), *range(19, 3, -1), *range(43, 39, -1), *range(23, 19, -1), *range(3, -1, -1))
 
-from ..session import Stored, release
+_CELLS = "array(" + ", ".join(f"named_struct('s', {s}, 'v', {v}L)" for s in PLACES for v in range(THIRD)) + ")"
+_NONE = "named_struct('n', 0, 'k', 0L, 'c', 0L)"
+_CHECK = "(xxhash64({0}) & 4294967295)"
 
-#: Cells in a third of the fingerprint (a power of two).
-THIRD = 16
-#: Passes over the three thirds in a comparison, and how often its size may double.
-PASSES, DOUBLINGS = 4, 8
+
+def _let(value: str, name: str, body: str) -> str:
+    """SQL: `body` with `name` for `value`, which is computed once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
 def paragraphs(text: str) -> str:
@@ -32,11 +46,47 @@ def paragraphs(text: str) -> str:
     return f"CASE WHEN {text} = '' THEN CAST(array() AS array<bigint>) WHEN trim(translate({text}, '.!?\\n', '')) = '' THEN array(xxhash64({text})) ELSE {units} END"
 
 
-def cells(digests: str) -> str:
-    """SQL: the fingerprint's cells for an array of digests. Cell i is in third i / THIRD, its place there 20 bits further in the digest for each third."""
-    here = f"(shiftrightunsigned(k, 20 * (i div {THIRD})) & {THIRD - 1}) = i % {THIRD}"
-    zero = "named_struct('n', 0, 'k', 0L, 'c', 0L)"
-    return f"transform(sequence(0, {3 * THIRD - 1}), i -> aggregate({digests}, {zero}, (a, k) -> IF({here}, named_struct('n', a.n + 1, 'k', a.k ^ k, 'c', a.c ^ (xxhash64(k) & 4294967295)), a)))"
+def signed(digests: str, n: int) -> str:
+    """SQL: digests as cells of their own, each counted `n` times."""
+    return f"transform({digests}, k -> named_struct('n', {n}, 'k', k, 'c', {_CHECK.format('k')}))"
+
+
+def _gathered(items: str, start: str, cell: str) -> str:
+    """SQL: `start` and those of `items` that fall in `cell` (s: where its bits begin, v: their value), taken together."""
+    here = f"(shiftrightunsigned(x.k, {cell}.s) & {THIRD - 1}) = {cell}.v"
+    return f"aggregate({items}, {start}, (a, x) -> IF({here}, named_struct('n', a.n + x.n, 'k', a.k ^ x.k, 'c', a.c ^ x.c), a))"
+
+
+def cells(items: str) -> str:
+    """SQL: the sketch of signed digests: an array of cells (n, k, c), third by third."""
+    return f"transform({_CELLS}, i -> {_gathered(items, _NONE, 'i')})"
+
+
+def subtracted(a: str, b: str) -> str:
+    """SQL: what is in the sketch `a` and not in `b`, and the reverse with negative counts."""
+    return f"zip_with({a}, {b}, (x, y) -> named_struct('n', x.n - y.n, 'k', x.k ^ y.k, 'c', x.c ^ y.c))"
+
+
+def peeled(sketch: str) -> str:
+    """SQL: struct(found, ok): the number of digests that peeling recovers, and whether no cell is left. Each pass but the
+    last takes one cell's digest at least, so there are no more passes than cells."""
+    pure = f"array_distinct(transform(filter(s.cells, y -> abs(y.n) = 1 AND y.c = {_CHECK.format('y.k')}), y -> named_struct('n', -y.n, 'k', y.k, 'c', y.c)))"
+    rest = f"zip_with(s.cells, {_CELLS}, (y, i) -> {_gathered('p', 'y', 'i')})"
+    step = _let(pure, "p", f"IF(size(p) = 0, named_struct('cells', s.cells, 'found', s.found, 'more', false), named_struct('cells', {rest}, 'found', s.found + size(p), 'more', true))")
+    end = "named_struct('found', s.found, 'ok', forall(s.cells, y -> y.n = 0 AND y.k = 0 AND y.c = 0))"
+    return f"aggregate(sequence(1, {3 * THIRD + 1}), named_struct('cells', {sketch}, 'found', 0, 'more', true), (s, r) -> IF(s.more, {step}, s), s -> {end})"
+
+
+def differing(a: str, b: str, digests_a: str, digests_b: str) -> str:
+    """SQL: how many digests are on one side only: by subtracting the sketches `a` and `b`, or else larger ones of the digests."""
+    tried = f"transform(s.todo, g -> IF(size(g) > {DENSE}, named_struct('end', named_struct('found', 0, 'ok', false), 'g', g), named_struct('end', {peeled(cells('g'))}, 'g', g)))"
+    bit = f"(shiftright(z.k, element_at(array({', '.join(map(str, SPLITS))}), r)) & 1)"
+    halves = f"filter(flatten(transform(filter(t, y -> NOT y.end.ok), y -> array(filter(y.g, z -> {bit} = 0), filter(y.g, z -> {bit} = 1)))), g -> size(g) > 0)"
+    found = "s.found + aggregate(t, 0, (f, y) -> f + IF(y.end.ok, y.end.found, 0))"
+    step = _let(tried, "t", f"named_struct('todo', {halves}, 'found', {found})")
+    # Past the last bit a sketch holds one digest, or the same from both sides, and peels.
+    again = f"aggregate(sequence(1, {len(SPLITS)}), named_struct('todo', array(concat({signed(digests_a, 1)}, {signed(digests_b, -1)})), 'found', 0), (s, r) -> IF(size(s.todo) = 0, s, {step}), s -> s.found + aggregate(s.todo, 0, (f, g) -> f + {peeled(cells('g'))}.found))"
+    return _let(peeled(subtracted(a, b)), "e", f"CAST(IF(e.ok, e.found, {again}) AS bigint)")
 
 
 def as_text(cells_: str) -> str:
@@ -44,126 +94,80 @@ def as_text(cells_: str) -> str:
     return f"lower(array_join(transform({cells_}, c -> concat(lpad(hex(c.n & 65535), 4, '0'), lpad(hex(c.k), 16, '0'), lpad(hex(c.c), 8, '0'))), ''))"
 
 
-def _edited(df: DataFrame) -> DataFrame:
-    """`df` (t, digests, next_t, ...) with n_chars, edited_sha256 and the edited text's digests."""
-    q = "CAST(floor(char_length(t) / 4) AS int)"
-    edited = df.withColumn("n_chars", F.expr("CAST(char_length(t) AS bigint)")).withColumn("edited", F.expr(f"concat(substring(t, 1, char_length(t) - {q}), substring(next_t, 1, {q}))"))
-    return edited.withColumn("edited_sha256", F.expr("sha2(edited, 256)")).withColumn("edited_digests", F.expr(paragraphs("edited")))
+def likeness(n: str, differ: str) -> str:
+    """SQL: the Jaccard coefficient of two sets of `n` members together of which `differ` are on one side only."""
+    return f"IF({n} = 0, 1D, ({n} - {differ}) / ({n} + {differ}))"
 
 
-def _differences(pairs: DataFrame) -> DataFrame:
-    """(chunk, place, kind, differ) for `pairs` (chunk, place, kind, a, b: arrays of digests): the number of digests on one side only, by peeling.
-
-    Versions of a text (kind 0) begin with sketches of the fingerprint's size, other pairs (1) with cells for all their
-    digests. All rounds of a size work within the pair's partition: a pure
-    cell of the third in turn is replaced by its digest taken out of the two other thirds.
-    """
-    fit = "CAST(pow(2, ceil(log2(greatest(0.55 * (size(a) + size(b)), 8)))) AS bigint)"
-    todo = pairs.withColumn("third", F.expr(f"IF(kind = 0, {THIRD}L, {fit})"))
-    done = None
-    for _ in range(DOUBLINGS):
-        signed = "concat(transform(a, k -> named_struct('n', 1, 'k', k)), transform(b, k -> named_struct('n', -1, 'k', k)))"
-        at = "named_struct('n', n, 'k', k, 'c', xxhash64(k), 'cell', {j} * third + (shiftrightunsigned(k, 20 * {j}) & (third - 1)))"
-        key = ["chunk", "place", "kind", "third"]
-        x = todo.repartition("chunk", "place", "kind").select(*key, F.explode(F.expr(signed)).alias("d")).select(*key, "d.n", "d.k")
-        x = x.select(*key, F.explode(F.expr(f"array({', '.join(at.format(j=j) for j in range(3))})")).alias("x")).select(*key, "x.*")
-
-        def gathered(x):
-            return x.groupBy(*key, "cell").agg(F.sum("n").alias("n"), F.bit_xor("k").alias("k"), F.bit_xor("c").alias("c")).where("cell < 0 OR n <> 0 OR k <> 0 OR c <> 0")
-
-        x = gathered(x)
-        for turn in range(3 * PASSES):
-            j = turn % 3
-            out = ", ".join(f"named_struct('n', -n, 'k', k, 'c', c, 'cell', {i} * third + (shiftrightunsigned(k, 20 * {i}) & (third - 1)))" for i in range(3) if i != j)
-            same = "named_struct('n', n, 'k', k, 'c', c, 'cell', cell)"
-            pure = f"cell >= 0 AND cell div third = {j} AND abs(n) = 1 AND c = xxhash64(k)"
-            x = gathered(x.select(*key, F.explode(F.expr(f"CASE WHEN {pure} THEN array({out}, named_struct('n', 1L, 'k', 0L, 'c', 0L, 'cell', -1L)) ELSE array({same}) END")).alias("x")).select(*key, "x.*"))
-        left = x.groupBy("chunk", "place", "kind").agg(F.max("cell").alias("cell"), F.sum(F.when(F.col("cell") < 0, F.col("n")).otherwise(0)).alias("found"))
-        tried = Stored(todo.select("chunk", "place", "kind").join(left, ["chunk", "place", "kind"], "left")).df  # no cell at all: nothing differs
-        ok = tried.where("cell IS NULL OR cell < 0").select("chunk", "place", "kind", F.coalesce("found", F.lit(0)).cast("bigint").alias("differ"))
-        done = ok if done is None else done.union(ok)
-        failed = tried.where("cell >= 0").select("chunk", "place", "kind")
-        if failed.isEmpty():
-            return done
-        todo = Stored(todo.join(failed, ["chunk", "place", "kind"], "left_semi").withColumn("third", F.col("third") * 2)).df
-    # Digests that share all cells at every size: as good as never, and then counted directly.
-    return done.union(todo.select("chunk", "place", "kind", F.expr("CAST(size(array_except(a, b)) + size(array_except(b, a)) AS bigint)")))
+def _sketched(df: DataFrame, text: str, digests: str, sketch: str) -> DataFrame:
+    return df.withColumn(digests, F.expr(paragraphs(text))).withColumn(sketch, F.expr(cells(signed(digests, 1))))
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fingerprint) for each row: one pass, no shuffle."""
-    t = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t")).withColumn("digests", F.expr(paragraphs("t")))
-    return t.select("id", F.expr(as_text(cells("digests"))).alias("fingerprint"))
+    t = _sketched(df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t")), "t", "digests", "sketch")
+    return t.select("id", F.expr(as_text("sketch")).alias("fingerprint"))
 
 
-def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each row beside its successor by id (after the last: the first); chunks of 1,024 ids end with a null.
+def _chunk(id_: Column) -> Column:
+    return F.shiftright(id_.cast("bigint"), 10)
+
 
-    Ids are integers. The text is shuffled once, by chunk; only the first and last rows of chunks meet again.
+def _chunks_before(chunks: DataFrame) -> DataFrame:
+    """(chunk, before): the preceding chunk, before the first the last.
+
+    Windows over groups of 2^20 chunks, then over groups of 2^20 groups, then over the at most 2^14 of those that 64 bits
+    have, so that no task sees more than 2^20 rows however sparse the ids are. Only the first of a group asks the next level.
     """
-    t = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t")).withColumn("digests", F.expr(paragraphs("t")))
-    t = t.withColumn("chunk", F.coalesce(F.shiftright(F.col("id").cast("bigint"), 10), F.lit(-(1 << 62))))
-    w = W.partitionBy("chunk").orderBy(F.col("id").asc_nulls_first(), "t")
-    return t.select("*", F.row_number().over(w).alias("place"), F.lead("t").over(w).alias("next_t"), F.lead("digests").over(w).alias("next_digests"))
+    levels = [chunks.distinct().select(F.col("chunk").alias("key"), F.shiftright("chunk", 20).alias("group"), F.col("chunk").alias("high"))]
+    for shift in (20, 20):
+        below = levels[-1]
+        levels.append(below.groupBy(F.col("group").alias("key")).agg(F.max("high").alias("high")).withColumn("group", F.shiftright("key", shift)))
+    levels[-1] = levels[-1].withColumn("group", F.lit(0))
+    every = W.partitionBy("group").orderBy("key")
+    whole = every.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    found = levels[-1].select("key", F.coalesce(F.lag("high").over(every), F.last("high").over(whole)).alias("before"))
+    for below in levels[-2::-1]:
+        own = below.withColumn("before", F.lag("high").over(every))
+        up = found.select(F.col("key").alias("group"), F.col("before").alias("up"))
+        found = own.join(up, "group").select("key", F.coalesce("before", "up").alias("before"))
+    return found.select(F.col("key").alias("chunk"), "before")
 
 
-def _next_chunk(chunks: DataFrame) -> DataFrame:
-    """(chunk, after): the following chunk, after the last the first. Windows over groups of 1,024 chunks, then over the groups' first ones."""
-    c = chunks.withColumn("group", F.shiftright("chunk", 10))
-    inner = c.withColumn("after", F.lead("chunk").over(W.partitionBy("group").orderBy("chunk")))
-    top = c.groupBy("group").agg(F.min("chunk").alias("low"))
-    every = W.orderBy("group")  # a row for each million ids
-    top = top.select("group", F.coalesce(F.lead("low").over(every), F.first("low").over(every.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias("low"))
-    return inner.join(top, "group").select("chunk", F.coalesce("after", "low").alias("after"))
+def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, t, digests, sketch, next_t, next_digests, next_sketch): each row beside its successor by id, after the last the first.
+
+    The text is shuffled once, by chunks of 1,024 ids. Only the first and last rows of chunks are read again from that
+    shuffle, to meet those of the chunk before.
+    """
+    if not isinstance(df.schema[id_col].dataType, IntegralType):
+        raise ValueError(f"{id_col} must be an integer column")
+    t = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
+    dealt = t.where("id IS NOT NULL").withColumn("chunk", _chunk(F.col("id"))).repartition("chunk")
+    w = W.partitionBy("chunk").orderBy("id", "t")
+    own, following = ["t", "digests", "sketch"], ["next_t", "next_digests", "next_sketch"]
+    inside = _sketched(dealt, *own).select("id", *own, *(F.lead(c).over(w).alias(n) for c, n in zip(own, following))).where("next_t IS NOT NULL")
+    edges = dealt.select("chunk", "id", "t", (F.row_number().over(w) == 1).alias("first"), F.lead("id").over(w).isNull().alias("last")).where("first OR last")
+    roles = F.array(F.when(F.col("last"), F.struct(F.col("chunk").alias("at"), F.lit(True).alias("own"))), F.when(F.col("first"), F.struct(F.col("before").alias("at"), F.lit(False).alias("own"))))
+    met = edges.join(_chunks_before(t.where("id IS NOT NULL").select(_chunk(F.col("id")).alias("chunk"))), "chunk").select("id", "t", F.explode(F.array_compact(roles)).alias("r"))
+    met = met.groupBy("r.at").agg(F.max(F.when(F.col("r.own"), F.struct("id", "t"))).alias("x"), F.max(F.when(~F.col("r.own"), F.col("t"))).alias("next_t")).select("x.id", "x.t", "next_t")
+    met = met.union(t.where("id IS NULL").select("id", "t", F.col("t").alias("next_t")))
+    met = _sketched(_sketched(met, *own), *following).select("id", *own, *following)
+    return inside.union(met)
 
 
 def versions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for each row, see op7's contract."""
-    spark = df.sparkSession
-    key = ["chunk", "place"]
-    kept = ["id", *key, "n_chars", "edited_sha256", "digests", "edited_digests", "next_digests"]
-    both = with_next(df, id_col, text_col)
-    # Rows with a successor in their chunk are done at once; of a chunk's first and last rows the text is kept.
-    edge = F.when((F.col("place") == 1) | F.col("next_t").isNull(), F.col("t")).alias("edge")
-    inside = Stored(_edited(both).select(*kept, edge, F.col("next_t").isNull().alias("last"))).df
-    release(spark)
-    after = _next_chunk(inside.select("chunk").distinct())
-    firsts = inside.where("place = 1").select(F.col("chunk").alias("after"), F.col("edge").alias("next_t"), F.col("digests").alias("next_digests"))
-    lasts = inside.where("last").select("id", *key, F.col("edge").alias("t"), "digests").join(after, "chunk").join(firsts, "after")
-    rows = inside.where("NOT last").select(*kept).union(Stored(_edited(lasts).select(*kept)).df)
-    pairs = rows.select(*key, F.lit(0).alias("kind"), F.col("digests").alias("a"), F.col("edited_digests").alias("b")).union(rows.select(*key, F.lit(1), "digests", "next_digests"))
-    differ = _differences(pairs).groupBy(*key).agg(F.max(F.when(F.col("kind") == 0, F.col("differ"))).alias("edited_differ"), F.max(F.when(F.col("kind") == 1, F.col("differ"))).alias("next_differ"))
-    differ = Stored(differ).df
-    release(spark)
-
-    def likeness(n, d):
-        return F.when(n == 0, 1.0).otherwise((n - d) / (n + d))
-
-    sizes = [F.size(c).alias(f"n_{c}") for c in ("digests", "edited_digests", "next_digests")]
-    joined = rows.select("id", *key, "n_chars", "edited_sha256", *sizes).join(differ, key).join(_texts(rows), key)
-    return joined.select(
-        "id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-        likeness(F.col("n_digests") + F.col("n_edited_digests"), F.col("edited_differ")).alias("near_edited"), likeness(F.col("n_digests") + F.col("n_next_digests"), F.col("next_differ")).alias("near_next"),
+    q = "CAST(floor(char_length(t) / 4) AS int)"
+    x = with_next(df, id_col, text_col).withColumn("edited", F.expr(f"concat(substring(t, 1, char_length(t) - {q}), substring(next_t, 1, {q}))"))
+    x = _sketched(x, "edited", "edited_digests", "edited_sketch")
+    for role in ("edited", "next"):
+        x = x.withColumn(f"{role}_differ", F.expr(differing("sketch", f"{role}_sketch", "digests", f"{role}_digests")))
+    return x.select(
+        "id", F.expr("CAST(char_length(t) AS bigint)").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.expr(as_text("sketch")).alias("fingerprint"), F.expr(as_text("edited_sketch")).alias("edited_fingerprint"),
+        *(F.expr(likeness(f"(size(digests) + size({r}_digests))", f"{r}_differ")).alias(f"near_{r}") for r in ("edited", "next")),
     )
 
 
-def _texts(rows: DataFrame) -> DataFrame:
-    """(chunk, place, fingerprint, edited_fingerprint): what as_text(cells()) gives, by aggregation within a row's partition."""
-    key = ["chunk", "place"]
-    zero = f"transform(sequence(0, {3 * THIRD - 1}), i -> named_struct('cell', i, 'n', 0, 'k', 0L))"
-
-    def spread(role: int, digests: str) -> str:
-        at = ", ".join(f"transform({digests}, k -> named_struct('cell', {j * THIRD} + CAST(shiftrightunsigned(k, {20 * j}) & {THIRD - 1} AS int), 'n', 1, 'k', k))" for j in range(3))
-        return f"named_struct('role', {role}, 'cells', concat({zero}, {at}))"
-
-    x = rows.select(*key, "digests", "edited_digests").repartition(*key)
-    x = x.select(*key, F.explode(F.expr(f"array({spread(0, 'digests')}, {spread(1, 'edited_digests')})")).alias("r")).select(*key, "r.role", F.explode("r.cells").alias("c")).select(*key, "role", "c.*")
-    x = x.groupBy(*key, "role", "cell").agg(F.sum("n").alias("n"), F.bit_xor("k").alias("k"), F.bit_xor(F.expr("IF(n = 0, 0L, xxhash64(k) & 4294967295)")).alias("c"))
-    text = F.expr("lower(concat(lpad(hex(n & 65535), 4, '0'), lpad(hex(k), 16, '0'), lpad(hex(c), 8, '0')))")
-    all_ = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cell", text.alias("t")))), lambda c: c["t"]), "")
-    x = x.groupBy(*key, "role").agg(all_.alias("t"))
-    return x.groupBy(*key).agg(F.max(F.when(F.col("role") == 0, F.col("t"))).alias("fingerprint"), F.max(F.when(F.col("role") == 1, F.col("t"))).alias("edited_fingerprint"))
-
-
 def op7_fingerprints(spark, sf_dir: str) -> DataFrame:
     return versions(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumnRenamed("id", "doc_id")
