@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from ..session import Stored
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     """(node, root) for each node of `edges` (a, b): root is the least node of its component.
 
     Each round points neighbours at the least one they know; the rounds grow with the logarithm of the longest path.
     A round is two aggregations and two joins on the node, so a hub's rows are combined before they are shuffled, and
-    is written to the shared folder. Edges of a node to itself, null ends and repeated edges do no harm.
+    is written to the shared folder. Edges of a node to itself, null ends and repeated edges do no harm. Not having ended
+    after `most_rounds` is an error, never a labelling.
     """
     e = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     at = Stored(e)
@@ -32,5 +33,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"the components did not settle in {most_rounds} rounds")
     e = at.df
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

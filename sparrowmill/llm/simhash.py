@@ -2,8 +2,8 @@
 
 A fingerprint of 64 bits is cut into `max_distance // 2 + 1` segments, so that of two fingerprints within
 `max_distance` bits one segment differs by at most one bit. For each segment every variant with one bit wildcarded
-is indexed; two values within one bit of each other share a variant. An equality join on (segment, wildcard, rest)
-finds the candidates and the join's condition verifies them; each link comes out of exactly one variant.
+is indexed; two values within one bit of each other share a variant. An equality join on (segment, wildcard, rest),
+by its hash, finds the candidates and the join's condition verifies them.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..session import Stored, release
 from .components import components
 from .textnum import Words, slices, xxh64
+from .texts import repeated, unique
 
 #: Texts with one shingle up to which all their pairs are candidates.
 MOST = 32
@@ -74,19 +75,35 @@ def _segments(fp: Column, max_distance: int) -> list[tuple[Column, int]]:
 
 
 def links(fps: DataFrame, max_distance: int = 3) -> DataFrame:
-    """(a, b), a < b: the pairs of different fingerprints in `fps` (fp, distinct) at `max_distance` bits or fewer, each once."""
+    """(a, b): pairs of different fingerprints in `fps` (fp, distinct) at `max_distance` bits or fewer, enough to join all that any such pairs join.
+
+    Of the fingerprints that share a variant the least is the leader, and those within the distance are linked to it. Only
+    where that leaves several groups, what is outside of a variant's largest one is compared with all that share it, and one
+    link for each pair of groups is kept. So a group of n near copies gives about n links.
+    """
     if not 1 <= max_distance <= 15:
         raise ValueError("max_distance must be 1 to 15")
     variants = F.array(
-        *(F.struct(F.lit(s * 64 + i).alias("v"), seg.bitwiseAND(F.lit(_signed(~(1 << i)))).alias("key")) for s, (seg, n) in enumerate(_segments(F.col("fp"), max_distance)) for i in range(n))
+        *(F.xxhash64(F.lit(s * 64 + i), seg.bitwiseAND(F.lit(_signed(~(1 << i))))) for s, (seg, n) in enumerate(_segments(F.col("fp"), max_distance)) for i in range(n))
     )
-    index = fps.select("fp", F.explode(variants).alias("x")).select("fp", "x.v", "x.key")
-    a, b = index.select("v", "key", F.col("fp").alias("a")), index.select("v", "key", F.col("fp").alias("b"))
-    differ = F.col("a").bitwiseXOR(F.col("b"))
-    parts = _segments(differ, max_distance)
-    # The variant that owns a link: the first segment within one bit; its wildcard is the bit that differs, or 0 if none.
-    owner = F.coalesce(*(F.when(F.bit_count(seg) <= 1, F.lit(s * 64) + F.when(seg == 0, 0).otherwise(F.bit_count(seg - 1))) for s, (seg, _) in enumerate(parts)))
-    return a.join(b, ["v", "key"]).where((F.col("a") < F.col("b")) & (F.bit_count(differ) <= max_distance) & (owner == F.col("v"))).select("a", "b")
+
+    def near(x: str, y: str) -> Column:
+        return F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= max_distance
+
+    index = fps.select("fp", F.explode(variants).alias("v"))
+    shared = index.groupBy("v").agg(F.min("fp").alias("leader"), F.max("fp").alias("hi")).where("leader <> hi").select("v", "leader")
+    members = Stored(index.join(shared, "v")).df
+    release(fps.sparkSession)
+    stars = Stored(members.where((F.col("leader") != F.col("fp")) & near("leader", "fp")).select(F.col("leader").alias("a"), F.col("fp").alias("b")).distinct()).df
+    roots = components(stars)
+    of = members.select("v", "fp").join(roots, F.col("fp") == F.col("node"), "left").select("v", "fp", F.coalesce("root", "fp").alias("group"))
+    of = Stored(of).df
+    groups = of.groupBy("v", "group").agg(F.count("*").alias("n")).groupBy("v").agg(F.max(F.struct("n", "group")).alias("most"), F.count("*").alias("groups")).where("groups > 1")
+    mixed = Stored(of.join(groups.select("v", F.col("most.group").alias("main")), "v")).df
+    others = mixed.where("group <> main").select("v", F.col("fp").alias("a"), F.col("group").alias("g"))
+    found = others.join(mixed.select("v", F.col("fp").alias("b"), F.col("group").alias("h")), "v").where((F.col("g") != F.col("h")) & near("a", "b"))
+    found = found.groupBy(F.least("g", "h").alias("g"), F.greatest("g", "h").alias("h")).agg(F.min(F.struct("a", "b")).alias("x"))
+    return stars.union(found.select("x.a", "x.b"))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42, max_distance: int = 3) -> DataFrame:
@@ -105,26 +122,30 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return fps.join(named, "fp").select("id", "fp", "component_id")
 
 
-def _shingle_sets(column: pa.Array, width: int, seed: int = 42) -> list[bytes]:
-    """The sorted distinct shingle hashes of each text."""
+def _shingle_sets(column: pa.Array, width: int, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of the distinct shingles of each text, ascending by both."""
     w = Words(column, lower=True)
     doc, start, length = w.shingles(width)
     h = xxh64(w.joined, start, length, seed)
-    cut = np.searchsorted(doc, np.arange(w.rows + 1))
-    return [np.unique(h[a:z]).tobytes() for a, z in zip(cut, cut[1:])]
+    order = np.lexsort((h, doc))
+    doc, h = doc[order], h[order]
+    new = np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])) if len(h) else np.zeros(0, bool)
+    return doc[new], h[new]
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The (a, b) of `pairs` whose texts' shingle sets have a Jaccard coefficient of `similarity` or more. `texts` (t, text) may repeat a t."""
+    """The (a, b) of `pairs` whose texts' shingle sets have a Jaccard coefficient of `similarity` or more. `texts` (t, text) has each t once."""
     pairs = Stored(pairs).df
     wanted = pairs.select(F.col("a").alias("t")).union(pairs.select("b")).distinct()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                yield pa.record_batch({"t": part.column("t"), "s": pa.array(_shingle_sets(part.column("text"), width), pa.binary())})
+                row, h = _shingle_sets(part.column("text"), width)
+                cut = np.searchsorted(row, np.arange(part.num_rows + 1))
+                yield pa.record_batch({"t": part.column("t"), "s": pa.array([h[i:j].tobytes() for i, j in zip(cut, cut[1:])], pa.binary())})
 
-    known = Stored(texts.join(wanted, "t").mapInArrow(sets, "t long, s binary")).df.dropDuplicates(["t"])
+    known = Stored(texts.join(wanted, "t").select("t", "text").mapInArrow(sets, "t long, s binary")).df
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,83 +153,60 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float)
             for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similarity * (len(x) + len(y) - both))
+                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     joined = pairs.join(known.toDF("a", "x"), "a").join(known.toDF("b", "y"), "b").select("a", "b", "x", "y")
     return joined.mapInArrow(compare, "a long, b long")
 
 
+def prefixes(column: pa.Array, width: int, similarity: float) -> tuple[np.ndarray, ...]:
+    """(row, hash, size of the set, the next hash's leading bits) of each text's prefix: of a set of n shingles in order of
+    their hashes the first n - ceil(similarity * n) + 1. Two sets of the similarity share a shingle of both prefixes."""
+    row, h = _shingle_sets(column, width)
+    size = np.bincount(row, minlength=len(column))
+    place = np.arange(len(row)) - (np.cumsum(size) - size)[row]
+    after = np.append(h[1:], np.uint64(0)) if len(h) else h
+    after = np.where(place + 1 < size[row], after, np.uint64(0))
+    keep = place < (size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1)[row]
+    return row[keep], h[keep], size[row[keep]].astype(np.uint32), (after[keep] >> np.uint64(32)).astype(np.uint32)
+
+
 def prefix_pairs(texts: DataFrame, width: int, similarity: float, most: int = MOST) -> DataFrame:
-    """(a, b), a < b: candidates by shared prefixes. `texts` (t, text) may repeat a t.
+    """(a, b), a < b: candidates among `texts` (see texts.unique) by shared prefixes; sizes of two sets differ by the similarity at most.
 
-    Of a set of n shingles in order of their hashes the first n - ceil(similarity * n) + 1 are its prefix; two sets of the
-    similarity share a shingle of both prefixes, and their sizes differ by the similarity at most. All pairs of a shingle's
-    texts are candidates up to `most` texts; where more have it, each meets the first of them and the first of those that
-    go on with the same shingle, so that a group's size never counts twice.
+    All pairs of a shingle's texts are candidates up to `most` texts; where more have it, each meets the first of them and
+    the first of those that go on with the same shingle, so that a group's size never counts twice.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                sets = [np.frombuffer(x, np.int64) for x in _shingle_sets(part.column("text"), width)]
-                size = np.array([len(x) for x in sets], np.int64)
-                take = np.where(size > 0, size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1, 0)
-                none = np.zeros(0, np.int64)
-                h = np.concatenate([none, *(x[:n] for x, n in zip(sets, take))])
-                after = np.concatenate([none, *(np.append(x, 0)[1 : n + 1] for x, n in zip(sets, take))])
-                row = np.repeat(np.arange(len(sets)), take)
-                yield pa.record_batch({"t": part.column("t").take(pa.array(row)), "n": pa.array(size[row].astype(np.int32)), "h": pa.array(h), "c": pa.array((after >> 32).astype(np.int32))})
-
-    all_ = Stored(texts.mapInArrow(run, "t long, n int, h long, c int"))
-    several = Stored(all_.df.groupBy("h").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo <> hi").select("h")).df
-    release(texts.sparkSession)
-    met = Stored(all_.df.join(several, "h").distinct()).df  # copies of a text give equal rows
-    all_.drop()
-    groups = Stored(met.groupBy("h").agg(F.count("*").alias("m"), F.min(F.struct("t", "n")).alias("first"))).df
-    few = met.join(groups.where(F.col("m") <= most).select("h"), "h")
-    pairs = few.select("h", F.col("t").alias("a"), F.col("n").alias("x")).join(few.select("h", F.col("t").alias("b"), F.col("n").alias("y")), "h").where("a < b")
-    many = met.join(groups.where(F.col("m") > most).select("h", "first"), "h")
-    nexts = Stored(many.groupBy("h", "c").agg(F.min(F.struct("t", "n")).alias("second"))).df
-    many = many.join(nexts, ["h", "c"]).select("t", "n", F.explode(F.array_distinct(F.array("first", "second"))).alias("p"))
-    stars = many.select(F.col("p.t").alias("a"), F.col("p.n").alias("x"), F.col("t").alias("b"), F.col("n").alias("y")).where("a < b")
+    met = Stored(repeated(texts, lambda column: prefixes(column, width, similarity), ("size", "after"))).df
+    groups = Stored(met.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("t", "size")).alias("first"))).df
+    few = met.join(groups.where(F.col("m") <= most).select("key"), "key")
+    pairs = few.select("key", F.col("t").alias("a"), F.col("size").alias("x")).join(few.select("key", F.col("t").alias("b"), F.col("size").alias("y")), "key").where("a < b")
+    many = met.join(groups.where(F.col("m") > most).select("key", "first"), "key")
+    nexts = Stored(many.groupBy("key", "after").agg(F.min(F.struct("t", "size")).alias("second"))).df
+    many = many.join(nexts, ["key", "after"]).select("t", "size", F.explode(F.array_distinct(F.array("first", "second"))).alias("p"))
+    stars = many.select(F.col("p.t").alias("a"), F.col("p.size").alias("x"), F.col("t").alias("b"), F.col("size").alias("y")).where("a < b")
     close = F.least("x", "y") >= similarity * F.greatest("x", "y") - 1e-9
     return pairs.select("a", "x", "b", "y").union(stars).where(close).select("a", "b").distinct()
 
 
-def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, max_distance: int = 7, seeds: tuple[int, ...] = (42, 43, 44, 45)) -> DataFrame:
+def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, max_distance: int = 3, seed: int = 42) -> DataFrame:
     """(id, component_id): near duplicates by `width`-word shingles, with an exact check of the sets.
 
-    Candidates are the texts within `max_distance` bits in any of the `seeds` fingerprints and those that share a shingle of
-    their prefixes. A link is a candidate whose shingle sets have a Jaccard coefficient of `similarity` or more, or two texts
-    of one fingerprint. Equal texts are one node, so copies never meet in pairs.
+    Candidates are the links of the texts' fingerprints, texts of one fingerprint beside the least of them, and, as texts of
+    the similarity may differ in more bits than an index can bridge, those that share a shingle of their prefixes. A link is a
+    candidate whose shingle sets have a Jaccard coefficient of `similarity` or more. Equal texts are one node.
     """
-    keyed = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("t", F.xxhash64("text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                fps = {f"f{i}": pa.array(simhash(part.column("text"), width, s).view(np.int64)) for i, s in enumerate(seeds)}
-                yield pa.record_batch({"id": part.column("id"), "t": part.column("t")} | fps)
-
-    names = [f"f{i}" for i in range(len(seeds))]
-    kind = df.schema[id_col].dataType.simpleString()
-    rows = Stored(keyed.select("id", "t", "text").mapInArrow(run, f"id {kind}, t long, " + ", ".join(f"{n} long" for n in names))).df
-    nodes = Stored(rows.groupBy("t").agg(F.min("id").alias("least"), *(F.first(n).alias(n) for n in names))).df
-    pairs = same = None
-    for n in names:
-        of = nodes.groupBy(F.col(n).alias("fp")).agg(F.min("t").alias("node"))
-        one = nodes.join(of, F.col(n) == F.col("fp")).where("t <> node").select(F.col("node").alias("a"), F.col("t").alias("b"))
-        found = Stored(links(of.select("fp"), max_distance)).df
-        found = found.join(of.toDF("a", "x"), "a").join(of.toDF("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        pairs = found if pairs is None else pairs.union(found)
-        same = one if same is None else same.union(one)
-    pairs = pairs.union(prefix_pairs(keyed.select("t", "text"), width, similarity))
-    ok = verified(pairs.distinct(), keyed.select("t", "text"), width, similarity)
-    roots = components(ok.union(same))
-    grouped = nodes.join(roots, nodes.t == roots.node, "left").select("t", "least", F.coalesce("root", "t").alias("root"))
-    named = grouped.join(grouped.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("t", "component_id")
-    return rows.select("id", "t").join(named, "t").select("id", "component_id")
+    rows, texts = unique(df, id_col, text_col)
+    fps = Stored(fingerprints(texts, "t", "text", width, seed)).df
+    of = Stored(fps.groupBy("fp").agg(F.min("id").alias("node"))).df
+    same = fps.join(of, "fp").where("id <> node").select(F.col("node").alias("a"), F.col("id").alias("b"))
+    near = links(of.select("fp"), max_distance).join(of.toDF("a", "x"), "a").join(of.toDF("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    pairs = same.union(near).union(prefix_pairs(texts, width, similarity))
+    roots = components(verified(pairs.distinct(), texts.select("t", "text"), width, similarity))
+    grouped = texts.select("t", "least_id").join(roots, F.col("t") == F.col("node"), "left").select("t", "least_id", F.coalesce("root", "t").alias("root"))
+    named = grouped.join(grouped.groupBy("root").agg(F.min("least_id").alias("component_id")), "root").select("t", "component_id")
+    return rows.join(named, "t").select("id", "component_id")
 
 
 def deduplicate(df: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -43,21 +43,58 @@ def test_op4_matches_brute_force(spark):
     assert {i: x[1] for i, x in got.items()} == closure(want)
 
 
+def _joined(pairs):
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {x: find(x) for x in list(root)}
+
+
+def _bits(a, b):
+    return bin((a ^ b) & (2**64 - 1)).count("1")
+
+
+def _noisy(rng, base, n, most):
+    out = set()
+    while len(out) < n:
+        x = base & (2**64 - 1)
+        for bit in rng.integers(0, 64, rng.integers(1, most + 1)):
+            x ^= 1 << int(bit)
+        out.add(x - 2**64 if x >= 2**63 else x)
+    return out
+
+
 @pytest.mark.parametrize("distance", [1, 3, 5])
-def test_links_are_exact(spark, distance):
+def test_links_join_what_all_pairs_join(spark, distance):
     rng = np.random.default_rng(distance)
     base = [int(x) for x in rng.integers(-(2**63), 2**63, 30)]
-    fps = {0, -1, 1}
-    for b in base:
-        fps.add(b)
-        for _ in range(6):
-            x = b & (2**64 - 1)
-            for bit in rng.integers(0, 64, rng.integers(1, 6)):
-                x ^= 1 << int(bit)
-            fps.add(x - 2**64 if x >= 2**63 else x)
-    fps = sorted(fps)
-    got = sorted(tuple(r) for r in links(spark.createDataFrame([(x,) for x in fps], "fp long"), distance).collect())
-    assert got == [(a, b) for a in fps for b in fps if a < b and bin((a ^ b) & (2**64 - 1)).count("1") <= distance]
+    fps = sorted({0, -1, 1}.union(*({b} | _noisy(rng, b, 6, 5) for b in base)))
+    got = [tuple(r) for r in links(spark.createDataFrame([(x,) for x in fps], "fp long"), distance).collect()]
+    assert all(a != b and _bits(a, b) <= distance for a, b in got)
+    assert _joined(got) == _joined((a, b) for a in fps for b in fps if a < b and _bits(a, b) <= distance)
+
+
+@pytest.mark.parametrize("most", [2, 4])
+def test_a_large_group_of_near_copies_gives_few_links(spark, most):
+    rng = np.random.default_rng(most)
+    fps = sorted(_noisy(rng, 0x1234567890ABCDEF, 1200, most) | {int(x) for x in rng.integers(-(2**63), 2**63, 300)})
+    got = [tuple(r) for r in links(spark.createDataFrame([(x,) for x in fps], "fp long"), 3).collect()]
+    every = [(a, b) for i, a in enumerate(fps) for b in fps[i + 1 :] if _bits(a, b) <= 3]
+    assert all(_bits(a, b) <= 3 for a, b in got) and _joined(got) == _joined(every)
+    print("all pairs:", len(every), "links:", len(got))
+    assert len(got) < 64 * len(fps) and (most > 2 or len(got) < len(every) / 2)
+
+
+def test_components_that_do_not_settle_are_an_error(spark):
+    with pytest.raises(RuntimeError, match="settle"):
+        components(spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long"), most_rounds=2)
 
 
 def test_components_of_long_chains_and_hubs(spark):
