@@ -30,14 +30,16 @@ THIRD, DENSE = 16, 24
 PLACES = (0, 20, 40)
 SPLITS = (*range(63, 43, -1), *range(39, 23, -1), *range(19, 3, -1), *range(43, 39, -1), *range(23, 19, -1), *range(3, -1, -1))
 
-_CELLS = "array(" + ", ".join(f"named_struct('s', {s}, 'v', {v}L)" for s in PLACES for v in range(THIRD)) + ")"
-_NONE = "named_struct('n', 0, 'k', 0L, 'c', 0L)"
+#: The masked bits of a digest that each cell wants, third by third; to sort many digests the upper two of four bits are read first.
+_CELLS = "array(" + ", ".join(f"named_struct('m', {(THIRD - 1) << p}L, 'v', {v << p}L, 'h', {1 << THIRD * j + v}L)" for j, p in enumerate(PLACES) for v in range(THIRD)) + ")"
+_UPPER = "array(" + ", ".join(f"named_struct('m', {12 << p}L, 'v', {v << p}L, 'low', array({', '.join(f"named_struct('m', {3 << p}L, 'v', {w << p}L)" for w in range(4))}))" for p in PLACES for v in range(0, THIRD, 4)) + ")"
+_EMPTY = "named_struct('n', 0, 'k', 0L, 'c', 0L)"
 _CHECK = "(xxhash64({0}) & 4294967295)"
 
 
 def _let(value: str, name: str, body: str) -> str:
-    """SQL: `body` with `name` for `value`, which is computed once."""
-    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+    """SQL: `body` with `name` for `value`, which is computed once and, as an aggregate's start, not copied."""
+    return f"aggregate(array_repeat(0, 0), {value}, ({name}, none) -> {name}, {name} -> {body})"
 
 
 def paragraphs(text: str) -> str:
@@ -51,15 +53,14 @@ def signed(digests: str, n: int) -> str:
     return f"transform({digests}, k -> named_struct('n', {n}, 'k', k, 'c', {_CHECK.format('k')}))"
 
 
-def _gathered(items: str, start: str, cell: str) -> str:
-    """SQL: `start` and those of `items` that fall in `cell` (s: where its bits begin, v: their value), taken together."""
-    here = f"(shiftrightunsigned(x.k, {cell}.s) & {THIRD - 1}) = {cell}.v"
-    return f"aggregate({items}, {start}, (a, x) -> IF({here}, named_struct('n', a.n + x.n, 'k', a.k ^ x.k, 'c', a.c ^ x.c), a))"
+def _put(items: str, cell: str, at: str) -> str:
+    """SQL: `cell` and those of `items` whose bits are those of `at`, taken together."""
+    return f"aggregate({items}, {cell}, (a, x) -> IF((x.k & {at}.m) = {at}.v, named_struct('n', a.n + x.n, 'k', a.k ^ x.k, 'c', a.c ^ x.c), a))"
 
 
 def cells(items: str) -> str:
     """SQL: the sketch of signed digests: an array of cells (n, k, c), third by third."""
-    return f"transform({_CELLS}, i -> {_gathered(items, _NONE, 'i')})"
+    return f"flatten(transform({_UPPER}, u -> {_let(f'filter({items}, x -> (x.k & u.m) = u.v)', 'g', f'transform(u.low, w -> {_put("g", _EMPTY, "w")})')}))"
 
 
 def subtracted(a: str, b: str) -> str:
@@ -71,7 +72,8 @@ def peeled(sketch: str) -> str:
     """SQL: struct(found, ok): the number of digests that peeling recovers, and whether no cell is left. Each pass but the
     last takes one cell's digest at least, so there are no more passes than cells."""
     pure = f"array_distinct(transform(filter(s.cells, y -> abs(y.n) = 1 AND y.c = {_CHECK.format('y.k')}), y -> named_struct('n', -y.n, 'k', y.k, 'c', y.c)))"
-    rest = f"zip_with(s.cells, {_CELLS}, (y, i) -> {_gathered('p', 'y', 'i')})"
+    hit = " | ".join(f"shiftleft(1L, CAST(shiftrightunsigned(x.k, {p}) & {THIRD - 1} AS int) + {THIRD * j})" for j, p in enumerate(PLACES))
+    rest = _let(f"aggregate(p, 0L, (a, x) -> a | {hit})", "h", f"zip_with(s.cells, {_CELLS}, (y, i) -> IF((h & i.h) = 0, y, {_put('p', 'y', 'i')}))")
     step = _let(pure, "p", f"IF(size(p) = 0, named_struct('cells', s.cells, 'found', s.found, 'more', false), named_struct('cells', {rest}, 'found', s.found + size(p), 'more', true))")
     end = "named_struct('found', s.found, 'ok', forall(s.cells, y -> y.n = 0 AND y.k = 0 AND y.c = 0))"
     return f"aggregate(sequence(1, {3 * THIRD + 1}), named_struct('cells', {sketch}, 'found', 0, 'more', true), (s, r) -> IF(s.more, {step}, s), s -> {end})"
@@ -143,7 +145,8 @@ def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     if not isinstance(df.schema[id_col].dataType, IntegralType):
         raise ValueError(f"{id_col} must be an integer column")
     t = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
-    dealt = t.where("id IS NOT NULL").withColumn("chunk", _chunk(F.col("id"))).repartition("chunk")
+    # Both uses filter alike, so that they share one exchange.
+    dealt = t.where("id IS NOT NULL").withColumn("chunk", _chunk(F.col("id"))).where("chunk IS NOT NULL").repartition("chunk")
     w = W.partitionBy("chunk").orderBy("id", "t")
     own, following = ["t", "digests", "sketch"], ["next_t", "next_digests", "next_sketch"]
     inside = _sketched(dealt, *own).select("id", *own, *(F.lead(c).over(w).alias(n) for c, n in zip(own, following))).where("next_t IS NOT NULL")
