@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..session import Stored, release
 from .components import components
 from .textnum import Words, slices, xxh64
-from .texts import repeated, unique
+from .texts import paired, runs, stars, unique
 
 #: Texts with one shingle up to which all their pairs are candidates.
 MOST = 32
@@ -134,18 +134,18 @@ def _shingle_sets(column: pa.Array, width: int, seed: int = 42) -> tuple[np.ndar
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The (a, b) of `pairs` whose texts' shingle sets have a Jaccard coefficient of `similarity` or more. `texts` (t, text) has each t once."""
+    """The (a, b) of `pairs` whose texts' shingle sets have a Jaccard coefficient of `similarity` or more. `texts` (n, text) has each n once."""
     pairs = Stored(pairs).df
-    wanted = pairs.select(F.col("a").alias("t")).union(pairs.select("b")).distinct()
+    wanted = pairs.select(F.col("a").alias("n")).union(pairs.select("b")).distinct()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 row, h = _shingle_sets(part.column("text"), width)
                 cut = np.searchsorted(row, np.arange(part.num_rows + 1))
-                yield pa.record_batch({"t": part.column("t"), "s": pa.array([h[i:j].tobytes() for i, j in zip(cut, cut[1:])], pa.binary())})
+                yield pa.record_batch({"n": part.column("n"), "s": pa.array([h[i:j].tobytes() for i, j in zip(cut, cut[1:])], pa.binary())})
 
-    known = Stored(texts.join(wanted, "t").select("t", "text").mapInArrow(sets, "t long, s binary")).df
+    known = Stored(texts.join(wanted, "n").select("n", "text").mapInArrow(sets, "n long, s binary")).df
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,21 +173,30 @@ def prefixes(column: pa.Array, width: int, similarity: float) -> tuple[np.ndarra
 
 
 def prefix_pairs(texts: DataFrame, width: int, similarity: float, most: int = MOST) -> DataFrame:
-    """(a, b), a < b: candidates among `texts` (see texts.unique) by shared prefixes; sizes of two sets differ by the similarity at most.
+    """(a, b): candidates among `texts` (see texts.unique), by n, by shared prefixes; sizes of two sets differ by the similarity at most.
 
     All pairs of a shingle's texts are candidates up to `most` texts; where more have it, each meets the first of them and
     the first of those that go on with the same shingle, so that a group's size never counts twice.
     """
-    met = Stored(repeated(texts, lambda column: prefixes(column, width, similarity), ("size", "after"))).df
-    groups = Stored(met.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("t", "size")).alias("first"))).df
-    few = met.join(groups.where(F.col("m") <= most).select("key"), "key")
-    pairs = few.select("key", F.col("t").alias("a"), F.col("size").alias("x")).join(few.select("key", F.col("t").alias("b"), F.col("size").alias("y")), "key").where("a < b")
-    many = met.join(groups.where(F.col("m") > most).select("key", "first"), "key")
-    nexts = Stored(many.groupBy("key", "after").agg(F.min(F.struct("t", "size")).alias("second"))).df
-    many = many.join(nexts, ["key", "after"]).select("t", "size", F.explode(F.array_distinct(F.array("first", "second"))).alias("p"))
-    stars = many.select(F.col("p.t").alias("a"), F.col("p.size").alias("x"), F.col("t").alias("b"), F.col("size").alias("y")).where("a < b")
-    close = F.least("x", "y") >= similarity * F.greatest("x", "y") - 1e-9
-    return pairs.select("a", "x", "b", "y").union(stars).where(close).select("a", "b").distinct()
+
+    def pair(key, n, size, after):
+        begin, many, _ = runs(key, n)
+        big = np.repeat(many > most, many)
+        x, y = stars(key[big], n[big], [after[big]])
+        at = np.flatnonzero(big)
+        left, right = [at[x]], [at[y]]
+        for m in range(2, most + 1):
+            i, j = np.triu_indices(m, 1)
+            of = begin[many == m][:, None]
+            left.append((of + i).ravel()), right.append((of + j).ravel())
+        x, y = np.concatenate(left), np.concatenate(right)
+        p, q = size[x].astype(np.int64), size[y].astype(np.int64)
+        close = (np.minimum(p, q) >= similarity * np.maximum(p, q) - 1e-9) & (n[x] != n[y])
+        both = np.unique(np.stack([np.minimum(n[x], n[y])[close], np.maximum(n[x], n[y])[close]], axis=1), axis=0)
+        return pa.table({"a": pa.array(both[:, 0]), "b": pa.array(both[:, 1])})
+
+    found = paired(texts, lambda column: prefixes(column, width, similarity), (np.uint32, np.uint32), lambda size, after: [after], pair, "a long, b long")
+    return found.distinct()
 
 
 def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, max_distance: int = 3, seed: int = 42) -> DataFrame:
@@ -198,13 +207,13 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     candidate whose shingle sets have a Jaccard coefficient of `similarity` or more. Equal texts are one node.
     """
     rows, texts = unique(df, id_col, text_col)
-    fps = Stored(fingerprints(texts, "t", "text", width, seed)).df
+    fps = Stored(fingerprints(texts, "n", "text", width, seed)).df
     of = Stored(fps.groupBy("fp").agg(F.min("id").alias("node"))).df
     same = fps.join(of, "fp").where("id <> node").select(F.col("node").alias("a"), F.col("id").alias("b"))
     near = links(of.select("fp"), max_distance).join(of.toDF("a", "x"), "a").join(of.toDF("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     pairs = same.union(near).union(prefix_pairs(texts, width, similarity))
-    roots = components(verified(pairs.distinct(), texts.select("t", "text"), width, similarity))
-    grouped = texts.select("t", "least_id").join(roots, F.col("t") == F.col("node"), "left").select("t", "least_id", F.coalesce("root", "t").alias("root"))
+    roots = components(verified(pairs.distinct(), texts.select("n", "text"), width, similarity))
+    grouped = texts.select("n", "t", "least_id").join(roots, F.col("n") == F.col("node"), "left").select("t", "least_id", F.coalesce("root", "n").alias("root"))
     named = grouped.join(grouped.groupBy("root").agg(F.min("least_id").alias("component_id")), "root").select("t", "component_id")
     return rows.join(named, "t").select("id", "component_id")
 
