@@ -61,6 +61,27 @@ def test_mined_rules_decide_other_urls(spark):
     assert got[100][3] == "block" and got[200][3] == "allow"
 
 
+def test_long_paths_do_not_multiply_combinations(spark):
+    """Copies of a url of forty tokens, copies of one that lack a token each, and a token that tells them apart."""
+    segments = [f"s{i}" for i in range(40)]
+    rows = [(i, "http://a.net/es/" + "/".join(segments)) for i in range(50)] + [(100 + i, "http://a.org/" + "/".join(x for j, x in enumerate(segments) if j != i % 40)) for i in range(100)]
+    rows += [(300 + i, f"http://b{i}.com/x") for i in range(50)] + [(400, "http://c.org/es/s1/s2"), (401, "http://c.org/q")]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    tokens = df.select(urls.tokens(df.url, urls.host_of(df.url), urls.path_of(df.url)).alias("tokens"), urls.listed(urls.host_of(df.url), urls.path_of(df.url))["verdict"].alias("verdict"))
+    mined = urls.mine(tokens, 0.1, 0.7).collect()
+    assert mined and all(len(r.wanted) <= urls.MOST_ITEMS for r in mined) and len(mined) < 2 ** (urls.MOST_ITEMS + 2) / 0.1
+    got = {r.id: r.verdict for r in urls.judge(df, support=0.1).collect()}
+    assert got[400] == "block" and got[401] == "allow" and got[0] == "block" and got[300] == "allow"
+
+
+def test_tokens_that_stand_together_are_one_item(spark):
+    rows = [(["a", "b", "c"], "block")] * 30 + [(["a", "b"], None)] * 30 + [(["d"], "allow")] * 10
+    df = spark.createDataFrame(rows, "tokens array<string>, verdict string")
+    assert sorted(map(sorted, urls.classes(df, 0.1))) == [["a", "b"], ["c"], ["d"]]
+    got = {(tuple(r.antecedent), r.verdict) for r in urls.mine(df, 0.1, 0.7).collect()}
+    assert got == {(("c",), "block"), (("a", "b", "c"), "block"), (("d",), "allow")}
+
+
 def test_urls_odd_rows(spark):
     rows = [(1, None, "x"), (2, "", "y"), (3, "no scheme", "z"), (None, "HTTP://WWW.Example.COM/en/A?x#y", "w"), (5, "a://com", "w"), (5, "a://com", "w"), (6, "x://é.NET/es/" + "q" * 70_000, None)]
     df = spark.createDataFrame(rows, "page_id long, url string, host string")
