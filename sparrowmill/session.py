@@ -6,6 +6,7 @@ import atexit
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,12 +31,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where none is set (tests), a temporary one."""
+    """The folder in spark.checkpoint.dir; where none is set, a temporary one, but only if driver and executors are one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         own = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = own.get() if own.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="sparrowmill-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -60,6 +63,29 @@ def _cleanup(spark: SparkSession, path: str) -> None:
         pass
 
 
+_scopes: list[list] = []
+
+
+@contextmanager
+def scratch():
+    """Deletes, at its end, the tables stored within, but for those given to the function that it gives."""
+    mine: list[Stored] = []
+    _scopes.append(mine)
+
+    def keep(table: Stored) -> Stored:
+        mine.remove(table)
+        if len(_scopes) > 1:
+            _scopes[-2].append(table)
+        return table
+
+    try:
+        yield keep
+    finally:
+        _scopes.remove(mine)
+        for table in mine:
+            table.drop()
+
+
 class Stored:
     """An intermediate table as Parquet in the shared folder: any executor can be lost and it stays readable.
 
@@ -72,6 +98,8 @@ class Stored:
         self.schema = df.schema
         df.write.option("compression", compression).parquet(self.path)
         atexit.register(_cleanup, self.spark, self.path)
+        if _scopes:
+            _scopes[-1].append(self)
 
     @property
     def df(self) -> DataFrame:

@@ -254,3 +254,19 @@ def test_wordpiece_file(spark):
     df = spark.createDataFrame([("a red fox",), (None,), ("",)], "text string")
     got = [r.ids for r in embed.wordpiece(df, P.path("word_bpe_49k.json")).collect()]
     assert len(got[0]) == 3 and got[1:] == [[], []]
+
+
+def test_scratch_tables_go_and_kept_ones_stay(spark):
+    from sparrowmill.session import Stored, scratch
+
+    with scratch() as keep:
+        a = Stored(spark.range(3))
+        with scratch() as inner:
+            b, c = Stored(spark.range(4)), inner(Stored(spark.range(5)))
+        with pytest.raises(Exception, match="exist|FILE_NOT_FOUND"):
+            b.df.count()
+        assert c.df.count() == 5
+        keep(a)
+    assert a.df.count() == 3
+    with pytest.raises(Exception, match="exist|FILE_NOT_FOUND"):
+        c.df.count()
