@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import Stored, release
+from ..session import Stored, release, scratch
 from .components import components
 from .textnum import Words, slices, xxh64
 from .texts import paired, runs, stars, unique
@@ -114,12 +114,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     component of null ids alone has a null. Only the distinct fingerprints are joined, copies never meet in pairs.
     """
     fps = Stored(fingerprints(df, id_col, text_col, width, seed)).df
-    nodes = Stored(fps.groupBy("fp").agg(F.min("id").alias("least"))).df
-    roots = components(links(nodes.select("fp"), max_distance))
-    grouped = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = grouped.join(least, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("id", "fp", "component_id")
+    with scratch() as keep:
+        nodes = Stored(fps.groupBy("fp").agg(F.min("id").alias("least"))).df
+        roots = components(links(nodes.select("fp"), max_distance))
+        grouped = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+        least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
+        named = keep(Stored(grouped.join(least, "root").select("fp", "component_id")))
+    release(df.sparkSession)
+    return fps.join(named.df, "fp").select("id", "fp", "component_id")
 
 
 def _shingle_sets(column: pa.Array, width: int, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
@@ -134,8 +136,10 @@ def _shingle_sets(column: pa.Array, width: int, seed: int = 42) -> tuple[np.ndar
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The (a, b) of `pairs` whose texts' shingle sets have a Jaccard coefficient of `similarity` or more. `texts` (n, text) has each n once."""
-    pairs = Stored(pairs).df
+    """The (a, b) of `pairs` whose texts' shingle sets have a Jaccard coefficient of `similarity` or more. `texts` (n, text) has each n once.
+
+    A set travels as the sorted 32-bit halves of its hashes, so in one pair of a hundred thousand a shingle counts as shared that isn't.
+    """
     wanted = pairs.select(F.col("a").alias("n")).union(pairs.select("b")).distinct()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,16 +147,19 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float)
             for part in slices(batch, "text"):
                 row, h = _shingle_sets(part.column("text"), width)
                 cut = np.searchsorted(row, np.arange(part.num_rows + 1))
+                h = (h >> np.uint64(32)).astype(np.uint32)
                 yield pa.record_batch({"n": part.column("n"), "s": pa.array([h[i:j].tobytes() for i, j in zip(cut, cut[1:])], pa.binary())})
 
-    known = Stored(texts.join(wanted, "n").select("n", "text").mapInArrow(sets, "n long, s binary")).df
+    known = Stored(texts.join(wanted, "n").select("n", "text").mapInArrow(sets, "n long, s binary")).df.hint("merge")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
+                x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+                both = np.concatenate([x, y])
+                both.sort(kind="stable")
+                both = int((both[1:] == both[:-1]).sum())
                 keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -160,6 +167,23 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float)
     return joined.mapInArrow(compare, "a long, b long")
 
 
+def _verified_roots(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(node, root) of the components of the verified `pairs`. Each text's pair with its least partner is looked at first; of the
+    others only those are that would join what isn't joined yet."""
+    spark = pairs.sparkSession
+    pairs = Stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()).df
+    release(spark)
+    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    ok = Stored(verified(first, texts, width, similarity)).df
+    release(spark)
+    roots = Stored(components(ok)).df
+    rest = pairs.join(first, ["a", "b"], "left_anti").join(roots.toDF("a", "x"), "a", "left").join(roots.toDF("b", "y"), "b", "left")
+    rest = Stored(rest.where(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b")).df
+    more = Stored(verified(rest, texts, width, similarity)).df
+    release(spark)
+    return components(ok.union(more))
+
+
 def prefixes(column: pa.Array, width: int, similarity: float) -> tuple[np.ndarray, ...]:
     """(row, hash, size of the set, the next hash's leading bits) of each text's prefix: of a set of n shingles in order of
     their hashes the first n - ceil(similarity * n) + 1. Two sets of the similarity share a shingle of both prefixes."""
@@ -206,16 +230,18 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     the similarity may differ in more bits than an index can bridge, those that share a shingle of their prefixes. A link is a
     candidate whose shingle sets have a Jaccard coefficient of `similarity` or more. Equal texts are one node.
     """
-    rows, texts = unique(df, id_col, text_col)
-    fps = Stored(fingerprints(texts, "n", "text", width, seed)).df
-    of = Stored(fps.groupBy("fp").agg(F.min("id").alias("node"))).df
-    same = fps.join(of, "fp").where("id <> node").select(F.col("node").alias("a"), F.col("id").alias("b"))
-    near = links(of.select("fp"), max_distance).join(of.toDF("a", "x"), "a").join(of.toDF("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    pairs = same.union(near).union(prefix_pairs(texts, width, similarity))
-    roots = components(verified(pairs.distinct(), texts.select("n", "text"), width, similarity))
-    grouped = texts.select("n", "t", "least_id").join(roots, F.col("n") == F.col("node"), "left").select("t", "least_id", F.coalesce("root", "n").alias("root"))
-    named = grouped.join(grouped.groupBy("root").agg(F.min("least_id").alias("component_id")), "root").select("t", "component_id")
-    return rows.join(named, "t").select("id", "component_id")
+    with scratch() as keep:
+        rows, texts = unique(df, id_col, text_col)
+        fps = Stored(fingerprints(texts, "n", "text", width, seed)).df
+        of = Stored(fps.groupBy("fp").agg(F.min("id").alias("node"))).df
+        same = fps.join(of, "fp").where("id <> node").select(F.col("node").alias("a"), F.col("id").alias("b"))
+        near = links(of.select("fp"), max_distance).join(of.toDF("a", "x"), "a").join(of.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        pairs = same.union(near).union(prefix_pairs(texts, width, similarity))
+        roots = _verified_roots(pairs, texts.select("n", "text"), width, similarity)
+        grouped = texts.select("n", "t", "least_id").join(roots, F.col("n") == F.col("node"), "left").select("t", "least_id", F.coalesce("root", "n").alias("root"))
+        named = keep(Stored(grouped.join(grouped.groupBy("root").agg(F.min("least_id").alias("component_id")), "root").select("t", "component_id")))
+    release(df.sparkSession)
+    return rows.join(named.df, "t").select("id", "component_id")
 
 
 def deduplicate(df: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
