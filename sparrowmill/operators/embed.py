@@ -10,48 +10,139 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import words
+from ..functions.vectors import EPSILON
 
 MOST_TOKENS, MOST_BYTES = 1 << 16, 1 << 28
 #: Token ids whose rows count as zero; they still count in the mean.
 IGNORED = (101, 102)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df` dealt over all cores if its table has fewer splits than there are; large tables stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def split_words(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All lower-cased runs of letters and digits of a column, and where each row's begin among them, and the end. A null text has none."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    parts = pc.split_pattern_regex(pc.utf8_lower(column.fill_null("")), r"[^\p{L}\p{N}]+")
+    flat = parts.flatten()
+    some = pc.binary_length(flat).to_numpy() > 0  # before the first and after the last separator there may be nothing
+    at = np.append(0, np.cumsum(parts.value_lengths().to_numpy()))
+    return flat.filter(pa.array(some)), np.append(0, np.cumsum(some))[at]
+
+
 def vocabulary(df: DataFrame, text_col: str, size: int) -> DataFrame:
     """(token, token_id): the `size` - 1 most frequent words by (count, word) from 1; 0 is everything else. A top-n, no full sort."""
     if size > MOST_TOKENS:
         raise ValueError("ids must fit 16 bits")
-    counts = df.select(F.explode(words(F.col(text_col))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = pc.value_counts(split_words(batch.column(0))[0])
+            yield pa.record_batch({"token": n.field(0).cast(pa.string()), "n": n.field(1)})
+
+    counts = spread(df.select(F.col(text_col).cast("string"))).mapInArrow(count, "token string, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
     top = counts.orderBy(F.desc("n"), "token").limit(size - 1)
     from pyspark.sql import Window as W
 
     return top.select("token", F.row_number().over(W.orderBy(F.desc("n"), "token")).alias("token_id"))
 
 
+def collect_vocabulary(vocab: DataFrame) -> pa.Array:
+    """The words by id from 0, which is null: no word. Every id to the last must be there."""
+    rows = vocab.limit(MOST_TOKENS + 1).collect()
+    if len(rows) > MOST_TOKENS:
+        raise ValueError("the vocabulary is too large to broadcast")
+    words_ = {r.token_id: r.token for r in rows}
+    return pa.array([words_.get(i) for i in range(max(words_, default=0) + 1)], pa.string())
+
+
+def known_ids(words_: pa.Array, vocab: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.index_in(words_, vocab, skip_nulls=True), 0).to_numpy()
+
+
+def lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a column of lists, one after the other, and where each row's begin, and the end; a null list is empty."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False), _starts(column).to_numpy().astype(np.int64)
+
+
+def matrix(column: pa.Array) -> np.ndarray:
+    """A column of equally long lists as rows."""
+    flat, at = lists(column)
+    wide = np.diff(at)
+    if len(wide) and (wide != wide[0]).any():
+        raise ValueError("vectors of different lengths")
+    return flat.astype(np.float64).reshape(len(wide), -1)
+
+
+def unit(v: np.ndarray) -> np.ndarray:
+    """Rows over their norms; one whose norm is below the runtime's epsilon stays."""
+    n = np.sqrt((v * v).sum(1, keepdims=True))
+    return v / np.where(n < EPSILON, 1.0, n)
+
+
+def pooled(weights: np.ndarray, ids: np.ndarray, start: np.ndarray, divide: bool = True) -> np.ndarray:
+    """The mean (or sum) of each row's ids' weights; none give zeros, an id beyond the table is an error."""
+    if len(ids) and (ids.max() >= len(weights) or ids.min() < 0):
+        raise ValueError("a token id is beyond the weight table")
+    n = np.diff(start)
+    out = np.zeros((len(n), weights.shape[1]))
+    some = np.flatnonzero(n)
+    at = 0
+    while at < len(some):  # bounds what is gathered at once
+        end = max(at + 1, int(np.searchsorted(start[some + 1] - start[some[at]], 1 << 16, side="right")))
+        k = some[at:end]
+        out[k] = np.add.reduceat(weights[ids[start[k[0]] : start[k[-1] + 1]]], start[k] - start[k[0]], axis=0)
+        at = end
+    if divide:
+        out[some] /= n[some][:, None]
+    return out
+
+
+def embed_texts(df: DataFrame, vocab: pa.Array, weights: np.ndarray, id_col: str = "id", text_col: str = "text", scales: np.ndarray | None = None, normalized: bool = True) -> DataFrame:
+    """(id, n_tokens, embedding): words, ids and the mean of their rows in one pass over Arrow batches; `scales` multiply the
+    mean afterwards, so that codes by dimension are summed as whole numbers. Vocabulary and weights are the model's, below a checked size."""
+    if weights.nbytes > MOST_BYTES:
+        raise ValueError("the weight table is too large to broadcast")
+    shared = df.sparkSession.sparkContext.broadcast((vocab, weights, scales))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab, weights, scales = shared.value
+        for batch in batches:
+            words_, start = split_words(batch.column(1))
+            v = pooled(weights, known_ids(words_, vocab), start)
+            v = v * scales if scales is not None else v
+            v = unit(v) if normalized else v
+            yield pa.record_batch({"id": batch.column(0), "n_tokens": pa.array(np.diff(start)), "embedding": pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1, dtype=np.int32) * v.shape[1]), pa.array(v.ravel()))})
+
+    kind = df.schema[id_col].dataType.simpleString()
+    return spread(df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string"))).mapInArrow(run, f"id {kind}, n_tokens bigint, embedding array<double>")
+
+
 def checked_ids(ids: Column, size: int = MOST_TOKENS) -> Column:
     """`ids`, or an error if one is out of range."""
     return F.when(F.forall(ids, lambda x: (x >= 0) & (x < size)), ids).otherwise(F.raise_error(F.lit("a token id is out of range")))
 
 
-def token_ids(df: DataFrame, vocab: DataFrame, text_col: str, out: str = "ids") -> DataFrame:
+def token_ids(df: DataFrame, vocab: DataFrame | pa.Array, text_col: str, out: str = "ids") -> DataFrame:
     """`df` with the ids of its words, in order; unknown words are 0."""
-    rows = vocab.limit(MOST_TOKENS + 1).collect()
-    if len(rows) > MOST_TOKENS:
-        raise ValueError("the vocabulary is too large to broadcast")
-    shared = df.sparkSession.sparkContext.broadcast({r.token: r.token_id for r in rows})
+    shared = df.sparkSession.sparkContext.broadcast(vocab if isinstance(vocab, pa.Array) else collect_vocabulary(vocab))
 
     @F.arrow_udf("array<int>")
     def encode(x: pa.Array) -> pa.Array:
-        """Each different word of a batch is looked up once."""
-        known = shared.value
-        d = x.flatten().dictionary_encode()
-        ids = np.array([known.get(w, 0) for w in d.dictionary.to_pylist()] or [0], np.int32)
-        return pa.ListArray.from_arrays(_starts(x), pa.array(ids[d.indices.to_numpy()] if len(d) else np.zeros(0, np.int32)))
+        words_, start = split_words(x)
+        return pa.ListArray.from_arrays(pa.array(start.astype(np.int32)), pa.array(known_ids(words_, shared.value).astype(np.int32)))
 
-    return df.withColumn(out, encode(words(F.col(text_col))))
+    return df.withColumn(out, encode(F.col(text_col).cast("string")))
 
 
 def _starts(x: pa.Array) -> pa.Array:
@@ -83,36 +174,28 @@ def pool(df: DataFrame, weights: np.ndarray, ids_col: str = "ids", out: str = "e
 
     @F.arrow_udf("array<double>")
     def mean(x: pa.Array) -> pa.Array:
-        w = shared.value
-        start = _starts(x).to_numpy().astype(np.int64)
-        flat, n = x.flatten().to_numpy(zero_copy_only=False), np.diff(start)
-        if len(flat) and (flat.max() >= len(w) or flat.min() < 0):
-            raise ValueError("a token id is beyond the weight table")
-        out = np.zeros((len(n), w.shape[1]))
-        some = np.flatnonzero(n)
-        at = 0
-        while at < len(some):  # bounds what is gathered at once
-            end = max(at + 1, int(np.searchsorted(start[some + 1] - start[some[at]], 1 << 16, side="right")))
-            k = some[at:end]
-            out[k] = np.add.reduceat(w[flat[start[k[0]] : start[k[-1] + 1]]], start[k] - start[k[0]], axis=0)
-            at = end
-        if divide:
-            out[some] /= n[some][:, None]
-        return pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * w.shape[1]), pa.array(out.ravel()))
+        out = pooled(shared.value, *lists(x), divide)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1, dtype=np.int32) * out.shape[1]), pa.array(out.ravel()))
 
     return df.withColumn(out, mean(F.col(ids_col)))
 
 
-def pool_quantized(df: DataFrame, codes: DataFrame, axis: str, ids_col: str = "ids", out: str = "embedding") -> DataFrame:
-    """Mean over quantized rows. By dimension: codes are summed as whole numbers and scaled once at the end; by row: sum of scale times code."""
+def quantized_weights(codes: DataFrame, axis: str) -> tuple[np.ndarray, np.ndarray | None]:
+    """(matrix, scales) of quantize()'s rows. By dimension: the codes, summed as whole numbers, and the scales for the end; by row: scale times code."""
     if axis == "dim":
         first = codes.select("scales").first()
-        scales = np.array(first.scales, np.float64) if first else np.zeros(0)
-        w = collect_weights(codes.select("token_id", F.col("codes").alias("vec")))
-        summed = pool(df, w, ids_col, "_sum", divide=False)
-        each = F.zip_with("_sum", F.array(*(F.lit(float(s)) for s in scales)), lambda x, s: x * s / F.greatest(F.size(ids_col), F.lit(1)))
-        return summed.withColumn(out, each).drop("_sum")
-    return pool(df, collect_weights(codes.select("token_id", F.transform("codes", lambda c: c * F.col("scale").cast("double")).alias("vec"))), ids_col, out)
+        return collect_weights(codes.select("token_id", F.col("codes").alias("vec"))), np.array(first.scales, np.float64) if first else np.zeros(0)
+    return collect_weights(codes.select("token_id", F.transform("codes", lambda c: c * F.col("scale").cast("double")).alias("vec"))), None
+
+
+def pool_quantized(df: DataFrame, codes: DataFrame, axis: str, ids_col: str = "ids", out: str = "embedding") -> DataFrame:
+    """Mean over quantized rows."""
+    w, scales = quantized_weights(codes, axis)
+    if scales is None:
+        return pool(df, w, ids_col, out)
+    summed = pool(df, w, ids_col, "_sum", divide=False)
+    each = F.zip_with("_sum", F.array(*(F.lit(float(s)) for s in scales)), lambda x, s: x * s / F.greatest(F.size(ids_col), F.lit(1)))
+    return summed.withColumn(out, each).drop("_sum")
 
 
 def counters(df: DataFrame, ids_col: str = "ids") -> DataFrame:
@@ -139,69 +222,157 @@ def wordpiece(df: DataFrame, path: str, text_col: str = "text", out: str = "ids"
     return df.withColumn(out, encode(F.col(text_col)))
 
 
-def similarities(corpus: DataFrame, queries: DataFrame, id_col: str = "id", query_col: str = "qid", vec: str = "embedding", tag: str = "label") -> DataFrame:
-    """(qid, id, same, score): the cosine of each of a stated set of queries with every row, and whether their tags are equal; by blocks of queries."""
-    rows = queries.select(query_col, vec, tag).collect()
+def _asked(queries: DataFrame, *columns: str) -> list:
+    """A stated set of queries, its size checked."""
+    rows = queries.select(*columns).collect()
     if sum(len(r[1]) * 8 for r in rows) > MOST_BYTES:
         raise ValueError("the query set is too large to broadcast; split it")
-    m = np.array([r[1] for r in rows], np.float64) if rows else np.zeros((0, 1))
-    length = np.sqrt((m * m).sum(1, keepdims=True))
-    shared = corpus.sparkSession.sparkContext.broadcast((np.array([r[0] for r in rows], np.int64), m / np.where(length == 0, 1, length), np.array([r[2] for r in rows])))
+    return rows
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, m, tags = shared.value
-        for batch in batches:
-            if not batch.num_rows or not len(ids):
-                continue
-            own, mark = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
-            v = np.array(batch.column(1).to_pylist(), np.float64)
-            n = np.sqrt((v * v).sum(1, keepdims=True))
-            v = v / np.where(n == 0, 1, n)
-            for at in range(0, len(ids), 64):
-                q = ids[at : at + 64]
-                s = m[at : at + 64] @ v.T
-                yield pa.record_batch({"qid": pa.array(np.repeat(q, len(own))), "id": pa.array(np.tile(own, len(q))), "same": pa.array((tags[at : at + 64][:, None] == mark[None, :]).ravel()), "score": pa.array(s.ravel())})
 
-    return corpus.select(F.col(id_col).cast("bigint"), vec, tag).mapInArrow(run, "qid bigint, id bigint, same boolean, score double")
+def _directions(v: np.ndarray) -> np.ndarray:
+    n = np.sqrt((v * v).sum(1, keepdims=True))
+    return v / np.where(n == 0, 1, n)
+
 
+def best_of(ids: list, queries: np.ndarray, own: np.ndarray, rows: np.ndarray, k: int, exclude_same: bool = False) -> tuple[list, list, list]:
+    """(query, row, score) of the k rows of a batch with the greatest products for each query, ties by id; in blocks of queries."""
+    q, i, score = [], [], []
+    for at in range(0, len(ids), 1024):
+        s = np.round(queries[at : at + 1024] @ rows.T, 9)
+        for j, row in enumerate(s):
+            if exclude_same:
+                row = np.where(own == ids[at + j], -np.inf, row)
+            cut = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -np.inf
+            keep = np.flatnonzero((row >= cut) & (row > -np.inf))
+            keep = keep[np.lexsort((own[keep], -row[keep]))[:k]]
+            q.extend([ids[at + j]] * len(keep)), i.extend(own[keep].tolist()), score.extend(row[keep].tolist())
+    return q, i, score
 
-def nearest(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "id", query_col: str = "qid", vec: str = "embedding", exclude_same: bool = False) -> DataFrame:
-    """(qid, id, score, rank): the k corpus rows of greatest cosine for each query, ties by id.
+
+def nearest(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "id", query_col: str = "qid", vec: str = "embedding", exclude_same: bool = False, part: str | None = None) -> DataFrame:
+    """(qid, id, score, rank): the k corpus rows of greatest cosine for each query, ties by id; with `part`, (part, ...) for each part of the corpus.
 
     The queries are a stated set: collected, size-checked, and taken in blocks; each Arrow batch of the corpus gives its
     own k best of a block by one matrix product, and a window limited by rank merges them.
     """
-    rows = queries.select(query_col, vec).collect()
-    if sum(len(r[1]) * 8 for r in rows) > MOST_BYTES:
-        raise ValueError("the query set is too large to broadcast; split it")
-    ids = [r[0] for r in rows]
-    m = np.array([r[1] for r in rows], np.float64) if rows else np.zeros((0, 1))
-    length = np.sqrt((m * m).sum(1, keepdims=True))
-    shared = corpus.sparkSession.sparkContext.broadcast((ids, m / np.where(length == 0, 1, length)))
+    rows = _asked(queries, query_col, vec)
+    shared = corpus.sparkSession.sparkContext.broadcast(([r[0] for r in rows], _directions(np.array([r[1] for r in rows], np.float64)) if rows else np.zeros((0, 1))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, m = shared.value
         for batch in batches:
             if not batch.num_rows or not ids:
                 continue
-            own = batch.column(0).to_numpy(zero_copy_only=False)
-            v = np.array(batch.column(1).to_pylist(), np.float64)
-            n = np.sqrt((v * v).sum(1, keepdims=True))
-            v = v / np.where(n == 0, 1, n)
-            for at in range(0, len(ids), 1024):
-                s = np.round(m[at : at + 1024] @ v.T, 9)
-                q, i, score = [], [], []
-                for j, row in enumerate(s):
-                    if exclude_same:
-                        row = np.where(own == ids[at + j], -np.inf, row)
-                    cut = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -np.inf
-                    keep = np.flatnonzero((row >= cut) & (row > -np.inf))
-                    keep = keep[np.lexsort((own[keep], -row[keep]))[:k]]
-                    q.extend([ids[at + j]] * len(keep)), i.extend(own[keep].tolist()), score.extend(row[keep].tolist())
-                yield pa.record_batch({"qid": pa.array(q, pa.int64()), "id": pa.array(i, pa.int64()), "score": pa.array(score, pa.float64())})
+            own, v = batch.column(0).to_numpy(zero_copy_only=False), _directions(matrix(batch.column(1)))
+            parts = batch.column(2).dictionary_encode()
+            at = parts.indices.fill_null(len(parts.dictionary)).to_numpy()
+            for j, name in enumerate([*parts.dictionary.to_pylist(), None]):
+                of = np.flatnonzero(at == j)
+                if len(of):
+                    q, i, score = best_of(ids, m, own[of], v[of], k, exclude_same)
+                    yield pa.record_batch({"part": pa.array([name] * len(q), pa.string()), "qid": pa.array(q, pa.int64()), "id": pa.array(i, pa.int64()), "score": pa.array(score, pa.float64())})
 
     from pyspark.sql import Window as W
 
-    found = corpus.select(F.col(id_col).cast("bigint"), vec).mapInArrow(run, "qid bigint, id bigint, score double")
-    w = W.partitionBy("qid").orderBy(F.desc("score"), "id")
+    found = corpus.select(F.col(id_col).cast("bigint"), vec, (F.col(part) if part else F.lit("")).cast("string").alias("part")).mapInArrow(run, "part string, qid bigint, id bigint, score double")
+    found, w = (found, W.partitionBy("part", "qid")) if part else (found.drop("part"), W.partitionBy("qid"))
+    w = w.orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def mined_negatives(corpus: DataFrame, queries: DataFrame, threshold: float = 0.95, n: int = 50, id_col: str = "id", query_col: str = "qid", vec: str = "embedding", tag: str = "label") -> DataFrame:
+    """(query_id, positive, negatives, n_eligible, n_pre) for each of a stated set of queries, never itself among the rows.
+
+    The positive is the row of the query's tag with the greatest cosine (rounded to six digits), else of any tag; ties by
+    id. Eligible are the other rows strictly below threshold times its score; the `n` hardest come first, ties by the greater
+    id. Two passes over the corpus: one for the positives, one that counts and keeps `n` of each batch; no query ever
+    gathers its scores.
+    """
+    rows = _asked(queries, query_col, vec, tag)
+    spark = corpus.sparkSession
+    ids = np.array([r[0] for r in rows], np.int64)
+    m, tags = _directions(np.array([r[1] for r in rows], np.float64)) if rows else np.zeros((0, 1)), np.array([r[2] for r in rows])
+    shared = spark.sparkContext.broadcast((ids, m, tags))
+    x = corpus.select(F.col(id_col).cast("bigint"), vec, tag)
+
+    def scored(batch: pa.RecordBatch, at: int) -> tuple[np.ndarray, ...]:
+        ids, m, tags = shared.value
+        own, mark = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
+        s = np.round(m[at : at + 256] @ _directions(matrix(batch.column(1))).T, 6)
+        return own, np.where(own[None, :] == ids[at : at + 256, None], -np.inf, s), tags[at : at + 256, None] == mark[None, :]
+
+    def positives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = shared.value[0]
+        for batch in batches:
+            for at in range(0, len(ids) if batch.num_rows else 0, 256):
+                own, s, same = scored(batch, at)
+                for of, wanted in ((True, np.where(same, s, -np.inf)), (False, s)):
+                    top = wanted.max(1)
+                    first = np.where(wanted == top[:, None], own[None, :], np.iinfo(np.int64).max).min(1)
+                    ok = top > -np.inf
+                    yield pa.record_batch({"qid": pa.array(ids[at : at + 256][ok]), "same": pa.array(np.full(ok.sum(), of)), "score": pa.array(top[ok]), "id": pa.array(first[ok])})
+
+    found = x.mapInArrow(positives, "qid bigint, same boolean, score double, id bigint").groupBy("qid").agg(F.max(F.struct("same", "score", (-F.col("id")).alias("i"))).alias("p")).collect()
+    best = {r.qid: (r.p.score, -r.p.i) for r in found}
+    top = spark.sparkContext.broadcast((np.array([best.get(i, (-np.inf, -1))[0] for i in ids.tolist()]), np.array([best.get(i, (-np.inf, -1))[1] for i in ids.tolist()], np.int64)))
+
+    def negatives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = shared.value[0]
+        score, positive = top.value
+        for batch in batches:
+            for at in range(0, len(ids) if batch.num_rows else 0, 256):
+                own, s, _ = scored(batch, at)
+                ok = (s < threshold * score[at : at + 256, None]) & (own[None, :] != positive[at : at + 256, None]) & (s > -np.inf)
+                q, i, v = [], [], []
+                for j in range(len(s)):
+                    keep = np.flatnonzero(ok[j])
+                    keep = keep[np.lexsort((-own[keep], -s[j][keep]))[:n]]
+                    q.append(np.full(len(keep), ids[at + j])), i.append(own[keep]), v.append(s[j][keep])
+                part = ids[at : at + 256]
+                yield pa.record_batch({"qid": pa.array(np.concatenate([part, *q])), "n": pa.array(np.append(ok.sum(1), np.zeros(sum(map(len, q)), np.int64))), "id": pa.array(np.concatenate([np.zeros(len(part), np.int64), *i])), "score": pa.array(np.concatenate([np.full(len(part), np.nan), *v]))})
+
+    from pyspark.sql import Window as W
+
+    kept = x.mapInArrow(negatives, "qid bigint, n bigint, id bigint, score double")
+    hard = F.when(~F.isnan("score"), F.struct("score", "id"))
+    w = W.partitionBy("qid").orderBy(F.isnan("score").asc(), F.desc("score"), F.desc("id"))
+    kept = kept.withColumn("rank", F.row_number().over(w))
+    out = kept.groupBy("qid").agg(F.sum("n").alias("n_eligible"), F.sort_array(F.collect_list(F.when(F.col("rank") <= n, hard)), asc=False).alias("hard"))
+    names = spark.createDataFrame([(i, p) for i, (_, p) in best.items()], "qid bigint, positive bigint")
+    return out.join(F.broadcast(names), "qid").select(F.col("qid").alias("query_id"), "positive", F.transform("hard", lambda h: h["id"]).alias("negatives"), "n_eligible")
+
+
+def containing(df: DataFrame, items: DataFrame, id_col: str = "id", text_col: str = "text", item_col: str = "qid", pattern_col: str = "item") -> DataFrame:
+    """(item, id): the rows whose text contains an item's text, each pair once. One pass over each text with an automaton of all items.
+
+    The items are a stated set: collected and size-checked. An empty item is in every text, a null one in none.
+    """
+    import ahocorasick
+
+    rows = items.where(F.col(pattern_col).isNotNull()).select(item_col, pattern_col).distinct().collect()
+    if sum(len(r[1]) for r in rows) > MOST_BYTES >> 2:
+        raise ValueError("the items are too large to broadcast; split them")
+    of: dict[str, list] = {}
+    for r in rows:
+        of.setdefault(r[1], []).append(r[0])
+    tree = ahocorasick.Automaton()
+    for text, names in of.items():
+        if text:
+            tree.add_word(text, names)
+    if len(tree):
+        tree.make_automaton()
+    shared = df.sparkSession.sparkContext.broadcast((tree, of.get("", [])))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, always = shared.value
+        for batch in batches:
+            item, at = [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                if text is not None:
+                    found = set(always).union(*(names for _, names in tree.iter(text))) if len(tree) else set(always)
+                    item.extend(found), at.extend([i] * len(found))
+            yield pa.record_batch({"item": pa.array(item, pa.int64()), "id": batch.column(0).take(pa.array(at, pa.int64()))})
+
+    kind = df.schema[id_col].dataType.simpleString()
+    return spread(df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string"))).mapInArrow(run, f"item bigint, id {kind}").distinct()

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 #: The least positive normal 32-bit float: no scale is smaller.
 TINY = 1.1754943508222875e-38
-VARIANTS = ((32, "dim"), (8, "dim"), (8, "row"), (4, "dim"), (4, "row"), (2, "row"), (2, "dim"))
+VARIANTS = ((32, "dim"), (8, "dim"), (8, "row"), (4, "dim"), (4, "row"), (2, "row"))
 
 
 def qmax(bits: int) -> int:
@@ -20,13 +20,16 @@ def qmax(bits: int) -> int:
     return 2 ** (bits - 1) - 1
 
 
+def cell_name(bits: int, axis: str | None) -> str:
+    """fp32, or int{bits}_{axis}: the name of a cell, deployed or not."""
+    return "fp32" if bits >= 32 else f"int{bits}_{axis}"
+
+
 def variant(bits: int, axis: str) -> str:
-    """fp32, or int{bits}_{axis}; two bits by dimension are not deployed."""
-    if bits >= 32:
-        return "fp32"
-    if axis not in ("row", "dim"):
-        raise ValueError(f"no axis {axis}")
-    return f"int{bits}_{axis}"
+    """The name of a deployed variant; any other cell is an error, among them two bits by dimension."""
+    if bits < 32 and (bits, axis) not in VARIANTS:
+        raise ValueError(f"{bits} bits by {axis} are not deployed")
+    return cell_name(bits, axis)
 
 
 def slice_table(w: DataFrame, dim: int) -> DataFrame:

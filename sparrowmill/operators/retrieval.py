@@ -32,6 +32,23 @@ def per_query(ranked: DataFrame, qrels: DataFrame, k: int = 10, deep: int = 100)
     return x.select("qid", "n_rel", *cols)
 
 
+def by_part(corpus: DataFrame, queries: DataFrame, qrels: DataFrame, part: str, dims: tuple[int, ...], k: int = 10) -> DataFrame:
+    """(part, dim, n_queries, ndcg10) of corpus (id, part, embedding), queries (qid, embedding), qrels (part, qid, id): each
+    part's rows are a corpus of their own, searched by the queries that have a positive in it."""
+    from ..functions.vectors import truncate
+    from .embed import nearest
+
+    ideal = F.aggregate(F.sequence(F.lit(1), F.least("n_rel", F.lit(k)).cast("int")), F.lit(0.0), lambda s, r: s + 1 / F.log2(r + 1.0))
+    rel = qrels.groupBy(part, "qid").agg(F.count("*").alias("n_rel")).withColumn("ideal", ideal)
+    out = None
+    for d in dims:
+        c, q = (x.withColumn("embedding", truncate(F.col("embedding"), d)) for x in (corpus, queries))
+        hits = nearest(c, q, k, part=part).withColumnRenamed("part", part).join(qrels, [part, "qid", "id"]).groupBy(part, "qid").agg(F.sum(1 / F.log2(F.col("rank") + 1.0)).alias("dcg"))
+        one = rel.join(hits, [part, "qid"], "left").groupBy(part).agg(F.lit(d).cast("bigint").alias("dim"), F.count("*").alias("n_queries"), F.round(F.avg(F.coalesce("dcg", F.lit(0.0)) / F.col("ideal")), 6).alias("ndcg10"))
+        out = one if out is None else out.union(one)
+    return out
+
+
 def means(per: DataFrame) -> DataFrame:
     return per.agg(F.count("*").alias("n_queries"), *(F.round(F.avg(c), 6).alias(c) for c in per.columns if c not in ("qid", "n_rel")))
 

@@ -59,10 +59,14 @@ def batch_windows(sizes: DataFrame, batch: int, drop_last: bool = True) -> DataF
 def rank_plan(windows: DataFrame, epoch: int, world: int = 1, seed: int = 42) -> DataFrame:
     """(step, rank, source, start): the epoch's shuffle of the windows, dealt in turn and cut so that all ranks have as many.
 
-    There is a row for each batch, not for each example, so one window over all of them holds.
+    Numbered in two steps, within the 4,096 buckets of the order's leading digits and over the buckets' counts.
     """
-    w = W.orderBy(order_key(seed + epoch, F.col("source"), F.col("start")), "source", "start")
-    p = windows.withColumn("p", (F.row_number().over(w) - 1).cast("bigint")).crossJoin(F.broadcast(windows.agg(F.count("*").alias("total"))))
+    keyed = windows.withColumn("_key", order_key(seed + epoch, F.col("source"), F.col("start"))).withColumn("_bucket", F.substring("_key", 1, 3))
+    counts = keyed.groupBy("_bucket").agg(F.count("*").alias("_n"))
+    every = W.orderBy("_bucket")
+    base = counts.select("_bucket", (F.sum("_n").over(every.rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")).alias("_base"), F.sum("_n").over(every.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("total"))
+    own = F.row_number().over(W.partitionBy("_bucket").orderBy("_key", "source", "start")) - 1
+    p = keyed.withColumn("_own", own).join(base, "_bucket").withColumn("p", F.col("_base") + F.col("_own"))
     p = p.withColumn("step", F.expr(f"p div {world}")).withColumn("rank", F.col("p") % world)
     return p.where(F.col("step") < F.expr(f"total div {world}")).select("step", "rank", "source", "start")
 
@@ -102,3 +106,29 @@ def hard_negatives(scores: DataFrame, threshold: float = 0.95, n: int = 50) -> D
 def negatives_summary(scores: DataFrame, kept: DataFrame) -> DataFrame:
     """n_pre, n_kept, n_dropped; empty and null arrays count as dropped."""
     return scores.agg(F.count("*").alias("n_pre")).crossJoin(kept.agg(F.count("*").alias("n_kept"))).withColumn("n_dropped", F.col("n_pre") - F.col("n_kept"))
+
+
+def dense_ids(ids: DataFrame, id_col: str = "id") -> DataFrame:
+    """(id, rank): the place of each distinct id (a whole number) among all, from 0, numbered by chunks and within them."""
+    from .schedule import offsets
+
+    x = ids.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id")).distinct().select(F.lit(0).alias("all"), "id", F.lit(1).cast("bigint").alias("one"))
+    return offsets(x, "all", "id", "one").select("id", F.col("start").alias("rank"))
+
+
+def gather_triples(pairs: DataFrame, queries: DataFrame, documents: DataFrame, negatives: int) -> DataFrame:
+    """(query_id, positive, query_ids, positive_ids, negative_ids) for `pairs` (query_id, positive, negatives): the tokens of
+    each text, encoded once, brought back to every pair that has it. An id without tokens, or another number of negatives than
+    `negatives`, is an error."""
+
+    def need(c: str):
+        return F.when(F.col(c).isNotNull(), F.col(c)).otherwise(F.raise_error(F.lit("a pair's text has no tokens")))
+
+    size = F.when(F.size("negatives") == negatives, F.col("negatives")).otherwise(F.raise_error(F.lit(f"a pair has not {negatives} negatives")))
+    p = pairs.select("query_id", "positive", size.alias("negatives"))
+    roles = F.concat(F.array(F.struct(F.lit(-1).alias("at"), F.col("positive").alias("id"))), F.transform("negatives", lambda x, i: F.struct(i.alias("at"), x.alias("id"))))
+    each = p.select("query_id", "positive", F.explode(roles).alias("r")).select("query_id", "positive", "r.at", "r.id")
+    each = each.join(documents.select("id", F.col("ids").alias("tokens")), "id", "left").select("query_id", "positive", "at", need("tokens").alias("tokens"))
+    met = each.groupBy("query_id", "positive").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "tokens"))), lambda x: x["tokens"]).alias("all"))
+    met = met.join(queries.select(F.col("id").alias("query_id"), F.col("ids").alias("query_ids")), "query_id", "left")
+    return met.select("query_id", "positive", need("query_ids").alias("query_ids"), F.element_at("all", 1).alias("positive_ids"), F.slice("all", 2, max(1, negatives)).alias("negative_ids"))

@@ -4,23 +4,32 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.vectors import normalize
-from . import embed, quantize, retrieval
+from ..functions.text import slug
+from . import embed, quantize
 
+#: The grid's dimensions, bits and axes.
 DIMS = (1024, 512, 256, 128, 64, 32)
 BITS = (8, 4, 3, 2)
-AXES = ("dim", "row", "hybrid")
+AXES = ("row", "dim", "hybrid")
 #: The deployed variants by group, as (bits, axis, dim).
 GROUPS = {
-    "fp32": [(32, None, d) for d in (1024, 512, 256)],
-    "by_dim": [(8, "dim", 512), (8, "dim", 256), (4, "dim", 1024), (4, "dim", 512), (4, "dim", 256)],
-    "by_row": [(8, "row", 256), (4, "row", 512), (2, "row", 1024), (2, "row", 512)],
+    "int8_dim": ((8, "dim", 1024), (8, "dim", 512), (8, "dim", 256), (8, "dim", 128)),
+    "int4_dim": ((4, "dim", 1024), (4, "dim", 512), (4, "dim", 256), (4, "dim", 128)),
+    "row": ((8, "row", 256), (4, "row", 512), (2, "row", 1024), (2, "row", 512)),
 }
 
 
+def scaled(most: int, full: int = DIMS[0]) -> dict:
+    """GROUPS for weights of `most` dimensions: the same shares of them."""
+    return {g: tuple((b, a, d * most // full) for b, a, d in cells_) for g, cells_ in GROUPS.items()}
+
+
 def cells(dims: Iterable[int] = DIMS, bits: Iterable[int] = BITS, axes: Iterable[str] = AXES) -> list[tuple[int, str | None, int]]:
     """(bits, axis, dim): at 32 bits there is no axis."""
     return [c for d in dims for c in ((32, None, d), *((b, a, d) for b in bits for a in axes))]
@@ -48,12 +57,44 @@ def table(weights: DataFrame, bits: int, axis: str | None, dim: int) -> DataFram
 
 
 def evaluate(weights: DataFrame, corpus: DataFrame, queries: DataFrame, qrels: DataFrame, wanted: list[tuple[int, str | None, int]], k: int = 10) -> DataFrame:
-    """(bits, axis, dim, ndcg10) for corpus (id, ids), queries (qid, ids), qrels (qid, id), tokenized once for all cells."""
-    out = None
-    for bits, axis, dim in wanted:
-        m = embed.collect_weights(table(weights, bits, axis, dim))
-        c, q = (embed.pool(x, m).withColumn("embedding", normalize(F.col("embedding"))) for x in (corpus, queries))
-        one = retrieval.per_query(embed.nearest(c, q, k), qrels, k).agg(F.round(F.avg("ndcg"), 6).alias("ndcg10"))
-        one = one.select(F.lit(bits).alias("bits"), F.lit(axis).cast("string").alias("axis"), F.lit(dim).alias("dim"), "ndcg10")
-        out = one if out is None else out.union(one)
-    return out
+    """(bits, axis, dim, ndcg10) for corpus (id, ids), queries (qid, ids), qrels (qid, id): one pass over the corpus for all cells.
+
+    The cells' tables and their queries' vectors are of the model's and the query set's size, which are checked.
+    """
+    spark = weights.sparkSession
+    tables = [embed.collect_weights(table(weights, *c)) for c in wanted]
+    asked = queries.select("qid", "ids").collect()
+    if sum(len(asked) * m.shape[1] * 8 + m.nbytes for m in tables) > embed.MOST_BYTES:
+        raise ValueError("the cells and queries are too large to broadcast; evaluate fewer at once")
+    at = np.append(0, np.cumsum([len(r.ids) for r in asked])).astype(np.int64)
+    flat = np.array([i for r in asked for i in r.ids], np.int64)
+    shared = spark.sparkContext.broadcast(([r.qid for r in asked], [(m, embed.unit(embed.pooled(m, flat, at))) for m in tables]))
+
+    def run(batches):
+        ids, cells_ = shared.value
+        for batch in batches:
+            if not batch.num_rows or not ids:
+                continue
+            own, (flat, at) = batch.column(0).to_numpy(), embed.lists(batch.column(1))
+            for c, (m, q) in enumerate(cells_):
+                best = embed.best_of(ids, q, own, embed.unit(embed.pooled(m, flat, at)), k)
+                yield pa.record_batch({"cell": pa.array(np.full(len(best[0]), c, np.int32)), "qid": pa.array(best[0], pa.int64()), "id": pa.array(best[1], pa.int64()), "score": pa.array(best[2], pa.float64())})
+
+    found = corpus.select(F.col("id").cast("bigint"), "ids").mapInArrow(run, "cell int, qid bigint, id bigint, score double")
+    w = W.partitionBy("cell", "qid").orderBy(F.desc("score"), "id")
+    ranked = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    names = spark.createDataFrame([(i, *c) for i, c in enumerate(wanted)], "cell int, bits int, axis string, dim int")
+    rel = qrels.groupBy("qid").agg(F.count("*").alias("n_rel"))
+    hits = ranked.join(qrels, ["qid", "id"]).groupBy("cell", "qid").agg(F.sum(1 / F.log2(F.col("rank") + 1.0)).alias("dcg"))
+    ideal = F.aggregate(F.sequence(F.lit(1), F.least("n_rel", F.lit(k)).cast("int")), F.lit(0.0), lambda s, r: s + 1 / F.log2(r + 1.0))
+    per = rel.crossJoin(F.broadcast(names)).join(hits, ["cell", "qid"], "left")  # a row for each scored query and cell
+    return per.groupBy("bits", "axis", "dim").agg(F.round(F.avg(F.coalesce("dcg", F.lit(0.0)) / ideal), 6).alias("ndcg10"))
+
+
+def deployment(weights: DataFrame, corpus: DataFrame, queries: DataFrame, qrels: DataFrame, groups: dict = GROUPS, k: int = 10) -> DataFrame:
+    """(group, slug, bits, axis, dim, ndcg10) of the deployed variants that the weights' dimension has room for."""
+    most = weights.select(F.size("vec").alias("d")).first().d
+    rows = [(g, *c) for g, cells_ in groups.items() for c in cells_ if c[2] <= most]
+    scores = evaluate(weights, corpus, queries, qrels, [r[1:] for r in rows], k)
+    named = weights.sparkSession.createDataFrame(rows, "`group` string, bits int, axis string, dim int")
+    return named.join(scores, ["bits", "axis", "dim"]).select("group", slug(F.col("bits"), F.col("axis"), F.col("dim")).alias("slug"), "bits", "axis", "dim", "ndcg10")

@@ -10,6 +10,7 @@ from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import embed, quantize, retrieval, schedule, split, sweep
 from ..session import stored, table
+from ..streaming import incremental
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -57,25 +58,33 @@ def weights(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings").select(F.col("vec_id").alias("token_id"), F.col("embedding").alias("vec"))
 
 
-def encoded(spark: SparkSession, sf: str, name: str = "documents", id_col: str = "doc_id") -> DataFrame:
+_known: dict = {}
+
+
+def words_of(spark: SparkSession, sf: str):
+    """The vocabulary of a table's documents by id, counted once for a session and its files."""
     docs = table(spark, sf, "documents")
-    vocab = embed.vocabulary(docs, "text", weights(spark, sf).count())
-    return embed.token_ids(table(spark, sf, name).select(F.col(id_col).alias("id"), "text"), vocab, "text").drop("text")
+    key = (spark.sparkContext.applicationId, tuple(docs.inputFiles()))
+    if key not in _known:
+        _known.clear()
+        _known[key] = embed.collect_vocabulary(embed.vocabulary(docs, "text", weights(spark, sf).count()))
+    return _known[key]
+
+
+def encoded(spark: SparkSession, sf: str, name: str = "documents", id_col: str = "doc_id") -> DataFrame:
+    return embed.token_ids(embed.spread(table(spark, sf, name).select(F.col(id_col).alias("id"), "text")), words_of(spark, sf), "text").drop("text")
 
 
 def vectors(spark: SparkSession, sf: str, name: str = "documents", id_col: str = "doc_id") -> DataFrame:
     """(id, embedding): texts without a word have no vector here."""
-    ids = encoded(spark, sf, name, id_col).where(F.size("ids") > 0)
-    return embed.pool(ids, embed.collect_weights(weights(spark, sf))).drop("ids").withColumn("embedding", V.normalize(F.col("embedding")))
+    v = embed.embed_texts(table(spark, sf, name), words_of(spark, sf), embed.collect_weights(weights(spark, sf)), id_col)
+    return v.where("n_tokens > 0").select("id", "embedding")
 
 
 def relevance(spark: SparkSession, sf: str) -> DataFrame:
-    """(qid, id): documents that contain an item's text. The items are a stated set, broadcast below a size that is checked."""
+    """(qid, id): documents that contain an item's text."""
     items = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("item"))
-    if (items.agg(F.sum(F.length("item"))).first()[0] or 0) < 1 << 28:
-        items = F.broadcast(items)
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
-    return docs.join(items, F.contains("text", "item")).select("qid", "id").distinct()
+    return embed.containing(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), items).select(F.col("item").alias("qid"), "id")
 
 
 def ranked(spark: SparkSession, sf: str, k: int, dim: int | None = None) -> DataFrame:
@@ -192,7 +201,9 @@ SQL_ROWS = "rows AS (SELECT source, doc_id, text, row_number() OVER (PARTITION B
 
 
 def _rows(spark, sf):
-    return table(spark, sf, "documents").withColumn("row_idx", (F.row_number().over(W.partitionBy("source").orderBy("doc_id")) - 1).cast("bigint"))
+    """The documents with their place in their source, numbered by chunks and within them."""
+    docs = table(spark, sf, "documents").withColumn("one", F.lit(1).cast("bigint"))
+    return schedule.offsets(docs, "source", "doc_id", "one").withColumnRenamed("start", "row_idx").drop("one")
 
 
 @query(_SQL_TIERS + f", {SQL_ROWS} SELECT source, doc_id, row_idx::BIGINT AS row_idx FROM rows JOIN tt USING (source) WHERE tier = 'small' AND row_idx < take_rows")
@@ -219,9 +230,9 @@ def min_length_counts(spark, sf):
     return x.groupBy("lang", "source").agg(F.count("*").alias("n_rows"), F.sum(F.char_length("text")).alias("n_chars"))
 
 
-@query("SELECT doc_id, translate(text, chr(10) || chr(9), '  ') AS line FROM documents WHERE char_length(text) >= 300 ORDER BY doc_id LIMIT 200")
+@query("SELECT doc_id, translate(text, chr(10) || chr(9), '  ') AS line FROM documents WHERE char_length(text) >= 300")
 def min_length_flatten(spark, sf):
-    x = table(spark, sf, "documents").where(F.char_length("text") >= 300).orderBy("doc_id").limit(200)
+    x = table(spark, sf, "documents").where(F.char_length("text") >= 300)
     return x.select("doc_id", T.flatten(F.col("text")).alias("line"))
 
 
@@ -312,7 +323,7 @@ _pack_query(2, "row")
 
 
 def _error_sql(bits, axis):
-    return f"""SELECT '{quantize.variant(bits, axis)}' AS variant, round(max(er), 6) AS max_error, round(avg(er), 6) AS mean_error, round(quantile_cont(er, 0.99), 6) AS p99_error
+    return f"""SELECT '{quantize.cell_name(bits, axis)}' AS variant, round(max(er), 6) AS max_error, round(avg(er), 6) AS mean_error, round(quantile_cont(er, 0.99), 6) AS p99_error
 FROM (WITH {_sql_codes(bits, axis)} SELECT abs(x::DOUBLE - (code * scale)::FLOAT::DOUBLE) AS er FROM cd) s"""
 
 
@@ -320,7 +331,7 @@ FROM (WITH {_sql_codes(bits, axis)} SELECT abs(x::DOUBLE - (code * scale)::FLOAT
 def dequant_error(spark, sf):
     out = None
     for b, a in ((8, "dim"), (8, "row"), (4, "dim"), (4, "row"), (3, "row"), (2, "row")):
-        one = quantize.error_stats(quantize.fake_quantize(weights(spark, sf), b, a)).select(F.lit(quantize.variant(b, a)).alias("variant"), "*")
+        one = quantize.error_stats(quantize.fake_quantize(weights(spark, sf), b, a)).select(F.lit(quantize.cell_name(b, a)).alias("variant"), "*")
         out = one if out is None else out.union(one)
     return out
 
@@ -342,8 +353,8 @@ SELECT id, round(max(CASE WHEN d = 0 THEN x END), 6) AS x1, round(sum(x), 5) AS
 
     @query(sql, f"embed_int{bits}_{axis}")
     def run(spark, sf):
-        ids = encoded(spark, sf).where(F.size("ids") > 0)
-        v = embed.pool_quantized(ids, quantize.quantize(weights(spark, sf), bits, axis), axis)
+        codes, scales = embed.quantized_weights(quantize.quantize(weights(spark, sf), bits, axis), axis)
+        v = embed.embed_texts(table(spark, sf, "documents"), words_of(spark, sf), codes, "doc_id", scales=scales, normalized=False).where("n_tokens > 0")
         total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x)
         return v.select("id", F.round(F.element_at("embedding", 1), 6).alias("x1"), F.round(total, 5).alias("total"), F.round(V.norm(F.col("embedding")), 6).alias("length"))
 
@@ -385,25 +396,45 @@ el AS (SELECT query_id, positive, id, score, row_number() OVER (PARTITION BY que
  FROM s JOIN p USING (query_id) WHERE id <> positive AND score < 0.95 * ps)"""
 
 
-def _scores(spark, sf):
-    """(query_id, document_ids, scores) of a stated set of queries (every twentieth vector) against all vectors, the nearest of the same label first."""
-    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
-    q = e.where("id % 20 = 0").withColumnRenamed("id", "qid")
-    s = embed.similarities(e, q).where("id <> qid").select(F.col("qid").alias("query_id"), "id", "same", F.round("score", 6).alias("score"))
-    # Within a query: the nearest of the same label, then all others.
-    a = s.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct((~F.col("same")).alias("o"), (-F.col("score")).alias("n"), "id", "score"))).alias("a"))
-    return a.select("query_id", F.transform("a", lambda x: x["id"]).alias("document_ids"), F.transform("a", lambda x: x["score"]).alias("scores"))
+def _mined(spark, sf, n: int = 50):
+    """The negatives of a stated set of queries (every twentieth vector) among all vectors."""
+    e = embed.spread(table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label"))
+    return embed.mined_negatives(e, e.where("id % 20 = 0").withColumnRenamed("id", "qid"), n=n)
 
 
 @query(f"WITH {SQL_SCORES} SELECT query_id, positive, n_eligible, string_agg(id::VARCHAR, ',' ORDER BY k) AS negatives FROM el WHERE n_eligible >= 50 AND k <= 50 GROUP BY query_id, positive, n_eligible")
 def hard_negatives(spark, sf):
-    return split.hard_negatives(_scores(spark, sf)).select("query_id", "positive", "n_eligible", F.array_join(F.transform("negatives", lambda x: x.cast("string")), ",").alias("negatives"))
+    return _mined(spark, sf).where("n_eligible >= 50").select("query_id", "positive", "n_eligible", F.array_join(F.transform("negatives", lambda x: x.cast("string")), ",").alias("negatives"))
 
 
 @query(f"WITH {SQL_SCORES}, c AS (SELECT count(DISTINCT query_id) AS k FROM el WHERE n_eligible >= 450) SELECT (SELECT count(*) FROM q) AS n_pre, k AS n_kept, (SELECT count(*) FROM q) - k AS n_dropped FROM c")
 def negatives_dropped(spark, sf):
-    s = stored(_scores(spark, sf))
-    return split.negatives_summary(s, split.hard_negatives(s, n=450))
+    asked = table(spark, sf, "embeddings").where("vec_id % 20 = 0")
+    return split.negatives_summary(asked, _mined(spark, sf, 1).where("n_eligible >= 450"))
+
+
+#: Given candidate lists: a vector's places as ids and its components as scores, the first as the positive; every seventh list empty.
+_SQL_GIVEN = """g AS (SELECT vec_id AS query_id, CASE WHEN vec_id % 7 = 0 THEN [] ELSE embedding::DOUBLE[] END AS s FROM embeddings),
+x AS (SELECT query_id, s[1] AS top, unnest(s) AS score, generate_subscripts(s, 1) AS id FROM g),
+el AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id DESC) AS k, count(*) OVER (PARTITION BY query_id) AS n_eligible FROM x WHERE id > 1 AND score < 0.95 * top)"""
+
+
+def _given(spark, sf):
+    e = table(spark, sf, "embeddings")
+    s = F.when(F.col("vec_id") % 7 == 0, F.array().cast("array<double>")).otherwise(F.col("embedding").cast("array<double>"))
+    return e.select(F.col("vec_id").alias("query_id"), F.transform("embedding", lambda _, i: (i + 1).cast("bigint")).alias("document_ids"), s.alias("scores"))
+
+
+@query(f"WITH {_SQL_GIVEN} SELECT query_id, 1::BIGINT AS positive, n_eligible, string_agg(id::VARCHAR, ',' ORDER BY k) AS negatives FROM el WHERE n_eligible >= 20 AND k <= 20 GROUP BY query_id, n_eligible")
+def hard_negatives_of_lists(spark, sf):
+    x = split.hard_negatives(_given(spark, sf), n=20)
+    return x.select("query_id", "positive", "n_eligible", F.array_join(F.transform("negatives", lambda v: v.cast("string")), ",").alias("negatives"))
+
+
+@query(f"WITH {_SQL_GIVEN} SELECT (SELECT count(*) FROM g) AS n_pre, count(DISTINCT query_id) AS n_kept, (SELECT count(*) FROM g) - count(DISTINCT query_id) AS n_dropped FROM el WHERE n_eligible >= 20")
+def negatives_dropped_of_lists(spark, sf):
+    s = _given(spark, sf)
+    return split.negatives_summary(s, split.hard_negatives(s, n=20))
 
 
 SQL_SPLIT = """
@@ -424,10 +455,20 @@ def stratified_split(spark, sf):
 
 @query(f"""WITH {SQL_SPLIT}, a AS (SELECT coalesce(source, 'TOTAL') AS source, count(*) FILTER (WHERE split = 'train') AS n_train, count(*) FILTER (WHERE split = 'eval') AS n_eval FROM sp GROUP BY ROLLUP (source))
 SELECT source, n_train, n_eval, 0::BIGINT AS n_both, round(n_eval / (n_train + n_eval), 6) AS fraction FROM a""")
-def split_disjointness(spark, sf):
+def split_counts(spark, sf):
     return split.split_summary(_split(spark, sf))
 
 
+@query(f"""WITH {SQL_SPLIT}, two AS (SELECT source, id, split FROM sp UNION ALL SELECT source, id, 'train' FROM sp WHERE split = 'eval' AND id % 3 = 0),
+b AS (SELECT source, id, count(*) FILTER (WHERE split = 'train') AS t, count(*) FILTER (WHERE split = 'eval') AS e FROM two GROUP BY source, id),
+a AS (SELECT coalesce(source, 'TOTAL') AS source, sum(t)::BIGINT AS n_train, sum(e)::BIGINT AS n_eval, count(*) FILTER (WHERE t > 0 AND e > 0) AS n_both FROM b GROUP BY ROLLUP (source))
+SELECT source, n_train, n_eval, n_both, round(n_eval / (n_train + n_eval), 6) AS fraction FROM a""")
+def split_disjointness(spark, sf):
+    """The check on a split that isn't one: every third held-out id also stands among the training ids."""
+    s = _split(spark, sf)
+    return split.split_summary(s.union(s.where("split = 'eval' AND id % 3 = 0").withColumn("split", F.lit("train"))))
+
+
 @query("""SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT d.doc_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)) ORDER BY sha256('42007:' || doc_id), doc_id LIMIT 100""")
 def distractor_sample(spark, sf):
     return split.distractors(table(spark, sf, "documents"), relevance(spark, sf).select(F.col("id").alias("doc_id")), "doc_id", 100)
@@ -489,7 +530,7 @@ def lr_schedule(spark, sf):
 h AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY sha256('42:' || query_id || ':' || j), id) AS rn FROM ng)
 SELECT query_id, string_agg(id::VARCHAR, ',' ORDER BY rn) AS sampled FROM h WHERE rn <= 7 GROUP BY query_id""")
 def negative_sample(spark, sf):
-    x = split.sample_negatives(split.hard_negatives(_scores(spark, sf)), "query_id", "negatives", 7)
+    x = split.sample_negatives(_mined(spark, sf).where("n_eligible >= 50"), "query_id", "negatives", 7)
     return x.select("query_id", F.array_join(F.transform("sampled", lambda v: v.cast("string")), ",").alias("sampled"))
 
 
@@ -516,17 +557,48 @@ def set_checks(spark, sf):
     return x.agg(F.count_if((F.col("l") == 1) & (F.col("r") == 1)).alias("n_both"), F.count_if((F.col("l") == 1) & (F.col("r") == 0)).alias("n_only_left"), F.count_if((F.col("l") == 1) | (F.col("r") == 1)).alias("n_any"), (F.count_if((F.col("l") == 1) & (F.col("a") == 0)) == 0).alias("subset"))
 
 
-@query("WITH x AS (SELECT doc_id, source, source IN ('src0', 'src1') AS policy FROM documents) SELECT source, count(DISTINCT policy) AS n_policies, bool_and(policy) AS policy FROM x GROUP BY source")
+@query("WITH x AS (SELECT doc_id, source, source IN ('src0', 'src1') OR lang = 'fr' AS policy FROM documents) SELECT source, count(DISTINCT policy) AS n_policies, bool_and(policy) AS policy FROM x GROUP BY source")
 def policy_check(spark, sf):
-    x = table(spark, sf, "documents").select("source", F.col("source").isin("src0", "src1").alias("policy"))
+    x = table(spark, sf, "documents").select("source", (F.col("source").isin("src0", "src1") | (F.col("lang") == "fr")).alias("policy"))
     return x.groupBy("source").agg(F.countDistinct("policy").alias("n_policies"), F.every("policy").alias("policy"))
 
 
-@query(f"WITH {SQL_ROWS}, done AS (SELECT source, row_idx FROM rows WHERE row_idx < 10) SELECT source, doc_id, row_idx::BIGINT AS row_idx FROM rows WHERE row_idx < 20 AND NOT EXISTS (SELECT 1 FROM done WHERE done.source = rows.source AND done.row_idx = rows.row_idx)")
+@query(_SQL_TIERS + f""", {SQL_ROWS}, h AS (SELECT source, max(CASE WHEN tier = 'xs' THEN take_rows END) AS have, max(CASE WHEN tier = 'full' THEN take_rows END) AS want FROM tt GROUP BY source)
+SELECT source, doc_id, row_idx::BIGINT AS row_idx FROM rows JOIN h USING (source) WHERE row_idx >= have AND row_idx < want""")
 def incremental_upgrade(spark, sf):
-    rows = _rows(spark, sf)
-    done = rows.where("row_idx < 10").select("source", "row_idx")
-    return rows.where("row_idx < 20").join(done, ["source", "row_idx"], "left_anti").select("source", "doc_id", "row_idx")
+    """What the full tier adds to the rows that the smallest one has."""
+    rows, tiers = _rows(spark, sf), schedule.tiers(_sources(spark, sf), CHUNK, TARGETS)
+    have = schedule.prefix(rows, tiers, "xs")
+    return incremental.upgrade(rows, have, tiers, "full").select("source", "doc_id", "row_idx")
+
+
+@query("WITH p AS (SELECT DISTINCT item_id AS query_id FROM benchmark) SELECT query_id AS id, row_number() OVER (ORDER BY query_id) - 1 AS rank FROM p UNION ALL SELECT DISTINCT doc_id, dense_rank() OVER (ORDER BY doc_id) - 1 FROM documents")
+def dense_ids(spark, sf):
+    a, b = (split.dense_ids(table(spark, sf, t), c) for t, c in (("benchmark", "item_id"), ("documents", "doc_id")))
+    return a.union(b)
+
+
+_SQL_TRIPLES = f"""WITH {SQL_VOCAB},
+p AS (SELECT item_id AS query_id, min(doc_id) AS positive FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY item_id),
+n AS (SELECT query_id, positive, j, (positive + 17 * j) % (SELECT max(doc_id) + 1 FROM documents) AS id FROM p, (SELECT unnest(range(1, 4)) AS j)),
+t AS (SELECT d.doc_id AS id, coalesce(string_agg(token_id::VARCHAR, '-' ORDER BY i), '') AS ids FROM (SELECT doc_id, unnest({TOKENS}) AS tok, generate_subscripts({TOKENS}, 1) AS i FROM documents) x LEFT JOIN vocab USING (tok) RIGHT JOIN documents d ON d.doc_id = x.doc_id GROUP BY d.doc_id)"""
+_SQL_TRIPLES = _SQL_TRIPLES.replace("string_agg(token_id::VARCHAR", "string_agg(CASE WHEN i IS NOT NULL THEN coalesce(token_id, 0)::VARCHAR END")
+
+
+@query(_SQL_TRIPLES + """ SELECT p.query_id, p.positive, a.ids AS positive_ids, string_agg(c.ids, ',' ORDER BY n.j) AS negative_ids
+FROM p JOIN t a ON a.id = p.positive JOIN n USING (query_id, positive) JOIN t c ON c.id = n.id GROUP BY p.query_id, p.positive, a.ids""")
+def triples(spark, sf):
+    """Each item that a document contains, the first such document, and three others by a rule: their tokens, encoded once, brought to the pairs."""
+    docs = encoded(spark, sf)
+    top = table(spark, sf, "documents").agg(F.max("doc_id")).first()[0] + 1
+    pairs = relevance(spark, sf).groupBy(F.col("qid").alias("query_id")).agg(F.min("id").alias("positive"))
+    pairs = pairs.withColumn("negatives", F.transform(F.sequence(F.lit(1), F.lit(3)), lambda j: (F.col("positive") + 17 * j) % top))
+    x = split.gather_triples(pairs, encoded(spark, sf, "benchmark", "item_id"), docs, 3)
+
+    def text(c):
+        return F.array_join(F.transform(c, lambda i: i.cast("string")), "-")
+
+    return x.select("query_id", "positive", text(F.col("positive_ids")).alias("positive_ids"), F.array_join(F.transform("negative_ids", text), ",").alias("negative_ids"))
 
 
 # Result tables ---------------------------------------------------------------------------------------------------
@@ -536,7 +608,7 @@ POINTS = [
     ("fp32-dim-1024", 125.02, 7545581, 0.474926), ("fp32-dim-128", 15.63, 9521761, 0.440249), ("fp32-dim-256", 31.25, 9317021, 0.462411), ("fp32-dim-512", 62.51, 8805278, 0.469748),
     ("fp32-dim-64", 7.81, 9671980, 0.414774), ("int2-row-1024", 7.94, 8318109, 0.418488), ("int2-row-512", 4.03, 9013426, 0.419512), ("int4-dim-1024", 15.63, 8557591, 0.465777),
     ("int4-dim-128", 1.95, 9425513, 0.431234), ("int4-dim-256", 3.91, 9473004, 0.449802), ("int4-dim-512", 7.82, 9033115, 0.462941), ("int4-row-512", 7.94, 8757383, 0.469662),
-    ("int8-dim-1024", 31.26, 8430565, 0.474720), ("int8-dim-128", 3.91, 9732201, 0.438987), ("int8-dim-256", 7.82, 9584143, 0.462428), ("int8-dim-512", 15.63, 9047456, 0.469988), ("int8-row-256", 7.94, 9440706, 0.462324),
+    ("int8-dim-1024", 31.26, 8430565, 0.474720), ("int8-dim-128", 3.91, 9732201, 0.438987), ("int8-dim-256", 7.82, 9383756, 0.462428), ("int8-dim-512", 15.63, 9047456, 0.469988), ("int8-row-256", 7.94, 9440706, 0.462324),
 ]
 _SQL_POINTS = "p(slug, size_mb, tok_s, ndcg12) AS (VALUES " + ", ".join(f"('{s}', {m}::DOUBLE, {t}::BIGINT, {n}::DOUBLE)" for s, m, t, n in POINTS) + ")"
 _PATTERN = r"^(fp|int)(\d+)-(dim|row)-(\d+)"
@@ -620,48 +692,135 @@ def matryoshka_loss(spark, sf):
     return retrieval.matryoshka_loss(_pairs(spark, sf), {64: 1.0, 32: 1.0, 16: 1.0}).select("batch", F.round("loss", 6).alias("loss"))
 
 
-@query(f"""WITH {SQL_E}, k AS (SELECT token_id, sqrt(sum(x::DOUBLE * x::DOUBLE)) AS n FROM e GROUP BY token_id) SELECT count(*) AS n_rows, count(*) AS n_ok, 0.0::DOUBLE AS worst FROM k""")
+_TOLERANCE = 0.002
+
+
+@query(f"""WITH {SQL_VOCAB}, {SQL_W}, {SQL_UNIT.format(p='', dim=64)}, {_sql_codes(8, 'dim')},
+qp AS (SELECT id, d, sum(c * code) * max(scale)::DOUBLE / sum(c) AS x FROM bag JOIN cd ON cd.token_id = bag.t GROUP BY id, d), qn AS (SELECT id, sqrt(sum(x * x)) AS n FROM qp GROUP BY id),
+df AS (SELECT unit.id, max(abs(unit.x - qp.x / CASE WHEN qn.n < 1.1920928955078125e-07 THEN 1 ELSE qn.n END)) AS worst FROM unit JOIN qp ON qp.id = unit.id AND qp.d + 1 = unit.d JOIN qn ON qn.id = unit.id GROUP BY unit.id)
+SELECT count(*) AS n_rows, count(*) FILTER (WHERE worst <= {_TOLERANCE}) AS n_ok, round(max(worst), 6) AS worst FROM df""")
 def embedding_parity(spark, sf):
-    """Normalizing twice against once: all components within the tolerance."""
-    once = weights(spark, sf).select("token_id", V.normalize(F.col("vec")).alias("a")).withColumn("b", V.normalize(F.col("a")))
+    """Every document's vector by 8-bit codes against the one by 32-bit floats, in their greatest difference."""
+    codes, scales = embed.quantized_weights(quantize.quantize(weights(spark, sf), 8, "dim"), "dim")
+    a = vectors(spark, sf).select("id", F.col("embedding").alias("a"))
+    b = embed.embed_texts(table(spark, sf, "documents"), words_of(spark, sf), codes, "doc_id", scales=scales).select("id", F.col("embedding").alias("b"))
     worst = F.array_max(F.zip_with("a", "b", lambda x, y: F.abs(x - y)))
-    return once.agg(F.count("*").alias("n_rows"), F.count_if(V.close(F.col("a"), F.col("b"))).alias("n_ok"), F.round(F.max(worst), 6).alias("worst"))
+    return a.join(b, "id").select(worst.alias("w")).agg(F.count("*").alias("n_rows"), F.count_if(F.col("w") <= _TOLERANCE).alias("n_ok"), F.round(F.max("w"), 6).alias("worst"))
+
 
+_SQL_ARTIFACTS = """s AS (SELECT count(*) AS v, max(len(embedding)) AS d FROM embeddings),
+m AS (SELECT bits, axis, fault, 'int' || bits || '_' || axis || '_' || fault AS artifact, v AS vocab, d, v - CASE WHEN fault = 'rows' THEN 1 ELSE 0 END AS n_rows,
+ (d * bits + 7) // 8 + CASE WHEN fault = 'bytes' THEN 1 ELSE 0 END AS row_bytes, CASE WHEN axis = 'row' THEN v ELSE d END - CASE WHEN fault = 'scales' THEN 1 ELSE 0 END AS n_scales
+ FROM s, (VALUES (8), (4), (2)) b(bits), (VALUES ('row'), ('dim')) a(axis), (VALUES ('none'), ('rows'), ('bytes'), ('scales')) f(fault)),
+e AS (SELECT artifact, concat_ws('; ', CASE WHEN bits = 2 AND axis = 'dim' THEN 'two bits by dimension are not deployed' END, CASE WHEN vocab <> n_rows THEN 'rows differ from the vocabulary' END,
+ CASE WHEN (d * bits + 7) // 8 <> row_bytes THEN 'wrong bytes to a row' END, CASE WHEN CASE WHEN axis = 'row' THEN vocab ELSE d END <> n_scales THEN 'wrong number of scales' END) AS errors FROM m)"""
 
-@query("""SELECT * FROM (VALUES ('bad_axis', false, 'axis must be row or dim; wrong number of scales'), ('good', true, ''), ('int2_dim', false, 'two bits by dimension are not deployed')) t(artifact, ok, errors)""")
+
+@query(f"WITH {_SQL_ARTIFACTS} SELECT artifact, errors = '' AS ok, errors FROM e")
 def artifact_validate(spark, sf):
-    base = {"bits": "4", "axis": "row", "dim": "64", "vocab_size": "500", "variant": "int4-row-64", "tokenizer": "words"}
-    rows = [("good", base, 500, 32, 500), ("bad_axis", base | {"axis": "col"}, 500, 32, 500), ("int2_dim", base | {"bits": "2", "axis": "dim"}, 500, 16, 64)]
-    return quantize.artifact_errors(spark.createDataFrame(rows, "artifact string, metadata map<string,string>, n_rows bigint, row_bytes bigint, n_scales bigint"))
+    """The weight table as artifacts of six variants, sound and with a row, a byte or a scale amiss."""
+    size = weights(spark, sf).agg(F.count("*").alias("v"), F.max(F.size("vec")).cast("bigint").alias("d"))
+    kinds = spark.createDataFrame([(b, a, f) for b in (8, 4, 2) for a in ("row", "dim") for f in ("none", "rows", "bytes", "scales")], "bits bigint, axis string, fault string")
+    x = kinds.crossJoin(size)  # one row
+
+    def amiss(fault: str):
+        return F.when(F.col("fault") == fault, 1).otherwise(0)
+
+    meta = F.create_map(*(c for k, v in (("bits", "bits"), ("axis", "axis"), ("dim", "d"), ("vocab_size", "v"), ("variant", "axis"), ("tokenizer", "axis")) for c in (F.lit(k), F.col(v).cast("string"))))
+    x = x.select(F.concat(F.lit("int"), F.col("bits").cast("string"), F.lit("_"), F.col("axis"), F.lit("_"), F.col("fault")).alias("artifact"), meta.alias("metadata"), (F.col("v") - amiss("rows")).alias("n_rows"),
+                 (F.expr("(d * bits + 7) div 8") + amiss("bytes")).alias("row_bytes"), (F.when(F.col("axis") == "row", F.col("v")).otherwise(F.col("d")) - amiss("scales")).alias("n_scales"))
+    return quantize.artifact_errors(x)
 
 
 # Sweeps, streams and library tokenizers --------------------------------------------------------------------------
 
 
 @query("""SELECT b.bits, CASE WHEN b.bits = 32 THEN NULL ELSE a.axis END AS axis, d.dim, CASE WHEN b.bits = 32 THEN 'fp32' ELSE 'int' || b.bits || '_' || a.axis END AS name
-FROM (VALUES (1024), (512), (256), (128), (64), (32)) d(dim), (VALUES (32), (8), (4), (3), (2)) b(bits), (VALUES ('dim'), ('row'), ('hybrid')) a(axis) WHERE b.bits < 32 OR a.axis = 'dim'""")
+FROM (VALUES (1024), (512), (256), (128), (64), (32)) d(dim), (VALUES (32), (8), (4), (3), (2)) b(bits), (VALUES ('row'), ('dim'), ('hybrid')) a(axis) WHERE b.bits < 32 OR a.axis = 'dim'""")
 def sweep_grid(spark, sf):
     return sweep.grid(spark, sweep.cells())
 
 
-_CELLS = ((8, "dim", 64), (4, "row", 64), (4, "dim", 32), (2, "row", 32))
+_CELLS = sweep.cells(dims=(64, 32))
 
 
-def _sql_cell(bits: int, axis: str, dim: int) -> str:
-    codes = _sql_codes(bits, axis).replace(SQL_E, f"e AS (SELECT * FROM (SELECT vec_id AS token_id, unnest(embedding)::FLOAT AS x, generate_subscripts(embedding, 1) - 1 AS d FROM embeddings) WHERE d < {dim})")
-    w = "w AS (SELECT token_id AS t, (code * scale)::FLOAT::DOUBLE AS x, d + 1 AS d FROM cd)"
-    search = f"WITH {SQL_VOCAB}, {codes}, {w}, {SQL_UNIT.format(p='', dim=dim)}, {SQL_UNIT.format(p='q', dim=dim)}, {SQL_RANKED}"
-    return (
-        f"SELECT {bits} AS bits, '{axis}' AS axis, {dim} AS dim, round(avg(coalesce(dcg, 0) / (SELECT sum(1 / log2(i + 1)) FROM range(1, least(n_rel, 10) + 1) r(i))), 6) AS ndcg10 FROM ("
-        f"{search} SELECT n_rel, dcg FROM rel LEFT JOIN (SELECT qid, sum(1 / log2(rank + 1)) AS dcg FROM ranked JOIN qrels USING (qid, id) WHERE rank <= 10 GROUP BY qid) USING (qid)) s"
-    )
+def _sql_cell(bits: int, axis: str | None, dim: int) -> str:
+    """NDCG@10 of one cell, over the tokens and relevant pairs that all cells share."""
+    raw = f"raw AS (SELECT * FROM (SELECT vec_id AS token_id, unnest(embedding)::FLOAT AS x, generate_subscripts(embedding, 1) - 1 AS d FROM embeddings) WHERE d < {dim})"
+    if bits == 32:
+        w = f"{raw}, w AS (SELECT token_id AS t, x::DOUBLE AS x, d + 1 AS d FROM raw)"
+    elif axis == "hybrid":
+        q = 2 ** (bits - 1) - 1
+        w = f"""{raw}, tp AS (SELECT token_id, greatest(max(abs(x)), 1.1754943508222875e-38::FLOAT) AS top FROM raw GROUP BY token_id), e AS (SELECT token_id, d, top, (x::DOUBLE / top::DOUBLE)::FLOAT AS x FROM raw JOIN tp USING (token_id)),
+{_sql_scale(bits, 'dim')}, w AS (SELECT token_id AS t, ((greatest(-{q}, least({q}, round_even((x::DOUBLE / scale::DOUBLE)::FLOAT::DOUBLE, 0)::INTEGER)) * scale)::FLOAT * top)::FLOAT::DOUBLE AS x, d + 1 AS d FROM e JOIN sc USING (d))"""
+    else:
+        w = f"{_sql_codes(bits, axis).replace(SQL_E, raw.replace('raw AS', 'e AS', 1))}, w AS (SELECT token_id AS t, (code * scale)::FLOAT::DOUBLE AS x, d + 1 AS d FROM cd)"
+    ranked_ = SQL_RANKED.split("qrels AS")[0].rstrip().rstrip(",")
+    return f"""SELECT {bits} AS bits, {f"'{axis}'" if axis else 'NULL'} AS axis, {dim} AS dim, round(avg(coalesce(dcg, 0) / ideal), 6) AS ndcg10 FROM (
+ WITH {w}, {SQL_UNIT.format(p='', dim=dim)}, {SQL_UNIT.format(p='q', dim=dim)}, {ranked_}
+ SELECT ideal, dcg FROM rel LEFT JOIN (SELECT qid, sum(1 / log2(rank + 1)) AS dcg FROM ranked JOIN qrels USING (qid, id) WHERE rank <= 10 GROUP BY qid) USING (qid)) s"""
 
 
-@query(" UNION ALL ".join(_sql_cell(*c) for c in _CELLS))
+def _sql_cells(wanted) -> str:
+    shared = SQL_VOCAB.replace("bag AS (", "bag AS MATERIALIZED (").replace("qbag AS MATERIALIZED (", "qbag AS MATERIALIZED (")
+    return f"""WITH {shared}, qrels AS MATERIALIZED (SELECT DISTINCT b.item_id AS qid, d.doc_id AS id FROM documents d JOIN benchmark b ON contains(d.text, b.text)),
+rel AS MATERIALIZED (SELECT qid, n_rel, (SELECT sum(1 / log2(i + 1)) FROM range(1, least(n_rel, 10) + 1) r(i)) AS ideal FROM (SELECT qid, count(*) AS n_rel FROM qrels GROUP BY qid)), cells AS ({' UNION ALL '.join(_sql_cell(*c) for c in wanted)})"""
+
+
+def _evaluated(spark, sf):
+    c = encoded(spark, sf).where(F.size("ids") > 0)
+    q = encoded(spark, sf, "benchmark", "item_id").where(F.size("ids") > 0).withColumnRenamed("id", "qid")
+    return weights(spark, sf), c, q, stored(relevance(spark, sf))
+
+
+@query(_sql_cells(_CELLS) + " SELECT * FROM cells")
 def quant_sweep(spark, sf):
-    c = stored(encoded(spark, sf).where(F.size("ids") > 0))
-    q = stored(encoded(spark, sf, "benchmark", "item_id").where(F.size("ids") > 0)).withColumnRenamed("id", "qid")
-    return sweep.evaluate(weights(spark, sf), c, q, stored(relevance(spark, sf)), list(_CELLS))
+    """Every cell of the grid at the dimensions that the weights have."""
+    return sweep.evaluate(*_evaluated(spark, sf), _CELLS)
+
+
+_GROUPS = sweep.scaled(64)
+
+
+@query(_sql_cells([c for g in _GROUPS.values() for c in g]) + ", g(\"group\", bits, axis, dim) AS (VALUES " + ", ".join(f"('{g}', {b}, '{a}', {d})" for g, cs in _GROUPS.items() for b, a, d in cs) + """)
+SELECT "group", 'int' || bits || '-' || axis || '-' || dim AS slug, bits, axis, dim, ndcg10 FROM g JOIN cells USING (bits, axis, dim)""")
+def deployment_groups(spark, sf):
+    """The deployed variants, at the same shares of the weights' dimension."""
+    return sweep.deployment(*_evaluated(spark, sf), _GROUPS)
+
+
+def _sql_heldout(dim: int) -> str:
+    return f"""SELECT source, {dim}::BIGINT AS dim, count(*) AS n_queries, round(avg(coalesce(dcg, 0) / ideal), 6) AS ndcg10 FROM (
+ WITH {SQL_W}, {SQL_UNIT.format(p='', dim=dim)}, {SQL_UNIT.format(p='q', dim=dim)}, sims AS (SELECT q.id AS qid, u.id, round(sum(q.x * u.x), 9) AS score FROM qunit q JOIN unit u USING (d) GROUP BY q.id, u.id),
+ ranked AS (SELECT source, qid, id, row_number() OVER (PARTITION BY source, qid ORDER BY score DESC, id) AS rank FROM sims JOIN documents ON doc_id = id)
+ SELECT source, qid, ideal, dcg FROM rel LEFT JOIN (SELECT source, qid, sum(1 / log2(rank + 1)) AS dcg FROM ranked JOIN qrels USING (source, qid, id) WHERE rank <= 10 GROUP BY source, qid) USING (source, qid)) s GROUP BY source"""
+
+
+_HELDOUT_DIMS = (64, 32, 16)
+_SQL_HELDOUT = f"""WITH {SQL_VOCAB}, qrels AS MATERIALIZED (SELECT DISTINCT source, b.item_id AS qid, d.doc_id AS id FROM documents d JOIN benchmark b ON contains(d.text, b.text)),
+rel AS MATERIALIZED (SELECT source, qid, n_rel, (SELECT sum(1 / log2(i + 1)) FROM range(1, least(n_rel, 10) + 1) r(i)) AS ideal FROM (SELECT source, qid, count(*) AS n_rel FROM qrels GROUP BY source, qid)),
+h AS MATERIALIZED ({' UNION ALL '.join(_sql_heldout(d) for d in _HELDOUT_DIMS)})"""
+
+
+def _heldout(spark, sf):
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "source")
+    d, q = stored(vectors(spark, sf).join(docs, "id")), vectors(spark, sf, "benchmark", "item_id").withColumnRenamed("id", "qid")
+    qrels = stored(relevance(spark, sf).join(docs, "id").select("source", "qid", "id"))
+    return retrieval.by_part(d, q, qrels, "source", _HELDOUT_DIMS)
+
+
+@query(_SQL_HELDOUT + """, c AS (SELECT source, count(*) AS n_corpus FROM documents GROUP BY source), n AS (SELECT source, count(*) AS n_qrels FROM qrels GROUP BY source)
+SELECT source, dim, n_corpus, n_queries, n_qrels, ndcg10 FROM h JOIN c USING (source) JOIN n USING (source)""")
+def heldout_by_source(spark, sf):
+    """Each source's own corpus searched by the queries that it answers, at several dimensions."""
+    docs = table(spark, sf, "documents")
+    n = relevance(spark, sf).join(docs.select(F.col("doc_id").alias("id"), "source"), "id").groupBy("source").agg(F.count("*").alias("n_qrels"))
+    return _heldout(spark, sf).join(docs.groupBy("source").agg(F.count("*").alias("n_corpus")), "source").join(n, "source").select("source", "dim", "n_corpus", "n_queries", "n_qrels", "ndcg10")
+
+
+@query(_SQL_HELDOUT + " SELECT dim, round(avg(ndcg10), 6) AS mean, round(sum(ndcg10 * n_queries) / sum(n_queries), 6) AS weighted_mean FROM h GROUP BY dim")
+def heldout_means(spark, sf):
+    return retrieval.weighted_means(_heldout(spark, sf).select("dim", F.col("ndcg10").alias("ndcg"), "n_queries"))
 
 
 @query()
@@ -673,7 +832,7 @@ def wordpiece_encode(spark, sf):
     return x.select("doc_id", F.size("ids").alias("n_tokens"))
 
 
-@query()
+@query(f"SELECT doc_id, source, len({TOKENS})::INTEGER AS n_tokens FROM documents")
 def stream_incremental(spark, sf):
     """All documents through a stream that runs what is there and stops; the result is what was appended."""
     import uuid
@@ -683,7 +842,7 @@ def stream_incremental(spark, sf):
 
     out = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     docs = table(spark, sf, "documents")
-    vocab = embed.vocabulary(docs, "text", weights(spark, sf).count())
+    vocab = words_of(spark, sf)
     # A pattern, as a stream's path must be a folder or a pattern and the table may be one file.
     tokenized_stream(spark, f"{sf}/documents.parque[t]", docs.schema, vocab, f"{out}/rows", f"{out}/checkpoint")
     return spark.read.parquet(f"{out}/rows").select("doc_id", "source", F.size("ids").alias("n_tokens"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import uuid
+from contextlib import contextmanager
 
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
@@ -25,6 +26,29 @@ def write_bytes(path: str, data: bytes) -> None:
     fs.move(tmp, at)
 
 
+@contextmanager
+def write_stream(path: str):
+    """A file to write to, beside `path`; it is moved into place at the end, and deleted if there is none."""
+    fs, at = _fs(path)
+    fs.create_dir(os.path.dirname(at), recursive=True)
+    tmp = f"{at}.{uuid.uuid4().hex}.tmp"
+    try:
+        with fs.open_output_stream(tmp) as f:
+            yield f
+        fs.move(tmp, at)
+    except BaseException:
+        fs.delete_file(tmp)
+        raise
+
+
+def delete_others(path: str, keep: set[str]) -> None:
+    """Deletes the folders in `path` that aren't named in `keep`."""
+    fs, at = _fs(path)
+    for info in fs.get_file_info(pafs.FileSelector(at, allow_not_found=True)):
+        if info.type == pafs.FileType.Directory and info.base_name not in keep:
+            fs.delete_dir(info.path)
+
+
 def read_bytes(path: str) -> bytes | None:
     fs, at = _fs(path)
     if fs.get_file_info(at).type == pafs.FileType.NotFound:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import flatten, strip, title_and_text
-from .files import read_bytes, read_json, write_bytes, write_json
+from .files import delete_others, read_bytes, read_json, write_bytes, write_json, write_stream
 
 
 def catalog(spark: SparkSession, listing: dict[str, dict[str, list[str]]]) -> DataFrame:
@@ -80,8 +81,9 @@ def require_all(wanted: DataFrame, have: DataFrame, key: str) -> None:
 def append_tokens(df: DataFrame, path: str, tokenizer: str, add_special_tokens: bool = False) -> int:
     """Appends the rows of `df` (source, row_idx, query_ids, doc_ids) that the table doesn't have; the number written.
 
-    Ids must fit 16 bits. The manifest states the committed rows and the policy; another policy is an error, and an old
-    manifest without one counts as true.
+    Ids must fit 16 bits. Rows are written to a batch of their own and count once the manifest, which is replaced as a whole,
+    lists it: what a stopped run left is no part of the table, and the next append deletes it. The manifest states the
+    committed rows and the policy; another policy is an error, and an old manifest without one counts as true.
     """
     from ..operators.embed import checked_ids
 
@@ -89,22 +91,82 @@ def append_tokens(df: DataFrame, path: str, tokenizer: str, add_special_tokens:
     meta = read_json(f"{path}/manifest.json")
     if meta and meta.get("add_special_tokens", True) != add_special_tokens:
         raise ValueError("the table has another special-token policy")
-    data = f"{path}/tokens"
+    batches = meta["batches"] if meta else []
+    delete_others(f"{path}/tokens", {f"batch={b}" for b in batches})
     if meta:
-        df = df.join(spark.read.parquet(data).select("source", "row_idx"), ["source", "row_idx"], "left_anti")
+        df = df.join(read_tokens(spark, path)[0].select("source", "row_idx"), ["source", "row_idx"], "left_anti")
     df = df.select("source", "row_idx", checked_ids(F.col("query_ids")).alias("query_ids"), checked_ids(F.col("doc_ids")).alias("doc_ids"))
-    df.write.mode("append").partitionBy("source").parquet(data)
-    n = {r.source: [r.n, r.q or 0, r.d or 0] for r in spark.read.parquet(data).groupBy("source").agg(F.count("*").alias("n"), F.sum(F.size("query_ids")).alias("q"), F.sum(F.size("doc_ids")).alias("d")).collect()}
-    before = sum(v[0] for v in meta["sources"].values()) if meta else 0
-    write_json(f"{path}/manifest.json", {"tokenizer": tokenizer, "add_special_tokens": add_special_tokens, "sources": n})
-    return sum(v[0] for v in n.values()) - before
+    name = f"{len(batches):06d}-{uuid.uuid4().hex}"
+    df.write.partitionBy("source").parquet(f"{path}/tokens/batch={name}")
+    new = spark.read.schema(_TOKENS).parquet(f"{path}/tokens/batch={name}")
+    n = dict(meta["sources"]) if meta else {}
+    added = 0
+    for r in new.groupBy("source").agg(F.count("*").alias("n"), F.sum(F.size("query_ids")).alias("q"), F.sum(F.size("doc_ids")).alias("d")).collect():
+        n[r.source] = [a + b for a, b in zip(n.get(r.source, [0, 0, 0]), [r.n, r.q or 0, r.d or 0])]
+        added += r.n
+    if added or not meta:
+        write_json(f"{path}/manifest.json", {"tokenizer": tokenizer, "add_special_tokens": add_special_tokens, "sources": n, "batches": [*batches, name]})
+    return added
+
+
+_TOKENS = "row_idx bigint, query_ids array<int>, doc_ids array<int>, source string"
 
 
 def read_tokens(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
+    """(rows, manifest) of a token table. Fewer rows of a source than the manifest commits to, or others, are an error."""
     meta = read_json(f"{path}/manifest.json")
     if meta is None:
         raise FileNotFoundError(path)
-    return spark.read.parquet(f"{path}/tokens"), meta
+    rows = spark.read.schema(_TOKENS).option("basePath", f"{path}/tokens").parquet(*(f"{path}/tokens/batch={b}" for b in meta["batches"])).drop("batch")
+    have = {r.source: r.n for r in rows.groupBy("source").agg(F.count("*").alias("n")).collect()}
+    want = {s: v[0] for s, v in meta["sources"].items()}
+    if have != {s: n for s, n in want.items() if n}:
+        raise ValueError(f"the table's rows differ from its manifest: {sorted(set(want.items()) ^ set(have.items()))[:5]}")
+    return rows, meta
+
+
+def open_tier(spark: SparkSession, path: str, tiers: DataFrame, tier: str) -> DataFrame:
+    """The rows of a token table that a tier takes. A source that isn't there, or that has fewer rows than the tier takes, is an error."""
+    from ..operators.schedule import prefix
+
+    rows, meta = read_tokens(spark, path)
+    for r in tiers.where((F.col("tier") == tier) & (F.col("take_rows") > 0)).collect():  # a row for each source
+        n = meta["sources"].get(r.source, [None])[0]
+        if n is None:
+            raise FileNotFoundError(f"source {r.source}, which tier {tier} takes, is not tokenized")
+        if n < r.take_rows:
+            raise ValueError(f"source {r.source} has {n} rows, tier {tier} takes {r.take_rows}")
+    return prefix(rows, tiers, tier)
+
+
+def write_triples(triples: DataFrame, path: str, source: str, negatives: int, add_special_tokens: bool = False) -> dict:
+    """`triples` (see split.gather_triples) with pair_idx as Parquet, and what they are beside it, written last; ids must fit 16 bits."""
+    from ..operators.embed import checked_ids
+
+    x = triples.select("pair_idx", checked_ids(F.col("query_ids")).alias("query_ids"), checked_ids(F.col("positive_ids")).alias("positive_ids"), F.transform("negative_ids", lambda ids: checked_ids(ids)).alias("negative_ids"))
+    x.write.mode("overwrite").parquet(f"{path}/triples")
+    n = triples.sparkSession.read.parquet(f"{path}/triples").agg(
+        F.count("*").alias("n_pairs"), F.sum(F.size("query_ids")).alias("total_query_tokens"), F.sum(F.size("positive_ids")).alias("total_positive_tokens"), F.sum(F.size(F.flatten("negative_ids"))).alias("total_negative_tokens")
+    ).first().asDict()
+    meta = {"source": source, "n_negatives_per_pair": negatives, "add_special_tokens": add_special_tokens} | {k: v or 0 for k, v in n.items()}
+    write_json(f"{path}/meta.json", meta)
+    return meta
+
+
+def read_triples(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
+    """(triples, meta). Not as many pairs, numbered from 0, as the meta block says, or another number of negatives, is an error."""
+    meta = read_json(f"{path}/meta.json")
+    if meta is None:
+        raise FileNotFoundError(path)
+    one_policy([meta])
+    x = spark.read.parquet(f"{path}/triples")
+    n, k = meta["n_pairs"], meta["n_negatives_per_pair"]
+    r = x.agg(F.count("*").alias("n"), F.countDistinct("pair_idx").alias("d"), F.min("pair_idx").alias("lo"), F.max("pair_idx").alias("hi"), F.count_if(F.size("negative_ids") != k).alias("bad")).first()
+    if r.n != n or r.d != n or (n and (r.lo, r.hi) != (0, n - 1)):
+        raise ValueError(f"{r.n} pairs, expected {n}")
+    if r.bad:
+        raise ValueError(f"{r.bad} pairs have not {k} negatives")
+    return x, meta
 
 
 def one_policy(metas: list[dict]) -> bool:
@@ -118,17 +180,18 @@ def one_policy(metas: list[dict]) -> bool:
 
 
 def export_csr(df: DataFrame, path: str, ids_col: str = "ids", order: str = "row_idx") -> int:
-    """Flat little-endian 16-bit ids and 64-bit offsets with a sentinel, in order; rows stream through the driver one partition at a time."""
-    flat, offsets = [], [0]
-    for r in df.select(ids_col, order).orderBy(order).toLocalIterator():
-        x = np.array(r[0] or [], np.int64)
-        if len(x) and (x.min() < 0 or x.max() >= 1 << 16):
-            raise ValueError("an id doesn't fit 16 bits")
-        flat.append(x.astype("<u2").tobytes())
-        offsets.append(offsets[-1] + len(x))
-    write_bytes(f"{path}/tokens.bin", b"".join(flat))
-    write_bytes(f"{path}/offsets.bin", np.array(offsets, "<u8").tobytes())
-    return len(offsets) - 1
+    """Flat little-endian 16-bit ids and 64-bit offsets with a sentinel, in order; rows stream through the driver, one partition at a time, into the files."""
+    n = at = 0
+    with write_stream(f"{path}/tokens.bin") as tokens, write_stream(f"{path}/offsets.bin") as offsets:
+        offsets.write(bytes(8))
+        for r in df.select(ids_col, order).orderBy(order).toLocalIterator():
+            x = np.array(r[0] or [], np.int64)
+            if len(x) and (x.min() < 0 or x.max() >= 1 << 16):
+                raise ValueError("an id doesn't fit 16 bits")
+            tokens.write(x.astype("<u2").tobytes())
+            n, at = n + 1, at + len(x)
+            offsets.write(at.to_bytes(8, "little"))
+    return n
 
 
 def import_csr(spark: SparkSession, path: str) -> DataFrame:
@@ -140,12 +203,12 @@ def import_csr(spark: SparkSession, path: str) -> DataFrame:
 
 
 def export_matrix(df: DataFrame, path: str, vec_col: str = "embedding", order: str = "row_idx") -> int:
-    """Little-endian 32-bit floats, row after row, without a header."""
-    n, parts = 0, []
-    for r in df.select(vec_col, order).orderBy(order).toLocalIterator():
-        parts.append(np.array(r[0], "<f4").tobytes())
-        n += 1
-    write_bytes(path, b"".join(parts))
+    """Little-endian 32-bit floats, row after row, without a header; rows stream through the driver into the file."""
+    n = 0
+    with write_stream(path) as out:
+        for r in df.select(vec_col, order).orderBy(order).toLocalIterator():
+            out.write(np.array(r[0], "<f4").tobytes())
+            n += 1
     return n
 
 

@@ -270,3 +270,144 @@ def test_scratch_tables_go_and_kept_ones_stay(spark):
     assert a.df.count() == 3
     with pytest.raises(Exception, match="exist|FILE_NOT_FOUND"):
         c.df.count()
+
+
+def _rows(spark, n, start=0):
+    return spark.createDataFrame([("a", i, [i], [i, i + 1]) for i in range(start, n)], "source string, row_idx bigint, query_ids array<int>, doc_ids array<int>")
+
+
+def test_a_stopped_append_leaves_no_rows(spark, tmp_path):
+    """A run that stopped after it wrote rows and before the manifest: the rows don't count, and the next append writes them once."""
+    path = f"file://{tmp_path}/t"
+    _rows(spark, 5).write.partitionBy("source").parquet(f"{path}/tokens/batch=000000-stopped")
+    assert tables.append_tokens(_rows(spark, 5), path, "words") == 5
+    _rows(spark, 9, 5).write.partitionBy("source").parquet(f"{path}/tokens/batch=000001-stopped")
+    assert tables.read_tokens(spark, path)[0].count() == 5
+    assert tables.append_tokens(_rows(spark, 7), path, "words") == 2
+    df, meta = tables.read_tokens(spark, path)
+    assert sorted(r.row_idx for r in df.collect()) == list(range(7)) and meta["sources"] == {"a": [7, 7, 14]}
+    assert len(list((tmp_path / "t/tokens").iterdir())) == 2
+
+
+def test_lost_rows_are_an_error(spark, tmp_path):
+    import shutil
+
+    path = f"file://{tmp_path}/t"
+    for n in (4, 9):
+        tables.append_tokens(_rows(spark, n), path, "words")
+    shutil.rmtree(sorted((tmp_path / "t/tokens").iterdir())[1] / "source=a")
+    with pytest.raises(ValueError, match="manifest"):
+        tables.read_tokens(spark, path)
+    with pytest.raises(ValueError, match="manifest"):
+        tables.append_tokens(_rows(spark, 12), path, "words")
+
+
+def test_a_tier_needs_its_sources(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    tables.append_tokens(_rows(spark, 6), path, "words")
+    tier = lambda *s: spark.createDataFrame([("xs", 10, 10, *x) for x in s], "tier string, target_rows bigint, actual_rows bigint, source string, take_rows bigint")
+    assert sorted(r.row_idx for r in tables.open_tier(spark, path, tier(("a", 4), ("b", 0)), "xs").collect()) == [0, 1, 2, 3]
+    with pytest.raises(ValueError, match="takes 7"):
+        tables.open_tier(spark, path, tier(("a", 7)), "xs")
+    with pytest.raises(FileNotFoundError, match="source b"):
+        tables.open_tier(spark, path, tier(("a", 4), ("b", 1)), "xs")
+
+
+def test_triples_round_trip_and_checks(spark, tmp_path):
+    path = f"file://{tmp_path}/s"
+    docs = spark.createDataFrame([(3, [3]), (4, [4, 4]), (5, [5]), (6, [])], "id bigint, ids array<int>")
+    queries = spark.createDataFrame([(1, [1]), (2, [2])], "id bigint, ids array<int>")
+    pairs = spark.createDataFrame([(1, 3, [5, 4]), (2, 4, [6, 5])], "query_id bigint, positive bigint, negatives array<bigint>")
+    x = split.gather_triples(pairs, queries, docs, 2)
+    got = {r.query_id: (r.query_ids, r.positive_ids, r.negative_ids) for r in x.collect()}
+    assert got == {1: ([1], [3], [[5], [4, 4]]), 2: ([2], [4, 4], [[], [5]])}
+    with pytest.raises(Exception, match="no tokens"):
+        split.gather_triples(pairs.withColumn("positive", F.lit(9).cast("bigint")), queries, docs, 2).collect()
+    with pytest.raises(Exception, match="not 3 negatives"):
+        split.gather_triples(pairs, queries, docs, 3).collect()
+    ranks = {r.id: r["rank"] for r in split.dense_ids(pairs, "query_id").collect()}
+    assert ranks == {1: 0, 2: 1}
+    numbered = x.join(split.dense_ids(pairs, "query_id").toDF("query_id", "pair_idx"), "query_id")
+    meta = tables.write_triples(numbered, path, "src", 2)
+    assert (meta["n_pairs"], meta["total_query_tokens"], meta["total_positive_tokens"], meta["total_negative_tokens"]) == (2, 2, 3, 4)
+    assert tables.read_triples(spark, path)[0].count() == 2
+    files.write_json(f"{path}/meta.json", meta | {"n_pairs": 3})
+    with pytest.raises(ValueError, match="expected 3"):
+        tables.read_triples(spark, path)
+    files.write_json(f"{path}/meta.json", meta | {"n_negatives_per_pair": 50})
+    with pytest.raises(ValueError, match="not 50 negatives"):
+        tables.read_triples(spark, path)
+    files.write_json(f"{path}/meta.json", meta | {"add_special_tokens": "yes"})
+    with pytest.raises(TypeError):
+        tables.read_triples(spark, path)
+
+
+def test_a_wordpiece_file_is_matched_greedily(spark, tmp_path):
+    from tokenizers import Tokenizer
+    from tokenizers.models import WordPiece
+    from tokenizers.normalizers import BertNormalizer
+    from tokenizers.pre_tokenizers import BertPreTokenizer
+
+    vocab = {w: i for i, w in enumerate(["[UNK]", "un", "##aff", "##able", "##a", "##f", "red", "fox", "##es", "r", "##e", "##d", "!", "u", "##n"])}
+    t = Tokenizer(WordPiece(vocab, unk_token="[UNK]"))
+    t.normalizer, t.pre_tokenizer = BertNormalizer(lowercase=True), BertPreTokenizer()
+    t.save(f"{tmp_path}/wp.json")
+
+    def greedy(word):
+        out, at = [], 0
+        while at < len(word):
+            end = next((e for e in range(len(word), at, -1) if ("##" * (at > 0) + word[at:e]) in vocab), None)
+            if end is None:
+                return [vocab["[UNK]"]]
+            out.append(vocab["##" * (at > 0) + word[at:end]])
+            at = end
+        return out
+
+    texts = ["Unaffable red FOXES!", "", None, "blue", "unred reded", "una unf"]
+    got = [r.ids for r in embed.wordpiece(spark.createDataFrame([(x,) for x in texts], "text string").coalesce(1), f"{tmp_path}/wp.json").collect()]
+    assert got == [[i for w in (x or "").lower().replace("!", " !").split() for i in greedy(w)] for x in texts]
+
+
+def test_containing_is_substring_search(spark):
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list("ab "), 40)) for _ in range(60)] + [None, ""]
+    items = ["ab", "aab ", "bbbbbb", "", "zzz", "ab", None, "a"]
+    d = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
+    q = spark.createDataFrame(list(enumerate(items)), "qid bigint, item string")
+    got = sorted(map(tuple, embed.containing(d, q).collect()))
+    assert got == sorted((j, i) for i, t in enumerate(texts) for j, x in enumerate(items) if t is not None and x is not None and x in t)
+
+
+def test_mined_negatives_are_those_of_all_scores(spark):
+    rng = np.random.default_rng(5)
+    v = np.round(rng.normal(size=(90, 4)), 1)
+    rows = [(i, v[i].tolist(), int(i % 4)) for i in range(90)]
+    e = spark.createDataFrame(rows, "id bigint, embedding array<double>, label int").repartition(5)
+    got = {r.query_id: r for r in embed.mined_negatives(e, e.where("id % 9 = 0").withColumnRenamed("id", "qid"), 0.95, 7).collect()}
+    u = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+    for q in range(0, 90, 9):
+        s = np.round(u @ u[q], 6)
+        p = min((i for i in range(90) if i != q and i % 4 == q % 4), key=lambda i: (-s[i], i))
+        ok = sorted((i for i in range(90) if i not in (q, p) and s[i] < 0.95 * s[p]), key=lambda i: (-s[i], -i))
+        assert (got[q].positive, got[q].n_eligible, got[q].negatives) == (p, len(ok), ok[:7])
+
+
+def test_deployed_variants_are_the_fixed_ones():
+    from sparrowmill.operators import sweep
+
+    assert sum(map(len, sweep.GROUPS.values())) == 12 and len(sweep.cells()) == 78
+    assert sweep.scaled(64)["int4_dim"] == ((4, "dim", 64), (4, "dim", 32), (4, "dim", 16), (4, "dim", 8))
+    assert quantize.variant(2, "row") == "int2_row" and quantize.cell_name(3, "hybrid") == "int3_hybrid"
+    for bits, axis in ((2, "dim"), (3, "row"), (8, "hybrid"), (8, None)):
+        with pytest.raises(ValueError, match="not deployed"):
+            quantize.variant(bits, axis)
+
+
+def test_words_are_those_of_the_jvm(spark):
+    texts = ["Éa b-c", "  ", None, "", "x", "Straße 12ab,ÄÖ", "日本 語", "a" * 1000, "don't stop\n\tnow"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id bigint, text string").coalesce(1)
+    flat, start = embed.split_words(df.toPandas().text.pipe(lambda s: __import__("pyarrow").array(s, from_pandas=True)))
+    want = [r.w for r in df.select(T.words(F.col("text")).alias("w")).collect()]
+    assert [flat[a:b].to_pylist() for a, b in zip(start, start[1:])] == want
+    vocab = embed.vocabulary(df, "text", 6)
+    assert [len(r.ids) for r in embed.token_ids(df, vocab, "text").collect()] == [len(w) for w in want]
