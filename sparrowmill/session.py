@@ -51,7 +51,8 @@ def _delete(spark: SparkSession, path: str) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def _cleanup(spark: SparkSession, path: str) -> None:
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a folder at the end of a session, as far as that still can."""
     try:
         if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
             _delete(spark, path)
@@ -97,7 +98,7 @@ class Stored:
         self.path = f"{shared_dir(self.spark).rstrip('/')}/sparrowmill/{uuid.uuid4().hex}"
         self.schema = df.schema
         df.write.option("compression", compression).parquet(self.path)
-        atexit.register(_cleanup, self.spark, self.path)
+        atexit.register(discard, self.spark, self.path)
         if _scopes:
             _scopes[-1].append(self)
 
