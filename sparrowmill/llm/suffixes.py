@@ -12,8 +12,8 @@
    common extension to the left within each interval; a window with offset o before the anchor is repeated if some
    other segment agrees on o bytes to the left and width - o to the right.
 
-An anchor with more than HOT different segments is not sorted in one place: its windows are counted by 128-bit hashes,
-combined before the shuffle. Copies never meet in pairs, and equal segments are one.
+An anchor with more than HOT different segments is not sorted in one place: its windows are counted by two 64-bit
+hashes, combined before the shuffle, with the same result. Copies never meet in pairs, and equal segments are one.
 
 Defined cases: a null text is empty; texts shorter than `width` lose nothing; repeated rows (also of one id) are
 repeats of each other; a text that repeats itself counts; texts are whole, up to 4 GB each.
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import Stored, release
-from .textnum import P1, P2, Rolling, U, mix, sliding_min, slices, text_bytes
+from .textnum import BYTE, P1, P2, Rolling, U, mix, sliding_min, slices, text_bytes
 
 WIDTH, GRAM = 200, 64
 #: Segments of an anchor beyond which its windows are counted instead; segments to a merging task.
@@ -203,7 +203,7 @@ def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def repeated_segments(keyed: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
-    """(k1, k2, first, m, o, mask) for the segments of `keyed` (id, t, k1, k2) with a repeated window; a null mask: all of them, else a bit for each offset."""
+    """(k1, k2, first, m, o, mask) for the segments of `keyed` (id, t, k1, k2) with a repeated window; a null mask: all of them, else the offsets of those that are."""
     spark = keyed.sparkSession
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,7 +215,9 @@ def repeated_segments(keyed: DataFrame, width: int = WIDTH, gram: int = GRAM) ->
 
     all_ = Stored(keyed.select("k1", "k2", "t").mapInArrow(cut, "k1 long, k2 long, at long, h long, c long"))
     s = all_.df
-    found = s.groupBy("h").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("n > 1").select("h", (F.col("lo") != F.col("hi")).alias("several"))
+    # Stored, so that both sides of the joins are exchanged and a hot anchor's segments can be split over tasks.
+    found = Stored(s.groupBy("h").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("n > 1").select("h", (F.col("lo") != F.col("hi")).alias("several"))).df
+    release(spark)
     met = Stored(s.join(found, "h")).df
     release(spark)
     all_.drop()
@@ -246,10 +248,10 @@ def repeated_segments(keyed: DataFrame, width: int = WIDTH, gram: int = GRAM) ->
                         first, m, o = x["at"] >> 20, x["at"] >> 10 & 1023, x["at"] & 1023
                         a = first + o
                         if x["hot"]:
-                            roll = roll or Rolling(np.frombuffer(t, np.uint8))
+                            bytes_ = np.frombuffer(t, np.uint8)
+                            roll = roll or (Rolling(bytes_), Rolling(mix(BYTE[bytes_] ^ P1)))
                             w = np.arange(first, first + m)
-                            w1 = roll.of(w, w + width).view(np.int64)
-                            w2 = np.array([int.from_bytes(hashlib.blake2b(t[i : i + width], digest_size=8).digest(), "little", signed=True) for i in w])
+                            w1, w2 = (r.of(w, w + width).view(np.int64) for r in roll)
                             yield give(None, None, (w1, w2, np.full(m, x["h"]), np.full(m, x["c"]), (a - w).astype(np.int32)))
                         else:
                             held.setdefault(x["h"] % targets, []).append((t[a : first + m - 1 + width], t[first:a][::-1], x["h"], x["c"]))
@@ -263,14 +265,14 @@ def repeated_segments(keyed: DataFrame, width: int = WIDTH, gram: int = GRAM) ->
     runs = Stored(source.mapInArrow(run_out, "target int, run binary, w1 long, w2 long, h long, c long, o int"))
 
     def merged(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int, bytes]] = []
+        out: list[tuple[int, int, list[int]]] = []
         group: list = []
 
         def settle():
             if len(group) > 1:
                 for x, bits in zip(group, offsets([y[:3] for y in group], width)):
                     if bits:
-                        out.append((x[3], x[4], bits.to_bytes(width // 8 + 1, "little")))
+                        out.append((x[3], x[4], [o for o in range(width + 1) if bits >> o & 1]))
 
         for item in merge(list(pdf["run"])):
             if item[0] < gram:
@@ -278,18 +280,17 @@ def repeated_segments(keyed: DataFrame, width: int = WIDTH, gram: int = GRAM) ->
                 group = []
             group.append(item)
         settle()
-        return pd.DataFrame(out, columns=["h", "c", "mask"])
+        return pd.DataFrame(out, columns=["h", "c", "mask"])  # the offsets at which a window is repeated
 
-    masks = runs.df.where("target is not null").select("target", "run").groupBy("target").applyInPandas(merged, "h long, c long, mask binary")
+    masks = runs.df.where("target is not null").select("target", "run").groupBy("target").applyInPandas(merged, "h long, c long, mask array<int>")
     windows = runs.df.where("target is null").select("w1", "w2", "h", "c", "o")
     twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
-    bits = F.udf(lambda o: sum(1 << i for i in set(o)).to_bytes(width // 8 + 1, "little"), "binary")
-    masks = masks.union(windows.join(twice, ["w1", "w2"]).groupBy("h", "c").agg(bits(F.collect_set("o")).alias("mask")))
+    masks = masks.union(windows.join(twice, ["w1", "w2"]).groupBy("h", "c").agg(F.collect_set("o").alias("mask")))
     masks = Stored(masks).df
     release(spark)
     # Equal segments of an anchor with several: all of their windows are repeated, whatever the others are.
-    counted = several.groupBy("h", "c").agg(F.count("*").alias("n")).join(masks, ["h", "c"], "left").where("n > 1 OR mask is not null").select("h", "c", F.when(F.col("n") == 1, F.col("mask")).alias("mask"))
-    out = met.where("NOT several").select("k1", "k2", "at", F.lit(None).cast("binary").alias("mask")).union(several.join(counted, ["h", "c"]).select("k1", "k2", "at", "mask"))
+    counted = Stored(several.groupBy("h", "c").agg(F.count("*").alias("n")).join(masks, ["h", "c"], "left").where("n > 1 OR mask is not null").select("h", "c", F.when(F.col("n") == 1, F.col("mask")).alias("mask"))).df
+    out = met.where("NOT several").select("k1", "k2", "at", F.lit(None).cast("array<int>").alias("mask")).union(several.join(counted, ["h", "c"]).select("k1", "k2", "at", "mask"))
     return out.select("k1", "k2", F.shiftright("at", 20).alias("first"), F.shiftright("at", 10).bitwiseAND(F.lit(1023)).cast("int").alias("m"), F.col("at").bitwiseAND(F.lit(1023)).cast("int").alias("o"), "mask")
 
 
@@ -299,8 +300,7 @@ def covered(n: int, first: np.ndarray, m: np.ndarray, o: np.ndarray, masks: list
     whole = np.array([x is None for x in masks], bool)
     np.add.at(edge, first[whole], 1), np.add.at(edge, first[whole] + m[whole] - 1 + width, -1)
     for i in np.flatnonzero(~whole):
-        bits = np.unpackbits(np.frombuffer(masks[i], np.uint8), bitorder="little")
-        w = first[i] + np.flatnonzero(bits[o[i] - np.arange(m[i])])
+        w = first[i] + np.flatnonzero(np.isin(o[i] - np.arange(m[i]), masks[i]))
         np.add.at(edge, w, 1), np.add.at(edge, w + width, -1)
     on = np.concatenate([[False], np.cumsum(edge[:-1]) > 0, [False]])
     return np.flatnonzero(on[1:] & ~on[:-1]), np.flatnonzero(on[:-1] & ~on[1:])
