@@ -27,10 +27,12 @@ from .tokens import byte_bpe
 _SURE = regex.compile(r"\S(?=\s)")
 #: How much of each side a window takes at first.
 _WINDOW = 64
+#: Characters (or ids) that are encoded (or decoded) at once, at the tree's leaves.
+LEAF = 1024
 
 
 class Tree:
-    def __init__(self, path: str, pattern: str, leaf: int = 8192):
+    def __init__(self, path: str, pattern: str, leaf: int = LEAF):
         self.enc, self.leaf = byte_bpe(path, pattern), leaf
 
     def encode(self, text: str) -> list[int]:
@@ -78,7 +80,7 @@ class Tree:
         return self.decode(ids[:mid]) + self.decode(ids[mid:])
 
 
-def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", leaf: int = 8192) -> DataFrame:
+def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", leaf: int = LEAF) -> DataFrame:
     """(id, ids array<int>) for each row of `df`: one pass, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,7 +92,7 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
     return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, f"id {df.schema[id_col].dataType.simpleString()}, ids array<int>")
 
 
-def decode(df: DataFrame, path: str, pattern: str, id_col: str = "id", ids_col: str = "ids", leaf: int = 8192) -> DataFrame:
+def decode(df: DataFrame, path: str, pattern: str, id_col: str = "id", ids_col: str = "ids", leaf: int = LEAF) -> DataFrame:
     """(id, bytes binary) for each row: the bytes of its ids. A null list counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,7 +103,7 @@ def decode(df: DataFrame, path: str, pattern: str, id_col: str = "id", ids_col:
     return df.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).mapInArrow(run, f"id {df.schema[id_col].dataType.simpleString()}, bytes binary")
 
 
-def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", leaf: int = 8192) -> DataFrame:
+def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", leaf: int = LEAF) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256): encode, digest and decode in one pass, so the ids never leave the worker."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
