@@ -11,6 +11,7 @@ then records of 2 + 2 * tokens bytes: number of tokens, then the ids, padded wit
 
 from __future__ import annotations
 
+import atexit
 import struct
 import uuid
 import zlib
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import Stored, shared_dir
+from ..session import Stored, discard, shared_dir
 from .textnum import mix, slices
 from .tokens import byte_bpe
 
@@ -148,7 +149,10 @@ def write_shards(placed: DataFrame, total: int, out_dir: str, tokens: int = 256,
             with fs.open_output_stream(name) as sink:
                 sink.write(struct.pack("<8sIIQQ", MAGIC, 1, tokens, at * shard, min(shard, total - at * shard)))
                 sink.write(rec.tobytes())
-            fs.move(name, f"{root}/shard-{at:08d}.bin")
+            done = f"{root}/shard-{at:08d}.bin"
+            if fs.get_file_info(done).type != pafs.FileType.NotFound:  # of a run before, with the same bytes; not all stores replace
+                fs.delete_file(done)
+            fs.move(name, done)
             one = lambda c: t.column(c).chunk(0) if t.column(c).num_chunks else pa.array([], t.column(c).type)
             return pa.record_batch({"id": one("id"), "piece": one("piece"), "slot": one("slot"), "shard": pa.array(np.full(len(slot), at)), "byte_offset": pa.array(HEADER + (slot - at * shard) * record.itemsize), "n_tokens": one("n"), "crc32": pa.array(crc, pa.int64())})
 
@@ -191,5 +195,6 @@ def op6_materialise(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
 
     out = f"{shared_dir(spark).rstrip('/')}/shards-{uuid.uuid4().hex}"
+    atexit.register(discard, spark, out)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return materialise(docs, out, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).withColumnRenamed("id", "doc_id")
