@@ -97,3 +97,56 @@ def test_toxicity_odd_rows(spark):
     assert {r.doc_id for r in toxicity.keep_clean(docs, m).collect()} == {None, 900} | {i for i in range(200) if i % 4}
     empty = toxicity.fit(labels.limit(0), docs)
     assert {r.score for r in toxicity.score(docs, empty).collect()} == {0.0}
+
+
+def test_scores_are_the_votes_of_all_examples(spark):
+    """The whole score against brute force over every example: cosines, the nearest k, their weighted votes, the prior."""
+    rng = np.random.default_rng(7)
+    words = [f"term{i:03d}" for i in range(40)]
+    rows = [(i, " ".join(["filler"] + [words[j] for j in rng.integers(0, 22, 5)] if i % 5 == 0 else ["filler"] + [words[j] for j in rng.integers(18, 40, 5)]), int(i % 5 == 0)) for i in range(300)]
+    docs = spark.createDataFrame(rows + [(900, "", 0), (901, "unseen words alone", 0)], "doc_id long, text string, toxic int")
+    m = toxicity.fit(docs.select("doc_id", "toxic").where("doc_id < 300"), docs, per_class=80)
+    text = dict((i, t) for i, t, _ in rows)
+    assert len(m.ids) > 100
+
+    def vector(t):
+        found = collections.Counter(m.terms[f] for w in t.lower().split() for f in toxicity.features(w) if f in m.terms)
+        v = np.zeros(len(m.idf))
+        for j, n in found.items():
+            v[j] = n * m.idf[j]
+        return v / np.linalg.norm(v) if v.any() else v
+
+    examples = np.stack([vector(text[i]) for i in m.ids])
+    for r in toxicity.score(docs, m).collect():
+        v = vector(text.get(r.id, "" if r.id == 900 else "unseen words alone"))
+        if not v.any():
+            assert r.score == m.rest and not r.evidence
+            continue
+        sims = examples @ v
+        near = [i for i in sorted(range(len(sims)), key=lambda i: (-round(sims[i], 12), i))[:15] if sims[i] > 1e-12]
+        vote = m.weight[near] * 4 * sims[near] ** toxicity.POWER / (1.05 - np.minimum(sims[near], 1))
+        assert abs(r.score - ((vote * m.toxic[near]).sum() + m.prior) / (vote.sum() + 1)) < 1e-9
+        assert [int(e.id) for e in r.evidence] == [m.ids[i] for i in near[:3]]
+
+
+def test_the_sample_is_of_different_texts(spark):
+    rows = [(i, "the same toxic text" if i < 60 else f"vile text number {i}" if i < 100 else f"kind text number {i}", int(i < 100)) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    m = toxicity.fit(docs.select("doc_id", "toxic"), docs, per_class=30)
+    assert sum(i < 60 for i in m.ids) <= 1 and (m.toxic == 1).sum() >= 20
+
+
+def test_scores_of_training_rows_left_out_are_calibrated(spark):
+    """A fifth of the training rows, scored by a model of the others: in every tenth of the scores as many are toxic as they say."""
+    from pyspark.sql import functions as F
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    m = toxicity.fit(labels.where((fold != 0) & (fold != 1)), docs)
+    left_out = docs.join(labels.where(fold == 1).groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id")
+    rows = toxicity.score(left_out, m).join(left_out.select(F.col("doc_id").alias("id"), "toxic"), "id").collect()
+    s, y = np.array([r.score for r in rows]), np.array([r.toxic for r in rows])
+    tenth = np.clip((s * 10).astype(int), 0, 9)
+    error = sum(abs(s[tenth == i].mean() - y[tenth == i].mean()) * (tenth == i).mean() for i in range(10) if (tenth == i).any())
+    print("rows", len(s), "accuracy", ((s >= 0.5) == y).mean(), "calibration error", error)
+    assert len(s) > 500 and ((s >= 0.5) == y).mean() > 0.95 and error < 0.05
