@@ -23,8 +23,10 @@ from .texts import paired, runs, stars, unique
 #: Texts with one shingle up to which all their pairs are candidates.
 MOST = 32
 #: Bits in which the fingerprints of two candidates may differ. Sets at a Jaccard coefficient of 0.8 differ in 9.7 of 64 on
-#: average with a deviation of 2.9, so one pair in ten million is beyond; unrelated ones differ in 32 with one of 4.
-FAR = 24
+#: average with a deviation of 2.9, so 26 are nearly six beyond; unrelated ones differ in 32 with a deviation of 4.
+FAR = 26
+#: Shared variants up to which they are broadcast.
+BROADCAST = 200_000
 _SPREAD = np.array([sum(((v >> (7 - j)) & 1) << (8 * j) for j in range(8)) for v in range(256)], np.uint64)
 
 
@@ -98,8 +100,10 @@ def links(fps: DataFrame, max_distance: int = 3) -> DataFrame:
         return F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= max_distance
 
     index = fps.select("fp", F.explode(variants).alias("v"))
-    shared = index.groupBy("v").agg(F.min("fp").alias("leader"), F.max("fp").alias("hi")).where("leader <> hi").select("v", "leader")
-    members = Stored(index.join(shared, "v")).df
+    shared = Stored(index.groupBy("v").agg(F.min("fp").alias("leader"), F.max("fp").alias("hi")).where("leader <> hi").select("v", "leader")).df
+    release(fps.sparkSession)
+    # The planner takes the index, which it sees before it is exploded, for small; so what is broadcast is said here.
+    members = Stored(index.join(F.broadcast(shared), "v") if shared.count() <= BROADCAST else index.hint("merge").join(shared, "v")).df
     release(fps.sparkSession)
     stars = Stored(members.where((F.col("leader") != F.col("fp")) & near("leader", "fp")).select(F.col("leader").alias("a"), F.col("fp").alias("b")).distinct()).df
     roots = components(stars)
