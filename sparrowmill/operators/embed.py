@@ -198,9 +198,11 @@ def pool_quantized(df: DataFrame, codes: DataFrame, axis: str, ids_col: str = "i
     return summed.withColumn(out, each).drop("_sum")
 
 
-def counters(df: DataFrame, ids_col: str = "ids") -> DataFrame:
+def counters(df: DataFrame, ids_col: str = "ids", seconds: float | None = None) -> DataFrame:
+    """Documents, tokens, empty documents and mean tokens of rows of ids; with the `seconds` that they took, also the rates."""
     n = F.size(ids_col)
-    return df.agg(F.count("*").alias("n_docs"), F.sum(n).alias("n_tokens"), F.count_if(n == 0).alias("n_empty"), F.round(F.avg(n), 6).alias("mean_tokens"))
+    rates = [] if seconds is None else [(F.count("*") / seconds).alias("docs_per_s"), (F.sum(n) / seconds).alias("tokens_per_s")]
+    return df.agg(F.count("*").alias("n_docs"), F.sum(n).alias("n_tokens"), F.count_if(n == 0).alias("n_empty"), F.round(F.avg(n), 6).alias("mean_tokens"), *rates)
 
 
 def wordpiece(df: DataFrame, path: str, text_col: str = "text", out: str = "ids") -> DataFrame:

@@ -128,6 +128,12 @@ def silent_rows(w: DataFrame, bits: tuple[int, ...] = (8, 4, 3, 2)) -> DataFrame
     return out
 
 
+def silent_row_ids(w: DataFrame, bits: int) -> DataFrame:
+    """(token_id) of the rows whose codes by dimension are all zero."""
+    quiet = F.forall(F.zip_with("vec", "scales", lambda x, y: F.abs(x.cast("double")) < 0.5 * y.cast("double")), lambda ok: ok)
+    return w.crossJoin(F.broadcast(scale_array(w, bits))).where(quiet).select("token_id")  # one row of scales
+
+
 def _shape(x: DataFrame, name: str) -> DataFrame:
     p = F.percentile("x", F.array(*(F.lit(q) for q in (0.0, 0.01, 0.5, 0.99, 1.0))))
     q = [F.round(F.element_at("p", i + 1), 6).alias(n) for i, n in enumerate(("p0", "p1", "p50", "p99", "p100"))]

@@ -90,20 +90,29 @@ def deltas(measured: DataFrame, expected: DataFrame, keys: list[str], tolerance:
 
 
 def in_batch_loss(pairs: DataFrame, scale: float = 20.0, dim: int | None = None) -> DataFrame:
-    """(batch, loss) of `pairs` (batch, i, q, d): the mean over a batch of log-sum-exp of the scaled cosines minus the own one's.
+    """(batch, loss) of `pairs` (batch, i, q, d[, negatives]): the mean over a batch of log-sum-exp of the scaled cosines minus the own one's.
 
-    A batch's pairs meet within the batch alone, whose size is a training parameter.
+    Candidates are the documents of the batch's pairs and, if given, all of its pairs' negatives (an array of vectors). A
+    batch's pairs meet within the batch alone, whose size is a training parameter.
     """
     from ..functions.vectors import dot, normalize, truncate
 
     unit = (lambda c: truncate(F.col(c), dim)) if dim else (lambda c: normalize(F.col(c)))
-    p = pairs.select("batch", "i", unit("q").alias("q"), unit("d").alias("d"))
-    s = p.select("batch", "i", "q").join(p.select("batch", F.col("i").alias("j"), "d"), "batch").select("batch", "i", "j", (scale * dot(F.col("q"), F.col("d"))).alias("s"))
+    candidates = pairs.select("batch", F.col("i").alias("j"), "d")
+    if "negatives" in pairs.columns:
+        candidates = candidates.union(pairs.select("batch", F.lit(None), F.explode("negatives")))
+    s = pairs.select("batch", "i", unit("q").alias("q")).join(candidates.select("batch", "j", unit("d").alias("d")), "batch").select("batch", "i", "j", (scale * dot(F.col("q"), F.col("d"))).alias("s"))
     top = s.groupBy("batch", "i").agg(F.max("s").alias("top"), F.max(F.when(F.col("i") == F.col("j"), F.col("s"))).alias("own"), F.collect_list("s").alias("all"))
     row = F.col("top") + F.ln(F.aggregate("all", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))) - F.col("own")
     return top.select("batch", row.alias("l")).groupBy("batch").agg(F.avg("l").alias("loss"))
 
 
+def rank_mean(losses: DataFrame, step: str = "step", rank: str = "rank") -> DataFrame:
+    """(step, loss): the mean over ranks of each rank's mean `loss`; every rank counts once."""
+    per = losses.groupBy(step, rank).agg(F.avg("loss").alias("loss"))
+    return per.groupBy(step).agg(F.avg("loss").alias("loss"))
+
+
 def matryoshka_loss(pairs: DataFrame, dims: dict[int, float], scale: float = 20.0) -> DataFrame:
     """(batch, loss): the weighted mean of the losses at several dimensions."""
     total = sum(dims.values())

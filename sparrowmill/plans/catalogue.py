@@ -368,6 +368,11 @@ def silent_rows(spark, sf):
     return quantize.silent_rows(weights(spark, sf))
 
 
+@query(f"WITH {SQL_E}, {_sql_scale(2, 'dim')} SELECT token_id FROM e JOIN sc USING (d) GROUP BY token_id HAVING bool_and(abs(x::DOUBLE) < 0.5 * scale::DOUBLE)")
+def silent_row_ids(spark, sf):
+    return quantize.silent_row_ids(weights(spark, sf), 2)
+
+
 _SHAPE = ", ".join(f"round(quantile_cont(x, {q}), 6) AS {n}" for q, n in ((0.0, "p0"), (0.01, "p1"), (0.5, "p50"), (0.99, "p99"), (1.0, "p100")))
 
 
@@ -687,6 +692,27 @@ def infonce_loss(spark, sf):
     return retrieval.in_batch_loss(_pairs(spark, sf)).select("batch", F.round("loss", 6).alias("loss"))
 
 
+_SQL_HARD = f"""pr AS (SELECT a.vec_id // 32 AS batch, a.vec_id // 2 AS i, a.embedding::DOUBLE[] AS q, b.embedding::DOUBLE[] AS v FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 2 = 0),
+cand AS (SELECT batch, i AS j, v FROM pr UNION ALL SELECT batch, NULL, list_reverse(v) FROM pr UNION ALL SELECT batch, NULL, list_reverse(q) FROM pr),
+s AS (SELECT pr.batch, i, j, 20 * list_cosine_similarity(q, cand.v) AS s FROM pr JOIN cand ON pr.batch = cand.batch),
+t AS (SELECT batch, i, max(s) AS top, max(CASE WHEN i = j THEN s END) AS own FROM s GROUP BY batch, i),
+l AS (SELECT s.batch, s.i, max(top) + ln(sum(exp(s - top))) - max(own) AS loss FROM s JOIN t ON s.batch = t.batch AND s.i = t.i GROUP BY s.batch, s.i)"""
+
+
+@query(f"WITH {_SQL_HARD} SELECT batch, round(avg(loss), 6) AS loss FROM l GROUP BY batch")
+def infonce_loss_hard(spark, sf):
+    """With two negatives of each pair's own, which all of the batch meet."""
+    p = _pairs(spark, sf).withColumn("negatives", F.array(F.reverse("d"), F.reverse("q")))
+    return retrieval.in_batch_loss(p).select("batch", F.round("loss", 6).alias("loss"))
+
+
+@query(f"WITH z AS ({_sql_loss(64)}), r AS (SELECT batch // 4 AS step, batch % 4 % 3 AS rank, avg(loss) AS loss FROM z GROUP BY ALL) SELECT step, round(avg(loss), 6) AS loss FROM r GROUP BY step")
+def rank_mean_loss(spark, sf):
+    """Batches dealt to three ranks, one of which has two of each four."""
+    x = retrieval.in_batch_loss(_pairs(spark, sf)).select(F.expr("batch div 4").alias("step"), (F.col("batch") % 4 % 3).alias("rank"), "loss")
+    return retrieval.rank_mean(x).select("step", F.round("loss", 6).alias("loss"))
+
+
 @query(f"SELECT batch, round(avg(loss), 6) AS loss FROM ({' UNION ALL '.join(_sql_loss(d) for d in (64, 32, 16))}) z GROUP BY batch")
 def matryoshka_loss(spark, sf):
     return retrieval.matryoshka_loss(_pairs(spark, sf), {64: 1.0, 32: 1.0, 16: 1.0}).select("batch", F.round("loss", 6).alias("loss"))

@@ -411,3 +411,26 @@ def test_words_are_those_of_the_jvm(spark):
     assert [flat[a:b].to_pylist() for a, b in zip(start, start[1:])] == want
     vocab = embed.vocabulary(df, "text", 6)
     assert [len(r.ids) for r in embed.token_ids(df, vocab, "text").collect()] == [len(w) for w in want]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    import public_tokenizers as P
+
+    from sparrowmill.__main__ import main
+
+    d = str(tmp_path)
+    spark.createDataFrame([("a", 0, "red fox", "a red fox ran"), ("a", 1, "whale", "blue whale"), ("b", 0, "x", "")], "source string, row_idx bigint, query string, document string").write.parquet(f"{d}/pairs")
+    file = P.path("word_bpe_49k.json")
+    main(["tokenize", f"{d}/pairs", f"{d}/tokens", "--tokenizer", file])
+    main(["tokenize", f"{d}/pairs", f"{d}/tokens", "--tokenizer", file])
+    files.write_tiers(f"{d}/tiers.json", spark.createDataFrame([("xs", 2, 2, "a", 1), ("xs", 2, 2, "b", 1)], "tier string, target_rows bigint, actual_rows bigint, source string, take_rows bigint"))
+    main(["subset", f"{d}/tokens", f"{d}/tiers.json", "xs", "--side", "query"])
+    spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(49_408)], "token_id bigint, vec array<float>").write.parquet(f"{d}/w")
+    main(["quantize", f"{d}/w", f"{d}/m.bin", "--dim", "2", "--bits", "8"])
+    spark.createDataFrame([(1, "red fox"), (2, "")], "doc_id bigint, text string").write.parquet(f"{d}/docs")
+    main(["embed", f"{d}/m.bin", f"{d}/docs", "--tokenizer", file, "--out", f"{d}/v"])
+    main(["bench", f"{d}/m.bin", f"{d}/docs", "--tokenizer", file])
+    said = capsys.readouterr().out
+    assert "3 rows appended" in said and "0 rows appended" in said and "docs_per_s" in said and "doc_ids" not in said
+    got = {r.doc_id: r.embedding for r in spark.read.parquet(f"{d}/v").collect()}
+    assert np.linalg.norm(got[1]) == pytest.approx(1) and got[2] == [0, 0]
