@@ -22,6 +22,8 @@ from .texts import paired, runs, stars, unique
 
 #: Texts with one shingle up to which all their pairs are candidates.
 MOST = 32
+#: Pairs that a task looks at at once.
+BLOCK = 1 << 19
 #: Bits in which the fingerprints of two candidates may differ. Sets at a Jaccard coefficient of 0.8 differ in 9.7 of 64 on
 #: average with a deviation of 2.9, so 26 are nearly six beyond; unrelated ones differ in 32 with a deviation of 4.
 FAR = 26
@@ -207,6 +209,13 @@ def prefixes(column: pa.Array, width: int, similarity: float) -> tuple[np.ndarra
     return row[keep], h[keep], size[row[keep]].astype(np.uint32), (after[keep] >> np.uint64(32)).astype(np.uint32)
 
 
+def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])) if len(a) else np.zeros(0, bool)
+    return a[new], b[new]
+
+
 def prefix_pairs(texts: DataFrame, width: int, similarity: float, most: int = MOST) -> DataFrame:
     """(a, b): candidates among `texts` (see texts.unique), by n, by shared prefixes; sizes of two sets differ by the similarity at most.
 
@@ -214,21 +223,28 @@ def prefix_pairs(texts: DataFrame, width: int, similarity: float, most: int = MO
     the first of those that go on with the same shingle, so that a group's size never counts twice.
     """
 
-    def pair(key, n, size, after):
+    def blocks(key, n, after) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         begin, many, _ = runs(key, n)
         big = np.repeat(many > most, many)
         x, y = stars(key[big], n[big], [after[big]])
         at = np.flatnonzero(big)
-        left, right = [at[x]], [at[y]]
+        yield at[x], at[y]
         for m in range(2, most + 1):
             i, j = np.triu_indices(m, 1)
-            of = begin[many == m][:, None]
-            left.append((of + i).ravel()), right.append((of + j).ravel())
-        x, y = np.concatenate(left), np.concatenate(right)
-        p, q = size[x].astype(np.int64), size[y].astype(np.int64)
-        close = (np.minimum(p, q) >= similarity * np.maximum(p, q) - 1e-9) & (n[x] != n[y])
-        both = np.unique(np.stack([np.minimum(n[x], n[y])[close], np.maximum(n[x], n[y])[close]], axis=1), axis=0)
-        return pa.table({"a": pa.array(both[:, 0]), "b": pa.array(both[:, 1])})
+            of = begin[many == m]
+            for c in range(0, len(of), max(1, BLOCK // len(i))):
+                part = of[c : c + max(1, BLOCK // len(i)), None]
+                yield (part + i).ravel(), (part + j).ravel()
+
+    def pair(key, n, size, after):
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for x, y in blocks(key, n, after):
+            p, q = size[x].astype(np.int64), size[y].astype(np.int64)
+            close = (np.minimum(p, q) >= similarity * np.maximum(p, q) - 1e-9) & (n[x] != n[y])
+            a, b = _distinct(np.minimum(n[x], n[y])[close], np.maximum(n[x], n[y])[close])
+            left.append(a), right.append(b)
+        a, b = _distinct(np.concatenate(left), np.concatenate(right))
+        return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
     found = paired(texts, lambda column: prefixes(column, width, similarity), (np.uint32, np.uint32), lambda size, after: [after], pair, "a long, b long")
     return found.distinct()

@@ -18,7 +18,7 @@ DELIM = np.zeros(256, bool)
 DELIM[[0x20, 9, 10, 11, 12, 13]] = True
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """`batch` in runs of rows of at most `most` bytes of text, or of one row: bounds the memory of what follows."""
     if not batch.num_rows:
         return

@@ -66,7 +66,7 @@ class Model:
     def vectors(self, column: pa.Array, known: dict) -> list[tuple[np.ndarray, np.ndarray]]:
         """(terms, unit weights) of each text."""
         w, index, words = _words(column)
-        if len(known) > 300_000:
+        if len(known) > 100_000:
             known.clear()
         of, n = [], np.zeros(len(words), np.int64)
         for j, x in enumerate(words):
