@@ -130,3 +130,18 @@ def test_shards_hold_every_sequence_in_slot_order(spark, tmp_path):
         if i != 5:
             assert [x for _, p in sorted(seen[i]) for x in p] == [*LIBRARY.encode_ordinary(t or ""), 50256]
     assert materialise.materialise(df.limit(0), out + "0", P.path("byte_bpe_50k.tiktoken"), P.PATTERN).count() == 0
+
+
+def test_shards_of_a_run_before_are_replaced(spark, tmp_path):
+    """A null id has slots too; a second run over the same staged table and folder leaves the same bytes and nothing beside them."""
+    from sparrowmill.session import Stored
+
+    df = spark.createDataFrame([(None if i % 9 == 0 else i, "some words " * (i % 13)) for i in range(70)], "doc_id long, text string")
+    out = f"file://{tmp_path}/shards"
+    placed, total = materialise.slots(Stored(materialise.stage(df, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, tokens=16)).df, 42)
+    files = []
+    for _ in range(2):
+        rows = materialise.write_shards(placed, total, out, 16, 32).collect()
+        files.append({f.name: f.read_bytes() for f in (tmp_path / "shards").iterdir()})
+    assert files[0] == files[1] and len(files[0]) == -(-total // 32)
+    assert sorted(r.slot for r in rows) == list(range(total)) and sum(r.id is None for r in rows) >= 8
