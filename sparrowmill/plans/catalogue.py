@@ -158,7 +158,7 @@ def retrieval_counts(spark, sf):
 
 # Mixing plan -----------------------------------------------------------------------------------------------------
 
-CHUNK, TARGETS = 8, {"xs": 100, "small": 400, "full": None}
+CHUNK = 8
 SQL_PLAN = """
 src AS (SELECT source, count(*) AS size FROM documents WHERE source <> 'src3' GROUP BY source),
 idx AS (SELECT source, size, row_number() OVER (ORDER BY source) - 1 AS source_idx FROM src),
@@ -170,9 +170,22 @@ def _sources(spark, sf):
     return schedule.usable(schedule.sizes(table(spark, sf, "documents")), ("src3",))
 
 
-@query(f"WITH {SQL_PLAN} SELECT chunk_no::BIGINT AS chunk_no, source_idx::BIGINT AS source_idx, source, row_start::BIGINT AS row_start, (row_start + least(len, 500 - before))::BIGINT AS row_end FROM ord WHERE before < 500")
+def _targets(sources: DataFrame) -> dict[str, int | None]:
+    """A tenth and two fifths of all rows, and all."""
+    total = sources.agg(F.sum("size")).first()[0] or 0
+    return {"xs": total // 10, "small": total * 2 // 5, "full": None}
+
+
+def _tiers(spark, sf):
+    s = _sources(spark, sf)
+    return schedule.tiers(s, CHUNK, _targets(s))
+
+
+@query(f"WITH {SQL_PLAN} SELECT chunk_no::BIGINT AS chunk_no, source_idx::BIGINT AS source_idx, source, row_start::BIGINT AS row_start, (row_start + least(len, half - before))::BIGINT AS row_end FROM ord, (SELECT sum(size)::BIGINT // 2 AS half FROM src) WHERE before < half")
 def mix_schedule(spark, sf):
-    return schedule.schedule(_sources(spark, sf), CHUNK, 500).drop("before")
+    """Half of all rows."""
+    s = _sources(spark, sf)
+    return schedule.schedule(s, CHUNK, (s.agg(F.sum("size")).first()[0] or 0) // 2).drop("before")
 
 
 @query(f"""WITH {SQL_PLAN}, g AS (SELECT *, CASE WHEN lag(source_idx) OVER (ORDER BY chunk_no) = source_idx THEN 0 ELSE 1 END AS new FROM ord),
@@ -182,19 +195,19 @@ def mix_coalesced(spark, sf):
     return schedule.coalesced(schedule.schedule(_sources(spark, sf), CHUNK))
 
 
-_SQL_TIERS = f"""WITH {SQL_PLAN}, t(tier, target_rows) AS (VALUES ('xs', 100::BIGINT), ('small', 400::BIGINT), ('full', NULL::BIGINT)),
+_SQL_TIERS = f"""WITH {SQL_PLAN}, t AS (SELECT unnest(['xs', 'small', 'full']) AS tier, unnest([sum(size)::BIGINT // 10, sum(size)::BIGINT * 2 // 5, NULL]) AS target_rows FROM src),
 tk AS (SELECT tier, target_rows, source, sum(greatest(0, least(len, coalesce(target_rows, 1000000000000) - before)))::BIGINT AS take_rows FROM ord, t GROUP BY ALL),
 tt AS (SELECT tier, target_rows, (sum(take_rows) OVER (PARTITION BY tier))::BIGINT AS actual_rows, source, take_rows FROM tk)"""
 
 
 @query(_SQL_TIERS + " SELECT * FROM tt")
 def mix_tiers(spark, sf):
-    return schedule.tiers(_sources(spark, sf), CHUNK, TARGETS)
+    return _tiers(spark, sf)
 
 
 @query(_SQL_TIERS + " SELECT tier, max(target_rows) AS target_rows, max(actual_rows) AS actual_rows, count(*) FILTER (WHERE take_rows > 0) AS sources_touched FROM tt GROUP BY tier")
 def mix_summary(spark, sf):
-    return schedule.tier_summary(schedule.tiers(_sources(spark, sf), CHUNK, TARGETS))
+    return schedule.tier_summary(_tiers(spark, sf))
 
 
 SQL_ROWS = "rows AS (SELECT source, doc_id, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS row_idx FROM documents)"
@@ -208,7 +221,7 @@ def _rows(spark, sf):
 
 @query(_SQL_TIERS + f", {SQL_ROWS} SELECT source, doc_id, row_idx::BIGINT AS row_idx FROM rows JOIN tt USING (source) WHERE tier = 'small' AND row_idx < take_rows")
 def tier_prefix(spark, sf):
-    return schedule.prefix(_rows(spark, sf), schedule.tiers(_sources(spark, sf), CHUNK, TARGETS), "small").select("source", "doc_id", "row_idx")
+    return schedule.prefix(_rows(spark, sf), _tiers(spark, sf), "small").select("source", "doc_id", "row_idx")
 
 
 @query(f"""WITH x AS (SELECT source, len({TOKENS}) AS n FROM documents) SELECT source, count(*) AS n_rows, sum(n)::BIGINT AS n_tokens FROM x GROUP BY source
@@ -444,13 +457,13 @@ def negatives_dropped_of_lists(spark, sf):
 
 SQL_SPLIT = """
 ids AS (SELECT DISTINCT source, doc_id AS id FROM documents),
-n AS (SELECT source, least(round_even(count(*) * 0.2, 0)::BIGINT, 15) AS n_eval FROM ids GROUP BY source),
+n AS (SELECT source, least(round_even(count(*) * 0.2, 0)::BIGINT, 100) AS n_eval FROM ids GROUP BY source),
 r AS (SELECT source, id, row_number() OVER (PARTITION BY source ORDER BY sha256('42:' || source || ':' || id)) AS rn FROM ids),
 sp AS (SELECT source, id, CASE WHEN rn <= n_eval THEN 'eval' ELSE 'train' END AS split FROM r JOIN n USING (source))"""
 
 
 def _split(spark, sf):
-    return split.stratified_split(table(spark, sf, "documents"), "doc_id", 42, 0.2, 15)
+    return split.stratified_split(table(spark, sf, "documents"), "doc_id", 42, 0.2, 100)
 
 
 @query(f"WITH {SQL_SPLIT} SELECT * FROM sp")
@@ -474,13 +487,13 @@ def split_disjointness(spark, sf):
     return split.split_summary(s.union(s.where("split = 'eval' AND id % 3 = 0").withColumn("split", F.lit("train"))))
 
 
-@query("""SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT d.doc_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)) ORDER BY sha256('42007:' || doc_id), doc_id LIMIT 100""")
+@query("""SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT d.doc_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)) ORDER BY sha256('42007:' || doc_id), doc_id LIMIT 3000""")
 def distractor_sample(spark, sf):
-    return split.distractors(table(spark, sf, "documents"), relevance(spark, sf).select(F.col("id").alias("doc_id")), "doc_id", 100)
+    return split.distractors(table(spark, sf, "documents"), relevance(spark, sf).select(F.col("id").alias("doc_id")), "doc_id", 3000)
 
 
 _SURFACE = """WITH q AS (SELECT DISTINCT b.item_id AS qid, d.doc_id AS id FROM documents d JOIN benchmark b ON contains(d.text, b.text)),
-n AS (SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT id FROM q) ORDER BY sha256('42007:' || doc_id), doc_id LIMIT 100),
+n AS (SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT id FROM q) ORDER BY sha256('42007:' || doc_id), doc_id LIMIT 3000),
 c AS (SELECT id FROM q UNION SELECT id FROM n)
 SELECT c.id, length(text)::BIGINT AS n_chars, (SELECT count(*) FROM q WHERE q.id = c.id) AS n_queries FROM c JOIN documents ON doc_id = c.id"""
 
@@ -489,7 +502,7 @@ SELECT c.id, length(text)::BIGINT AS n_chars, (SELECT count(*) FROM q WHERE q.id
 def eval_surface(spark, sf):
     """The held-out corpus: all positives and the distractors, with their texts; a missing text is an error."""
     q = stored(relevance(spark, sf))
-    c = q.select("id").union(split.distractors(table(spark, sf, "documents"), q.select(F.col("id").alias("doc_id")), "doc_id", 100)).distinct()
+    c = q.select("id").union(split.distractors(table(spark, sf, "documents"), q.select(F.col("id").alias("doc_id")), "doc_id", 3000)).distinct()
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
     text = F.when(F.col("text").isNotNull(), F.col("text")).otherwise(F.raise_error(F.lit("a document has no text")))
     n = q.groupBy("id").agg(F.count("*").alias("n_queries"))
@@ -572,7 +585,7 @@ def policy_check(spark, sf):
 SELECT source, doc_id, row_idx::BIGINT AS row_idx FROM rows JOIN h USING (source) WHERE row_idx >= have AND row_idx < want""")
 def incremental_upgrade(spark, sf):
     """What the full tier adds to the rows that the smallest one has."""
-    rows, tiers = _rows(spark, sf), schedule.tiers(_sources(spark, sf), CHUNK, TARGETS)
+    rows, tiers = _rows(spark, sf), _tiers(spark, sf)
     have = schedule.prefix(rows, tiers, "xs")
     return incremental.upgrade(rows, have, tiers, "full").select("source", "doc_id", "row_idx")
 
