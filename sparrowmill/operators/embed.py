@@ -205,23 +205,37 @@ def counters(df: DataFrame, ids_col: str = "ids", seconds: float | None = None)
     return df.agg(F.count("*").alias("n_docs"), F.sum(n).alias("n_tokens"), F.count_if(n == 0).alias("n_empty"), F.round(F.avg(n), 6).alias("mean_tokens"), *rates)
 
 
+_tokenizers: dict = {}
+
+
 def wordpiece(df: DataFrame, path: str, text_col: str = "text", out: str = "ids") -> DataFrame:
-    """`df` with the ids of a tokenizer file of the tokenizers library, without special tokens, in Arrow batches."""
+    """`df` with the ids of a tokenizer file of the tokenizers library, without special tokens, in Arrow batches.
+
+    The file is read by the driver, from any file system, and goes to the executors with the function: none of them needs it.
+    """
+    from ..sources.files import read_bytes
 
-    @F.pandas_udf("array<int>")
-    def encode(x):
+    raw = read_bytes(path)
+    if raw is None:
+        raise FileNotFoundError(path)
+    shared = df.sparkSession.sparkContext.broadcast(raw.decode())
+
+    @F.arrow_udf("array<int>")
+    def encode(x: pa.Array) -> pa.Array:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import pandas as pd
         from tokenizers import Tokenizer
 
-        known = encode_cache.setdefault(path, None) or Tokenizer.from_file(path)
-        encode_cache[path] = known
-        return pd.Series([np.array(e.ids, np.int32) for e in known.encode_batch_fast(["" if t is None else t for t in x], add_special_tokens=False)])
+        name = hash(shared.value)
+        if name not in _tokenizers:
+            _tokenizers.clear()
+            _tokenizers[name] = Tokenizer.from_str(shared.value)
+        ids = [e.ids for e in _tokenizers[name].encode_batch_fast(["" if t is None else t for t in x.to_pylist()], add_special_tokens=False)]
+        start = np.append(0, np.cumsum([len(i) for i in ids])).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(start), pa.array(np.array([t for i in ids for t in i], np.int32)))
 
-    encode_cache: dict = {}
-    return df.withColumn(out, encode(F.col(text_col)))
+    return df.withColumn(out, encode(F.col(text_col).cast("string")))
 
 
 def _asked(queries: DataFrame, *columns: str) -> list:

@@ -259,11 +259,23 @@ def pick_weight(tensors: dict[str, np.ndarray]) -> np.ndarray:
     return next(iter(tensors.values()))
 
 
-def weights_from_tensors(spark: SparkSession, path: str) -> DataFrame:
+def checkpoint(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, str]]:
+    """(weights, metadata) of a tensor file. What the metadata doesn't say of vocabulary and dimension is the weight's shape; if it says otherwise, that is an error."""
     import pandas as pd
 
-    w = pick_weight(read_tensors(path)[0])
-    return spark.createDataFrame(pd.DataFrame({"token_id": np.arange(len(w)), "vec": [x.tolist() for x in w]}), "token_id bigint, vec array<float>")
+    tensors, meta = read_tensors(path)
+    w = pick_weight(tensors)
+    if w.ndim != 2:
+        raise ValueError(f"the weight has {w.ndim} axes, not two")
+    shape = {"vocab_size": str(w.shape[0]), "dim": str(w.shape[1])}
+    for k, v in shape.items():
+        if meta.get(k, v) != v:
+            raise ValueError(f"the metadata say {k} {meta[k]}, the weight has {v}")
+    return spark.createDataFrame(pd.DataFrame({"token_id": np.arange(len(w)), "vec": [x.tolist() for x in w]}), "token_id bigint, vec array<float>"), shape | meta
+
+
+def weights_from_tensors(spark: SparkSession, path: str) -> DataFrame:
+    return checkpoint(spark, path)[0]
 
 
 def write_artifact(path: str, quantized: DataFrame, bits: int, axis: str, dim: int, metadata: dict[str, str]) -> None:

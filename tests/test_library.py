@@ -434,3 +434,15 @@ def test_command_line(spark, tmp_path, capsys):
     assert "3 rows appended" in said and "0 rows appended" in said and "docs_per_s" in said and "doc_ids" not in said
     got = {r.doc_id: r.embedding for r in spark.read.parquet(f"{d}/v").collect()}
     assert np.linalg.norm(got[1]) == pytest.approx(1) and got[2] == [0, 0]
+
+
+def test_checkpoint_defaults_from_the_shape(spark, tmp_path):
+    path = f"file://{tmp_path}/c.bin"
+    w = np.arange(12, dtype="<f4").reshape(4, 3)
+    tables.write_tensors(path, {"embedding.weight": w, "other": np.zeros(2, "<f4")}, {"stage": "1"})
+    df, meta = tables.checkpoint(spark, path)
+    assert meta == {"vocab_size": "4", "dim": "3", "stage": "1"}
+    assert {r.token_id: r.vec for r in df.collect()} == {i: r.tolist() for i, r in enumerate(w)}
+    tables.write_tensors(path, {"embedding.weight": w}, {"dim": "8"})
+    with pytest.raises(ValueError, match="dim 8"):
+        tables.checkpoint(spark, path)
