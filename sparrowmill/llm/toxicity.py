@@ -30,7 +30,7 @@ _EDGE = re.compile(r"^\W+|\W+$")
 BLOCK = 64
 #: How many times likelier in one class a term must be, and the power of a neighbour's similarity in its vote: chosen on the
 #: training rows alone, the fifth of them with crc32(id) mod 5 = 1 scored by a model of the others.
-LIFT, POWER = 3.0, 2.0
+LIFT, POWER = 2.0, 3.0
 
 
 def features(word: str) -> set[str]:
