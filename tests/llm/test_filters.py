@@ -150,3 +150,27 @@ def test_scores_of_training_rows_left_out_are_calibrated(spark):
     error = sum(abs(s[tenth == i].mean() - y[tenth == i].mean()) * (tenth == i).mean() for i in range(10) if (tenth == i).any())
     print("rows", len(s), "accuracy", ((s >= 0.5) == y).mean(), "calibration error", error)
     assert len(s) > 500 and ((s >= 0.5) == y).mean() > 0.95 and error < 0.05
+
+
+def test_kept_is_what_the_bands_say(spark):
+    """The method's verdict again from its definition: ratios of whole texts and of chunks against the limits of their length."""
+    import zstandard
+
+    rng = np.random.default_rng(1)
+    noise = ["".join(rng.choice([chr(c) for c in range(33, 127)], 60)) for _ in range(400)]
+    planted = [(-1, " ".join(noise[:12])), (-2, " ".join(noise)), (-3, " ".join(f"{'x' * 40}{i}" for i in range(300)))]
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame(planted, "doc_id long, text string"))
+    docs = {r.doc_id: (r.text or "").encode() for r in rows.collect()}
+    rejected = 0
+    for r in quality.judge(rows).collect():
+        t = docs[r.id]
+        ratio = lambda x: len(zstandard.compress(x, 3)) / len(x)
+        fine = True
+        if len(t) >= 64:
+            low, high = [b[1:] for b in quality.BANDS if b[0] <= len(t)][-1]
+            chunks = [t[i : i + 1024] for i in range(0, len(t), 1024)] if len(t) > 1024 else []
+            chunks = [ratio(c) for c in chunks if len(c) >= 512]
+            fine = low <= ratio(t) <= high and sum(not 0.30 <= c <= 0.80 for c in chunks) <= 0.25 * len(chunks)
+        assert r.kept == (fine and not r.base_failed)
+        rejected += not r.kept and not r.base_failed
+    assert rejected >= 3
