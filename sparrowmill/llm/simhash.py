@@ -27,8 +27,8 @@ BLOCK = 1 << 19
 #: Bits in which the fingerprints of two candidates may differ. Sets at a Jaccard coefficient of 0.8 differ in 9.7 of 64 on
 #: average with a deviation of 2.9, so 26 are nearly six beyond; unrelated ones differ in 32 with a deviation of 4.
 FAR = 26
-#: Shared variants up to which they are broadcast.
-BROADCAST = 200_000
+#: Shared variants up to which they are broadcast, and fingerprints whose variants one task makes.
+BROADCAST, SPLIT = 200_000, 20_000
 _SPREAD = np.array([sum(((v >> (7 - j)) & 1) << (8 * j) for j in range(8)) for v in range(256)], np.uint64)
 
 
@@ -101,7 +101,8 @@ def links(fps: DataFrame, max_distance: int = 3) -> DataFrame:
     def near(x: str, y: str) -> Column:
         return F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= max_distance
 
-    index = fps.select("fp", F.explode(variants).alias("v"))
+    # A few bytes a row make few splits, and each row sixty-four: dealt so that a task has no more than SPLIT to explode.
+    index = fps.repartition(fps.count() // SPLIT + 1).select("fp", F.explode(variants).alias("v"))
     shared = Stored(index.groupBy("v").agg(F.min("fp").alias("leader"), F.max("fp").alias("hi")).where("leader <> hi").select("v", "leader")).df
     release(fps.sparkSession)
     # The planner takes the index, which it sees before it is exploded, for small; so what is broadcast is said here.
