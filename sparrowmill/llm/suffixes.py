@@ -208,7 +208,7 @@ def repeated_segments(keyed: DataFrame, width: int = WIDTH, gram: int = GRAM) ->
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "t", 1 << 20):
+            for part in slices(batch, "t", 1 << 19):
                 s = segments(*text_bytes(part.column("t")), width, gram)
                 row = pa.array(s["row"])
                 yield pa.record_batch({"k1": part.column("k1").take(row), "k2": part.column("k2").take(row), "at": pa.array((s["first"] << 20) | (s["m"] << 10) | s["o"]), "h": pa.array(s["h"]), "c": pa.array(s["c"])})
@@ -241,7 +241,7 @@ def repeated_segments(keyed: DataFrame, width: int = WIDTH, gram: int = GRAM) ->
         held: dict[int, list] = {}
         size = 0
         for batch in batches:
-            for part in slices(batch, "t", 4 << 20):
+            for part in slices(batch, "t", 1 << 20):
                 for t, want in zip(part.column("t").cast(pa.binary()).to_pylist(), part.column("want").to_pylist()):
                     roll = None
                     for x in want:
@@ -256,7 +256,7 @@ def repeated_segments(keyed: DataFrame, width: int = WIDTH, gram: int = GRAM) ->
                         else:
                             held.setdefault(x["h"] % targets, []).append((t[a : first + m - 1 + width], t[first:a][::-1], x["h"], x["c"]))
                             size += m + width
-                if size > 64 << 20:
+                if size > 16 << 20:
                     yield give(list(held), [front_code(sorted(v)) for v in held.values()])
                     held, size = {}, 0
         if held:
@@ -316,7 +316,7 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "t", 4 << 20):
+            for part in slices(batch, "t", 1 << 20):
                 s = part.column("s")
                 off = np.append(0, np.cumsum([0 if x is None else x for x in s.value_lengths().to_pylist()])).astype(np.int64)
                 flat = s.flatten()
