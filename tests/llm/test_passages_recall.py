@@ -103,3 +103,35 @@ def test_runs_of_one_word_meet_runs_as_long(spark):
         name = {r.n: r.least_id for r in texts.collect()}
         got = {frozenset((name[r.first], name[r.other])) for r in pairs.collect()}
         assert set().union(*got) == {1000, 1001, 1002}
+
+
+def test_every_pair_of_texts_with_a_passage_is_found(spark):
+    """Each of many texts begins a frequent line; those of a group go on alike, but for words of each one's own, after another
+    text of the same beginning. All pairs within 40 words of which 32 match are found, however many texts have the line."""
+    rng = np.random.default_rng(8)
+    word = lambda n: [f"w{i}" for i in rng.integers(0, 10**7, n)]
+    line, rows, wanted = word(12), [], set()
+    rows += [(i, " ".join(word(20) + line + word(40))) for i in range(300)]
+    for g in range(4):
+        after = word(36)
+        for i in range(40):  # one word in nine of each text's own: 44 of 48 match its neighbours, but for places they share
+            mine = [f"own{g}-{i}-{j}" if j % 9 == (i % 9) else w for j, w in enumerate(after)]
+            rows.append((1000 + 100 * g + i, " ".join(word(20) + line + mine + word(20))))
+        ids = [1000 + 100 * g + i for i in range(40)]
+        wanted |= {(a, b) for a in ids for b in ids if a < b}
+    texts, pairs = passages(spark.createDataFrame(rows, "doc_id long, text string"))
+    name = {r.n: r.least_id for r in texts.collect()}
+    got = {tuple(sorted((name[r.first], name[r.other]))) for r in pairs.collect()}
+    assert wanted <= got and all(a >= 1000 and a // 100 == b // 100 for a, b in got)
+
+
+def test_a_passage_of_frequent_lines_with_words_between_is_found(spark):
+    """Two frequent lines of twenty words, a word between them in one text and four in the other: no seed alone allows a passage in place."""
+    rng = np.random.default_rng(9)
+    word = lambda n: [f"w{i}" for i in rng.integers(0, 10**7, n)]
+    x, y = word(20), word(20)
+    rows = [(i, " ".join(word(30) + (x if i % 2 else y) + word(30))) for i in range(400)]
+    rows += [(1000, " ".join(word(30) + x + word(1) + y + word(30))), (1001, " ".join(word(30) + x + word(4) + y + word(30)))]
+    texts, pairs = passages(spark.createDataFrame(rows, "doc_id long, text string"))
+    name = {r.n: r.least_id for r in texts.collect()}
+    assert {tuple(sorted((name[r.first], name[r.other]))) for r in pairs.collect()} == {(1000, 1001)}
