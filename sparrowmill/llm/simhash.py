@@ -17,16 +17,14 @@ from pyspark.sql import functions as F
 
 from ..session import Stored, release, scratch
 from .components import components
-from .textnum import Words, slices, xxh64
-from .texts import paired, runs, stars, unique
-
-#: Texts with one shingle up to which all their pairs are candidates.
-MOST = 32
-#: Pairs that a task looks at at once.
-BLOCK = 1 << 19
-#: Bits in which the fingerprints of two candidates may differ. Sets at a Jaccard coefficient of 0.8 differ in 9.7 of 64 on
-#: average with a deviation of 2.9, so 26 are nearly six beyond; unrelated ones differ in 32 with a deviation of 4.
-FAR = 26
+from .textnum import Words, mix, slices, xxh64
+from .texts import paired, runs, unique
+
+#: Occurrences of a shingle that each of them meets in one task.
+SPLIT_KEY = 4096
+#: 64-bit words of a wide fingerprint, and bits in which those of two candidates may differ. Sets at a Jaccard coefficient of 0.8
+#: differ in 39 of 256 on average with a deviation of 6, so 96 are nine beyond; unrelated ones differ in 128 with a deviation of 8.
+WORDS, FAR = 4, 96
 #: Shared variants up to which they are broadcast, and fingerprints whose variants one task makes.
 BROADCAST, SPLIT = 200_000, 20_000
 _SPREAD = np.array([sum(((v >> (7 - j)) & 1) << (8 * j) for j in range(8)) for v in range(256)], np.uint64)
@@ -210,45 +208,52 @@ def prefixes(column: pa.Array, width: int, similarity: float) -> tuple[np.ndarra
     return row[keep], h[keep], size[row[keep]].astype(np.uint32), (after[keep] >> np.uint64(32)).astype(np.uint32)
 
 
-def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])) if len(a) else np.zeros(0, bool)
-    return a[new], b[new]
+def shared_prefixes(texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(key, n, size, least): a row for each of `texts` (see texts.unique) and each shingle that its prefix shares with another's;
+    `size` is its set's, `least` the first text with the shingle. As many rows as occurrences, whatever the number of a shingle's texts."""
 
+    def pair(key, n, size):
+        begin, many, _ = runs(key, n)
+        least = np.repeat(n[begin], many)
+        return pa.table({"key": pa.array(key.view(np.int64)), "n": pa.array(n), "size": pa.array(size.astype(np.int64)), "least": pa.array(least)})
 
-def prefix_pairs(texts: DataFrame, width: int, similarity: float, most: int = MOST) -> DataFrame:
-    """(a, b): candidates among `texts` (see texts.unique), by n, by shared prefixes; sizes of two sets differ by the similarity at most.
+    return paired(texts, lambda column: prefixes(column, width, similarity)[:3], (np.uint32,), None, pair, "key long, n long, size long, least long")
 
-    All pairs of a shingle's texts are candidates up to `most` texts; where more have it, each meets the first of them and
-    the first of those that go on with the same shingle, so that a group's size never counts twice.
-    """
 
-    def blocks(key, n, after) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        begin, many, _ = runs(key, n)
-        big = np.repeat(many > most, many)
-        x, y = stars(key[big], n[big], [after[big]])
-        at = np.flatnonzero(big)
-        yield at[x], at[y]
-        for m in range(2, most + 1):
-            i, j = np.triu_indices(m, 1)
-            of = begin[many == m]
-            for c in range(0, len(of), max(1, BLOCK // len(i))):
-                part = of[c : c + max(1, BLOCK // len(i)), None]
-                yield (part + i).ravel(), (part + j).ravel()
-
-    def pair(key, n, size, after):
-        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for x, y in blocks(key, n, after):
-            p, q = size[x].astype(np.int64), size[y].astype(np.int64)
-            close = (np.minimum(p, q) >= similarity * np.maximum(p, q) - 1e-9) & (n[x] != n[y])
-            a, b = _distinct(np.minimum(n[x], n[y])[close], np.maximum(n[x], n[y])[close])
-            left.append(a), right.append(b)
-        a, b = _distinct(np.concatenate(left), np.concatenate(right))
-        return pa.table({"a": pa.array(a), "b": pa.array(b)})
-
-    found = paired(texts, lambda column: prefixes(column, width, similarity), (np.uint32, np.uint32), lambda size, after: [after], pair, "a long, b long")
-    return found.distinct()
+def wide(texts: DataFrame, width: int, seed: int) -> DataFrame:
+    """(n, w0, ...): WORDS fingerprints of each text's set of shingles, by as many hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                row, h = _shingle_sets(part.column("text"), width, seed)
+                total = np.bincount(row, minlength=part.num_rows)[:, None]
+                cols = {"n": part.column("n")}
+                for i in range(WORDS):
+                    counts = bit_counts(mix(h + np.uint64(i)), row, part.num_rows)
+                    cols[f"w{i}"] = pa.array(np.packbits(2 * counts > total, axis=1).view(">u8")[:, 0].astype(np.uint64).view(np.int64))
+                yield pa.record_batch(cols)
+
+    return texts.select("n", "text").mapInArrow(run, "n long, " + ", ".join(f"w{i} long" for i in range(WORDS)))
+
+
+def _close(x: str, y: str) -> Column:
+    """Whether the wide fingerprints of `x` and `y` differ in FAR bits at most."""
+    bits = [F.bit_count(F.col(f"{x}.w{i}").bitwiseXOR(F.col(f"{y}.w{i}"))) for i in range(WORDS)]
+    return sum(bits[1:], bits[0]) <= FAR
+
+
+def across(members: DataFrame, roots: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): of `members` (see shared_prefixes) all pairs that share a shingle, are in different components by `roots` (node,
+    root), and may be similar by their sizes and `known` (see wide). Pairs of one component could join nothing more."""
+    of = members.join(roots.toDF("n", "root"), "n", "left").select("key", "n", "size", F.coalesce("root", "n").alias("root"))
+    mixed = of.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.count("*") / SPLIT_KEY).cast("int").alias("parts")).where("lo < hi").select("key", "parts")
+    of = Stored(of.join(mixed, "key").join(known, "n").withColumn("part", F.pmod(F.xxhash64("n"), "parts").cast("int"))).df
+    every = of.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    x, y = of.alias("x"), every.alias("y").hint("merge")
+    on = (F.col("x.key") == F.col("y.key")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.n") < F.col("y.n")) & (F.col("x.root") != F.col("y.root"))
+    on &= F.least("x.size", "y.size") >= similarity * F.greatest("x.size", "y.size") - 1e-9
+    return x.join(y, on & _close("x", "y")).select(F.col("x.n").alias("a"), F.col("y.n").alias("b")).distinct()
 
 
 def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, max_distance: int = 3, seed: int = 42) -> DataFrame:
@@ -256,7 +261,7 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
 
     Candidates are the links of the texts' fingerprints, texts of one fingerprint beside the least of them, and, as texts of
     the similarity may differ in more bits than an index can bridge, those that share a shingle of their prefixes and differ in
-    FAR bits at most. A link is a candidate whose shingle sets have a Jaccard coefficient of `similarity` or more. Equal texts are one node.
+    FAR of 256 bits at most: first with the least text of each shingle, then all pairs of texts that are not joined yet. A link is a candidate whose shingle sets have a Jaccard coefficient of `similarity` or more. Equal texts are one node.
     """
     with scratch() as keep:
         rows, texts = unique(df, id_col, text_col)
@@ -264,9 +269,14 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
         of = Stored(fps.groupBy("fp").agg(F.min("id").alias("node"))).df
         same = fps.join(of, "fp").where("id <> node").select(F.col("node").alias("a"), F.col("id").alias("b"))
         near = links(of.select("fp"), max_distance).join(of.toDF("a", "x"), "a").join(of.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-        plausible = prefix_pairs(texts, width, similarity).join(fps.toDF("a", "x"), "a").join(fps.toDF("b", "y"), "b").where(F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= FAR).select("a", "b")
-        pairs = same.union(near).union(plausible)
-        roots = _verified_roots(pairs, texts.select("n", "text"), width, similarity)
+        members = shared_prefixes(texts, width, similarity)
+        known = Stored(wide(texts, width, seed)).df
+        first = members.where("n <> least").select(F.col("least").alias("a"), F.col("n").alias("b")).distinct().alias("p")
+        plausible = first.join(known.alias("x"), F.col("p.a") == F.col("x.n")).join(known.alias("y"), F.col("p.b") == F.col("y.n")).where(_close("x", "y")).select("p.a", "p.b")
+        roots = Stored(_verified_roots(same.union(near).union(plausible), texts.select("n", "text"), width, similarity)).df
+        release(df.sparkSession)
+        more = _verified_roots(across(members, roots, known, similarity), texts.select("n", "text"), width, similarity)
+        roots = components(roots.toDF("a", "b").union(more.toDF("a", "b")))
         grouped = texts.select("n", "t", "least_id").join(roots, F.col("n") == F.col("node"), "left").select("t", "least_id", F.coalesce("root", "n").alias("root"))
         named = keep(Stored(grouped.join(grouped.groupBy("root").agg(F.min("least_id").alias("component_id")), "root").select("t", "component_id")))
     release(df.sparkSession)

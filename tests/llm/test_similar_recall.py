@@ -51,3 +51,23 @@ def test_near_duplicates_are_those_of_all_pairs(spark):
     want = {i: find(i) for i in root}
     print("pairs from 0.8 to 0.85:", near, "texts in a group:", sum(want[i] != i for i in want), "of them found:", sum(want[i] != i and got[i] == want[i] for i in want))
     assert got == want
+
+
+def test_pairs_of_a_frequent_shingle_are_found(spark):
+    """Near copies all of whose shingles many texts have that are not similar, and that go on alike: their first texts are none of the two."""
+    rng = np.random.default_rng(12)
+    word = lambda n: [f"w{i}" for i in rng.integers(0, 10**7, n)]
+    rows, wanted = [], set()
+    for case in range(6):
+        base = word(60)
+        rows += [(1000 * case + i, " ".join(base + word(5))) for i in range(2)]
+        wanted.add((1000 * case, 1000 * case + 1))
+        for i in range(120):  # three quarters of it, at either end or around the middle
+            at = int(rng.integers(0, 16))
+            rows.append((1000 * case + 10 + i, " ".join(word(at) + base[at : at + 45] + word(15 - at))))
+    texts = dict(rows)
+    got = {}
+    for r in similar(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[r.id] = r.component_id
+    assert all(_jaccard(_shingles(texts[a].split()), _shingles(texts[b].split())) >= 0.8 for a, b in wanted)
+    assert [pair for pair in sorted(wanted) if got[pair[0]] != got[pair[1]]] == []
