@@ -215,7 +215,7 @@ def shared_prefixes(texts: DataFrame, width: int, similarity: float) -> DataFram
     def pair(key, n, size):
         begin, many, _ = runs(key, n)
         least = np.repeat(n[begin], many)
-        return pa.table({"key": pa.array(key.view(np.int64)), "n": pa.array(n), "size": pa.array(size.astype(np.int64)), "least": pa.array(least)})
+        yield pa.table({"key": pa.array(key.view(np.int64)), "n": pa.array(n), "size": pa.array(size.astype(np.int64)), "least": pa.array(least)})
 
     return paired(texts, lambda column: prefixes(column, width, similarity)[:3], (np.uint32,), None, pair, "key long, n long, size long, least long")
 

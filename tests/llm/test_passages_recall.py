@@ -3,7 +3,7 @@
 import numpy as np
 import pyarrow as pa
 
-from sparrowmill.llm.passages import AFTER, BEFORE, END, K, LEAST_WORDS, SIMILARITY, passages, promising, signatures, word_hashes
+from sparrowmill.llm.passages import AFTER, BEFORE, END, K, LEAST_WORDS, SIMILARITY, _all_pairs, passages, promising, signatures, word_hashes
 
 
 def _fuzzy(rng, n, edits):
@@ -135,3 +135,14 @@ def test_a_passage_of_frequent_lines_with_words_between_is_found(spark):
     texts, pairs = passages(spark.createDataFrame(rows, "doc_id long, text string"))
     name = {r.n: r.least_id for r in texts.collect()}
     assert {tuple(sorted((name[r.first], name[r.other]))) for r in pairs.collect()} == {(1000, 1001)}
+
+
+def test_rows_of_one_key_are_paired_in_portions():
+    rng = np.random.default_rng(11)
+    key = np.sort(rng.integers(0, 400, 3000)).astype(np.uint64)
+    n = np.concatenate([np.sort(rng.integers(0, 9, c)) for c in np.unique(key, return_counts=True)[1]])
+    many = dict(zip(*np.unique(key, return_counts=True)))
+    portions = list(_all_pairs(key, n, 12, 100))
+    assert len(portions) > 50 and max(len(x) for x, _ in portions) <= 100
+    got = sorted((int(a), int(b)) for x, y in portions for a, b in zip(x, y))
+    assert got == sorted((a, b) for a in range(3000) for b in range(a + 1, min(3000, a + 12)) if key[a] == key[b] and n[a] != n[b] and many[key[a]] <= 12)
