@@ -3,7 +3,8 @@
 import numpy as np
 import pyarrow as pa
 
-from sparrowmill.llm.passages import AFTER, BEFORE, END, K, LEAST_WORDS, SIMILARITY, _all_pairs, passages, promising, signatures, word_hashes
+from sparrowmill.llm.passages import AFTER, BEFORE, END, K, LEAST_WORDS, MOST, SIMILARITY, WINDOW, _all_pairs, frequent_pairs, frequent_seeds, passages, promising, seeds, signatures, word_hashes
+from sparrowmill.llm.texts import dealing, unique
 
 
 def _fuzzy(rng, n, edits):
@@ -137,6 +138,30 @@ def test_a_passage_of_frequent_lines_with_words_between_is_found(spark):
     assert {tuple(sorted((name[r.first], name[r.other]))) for r in pairs.collect()} == {(1000, 1001)}
 
 
+def test_a_pair_of_texts_is_met_once_for_a_passage_and_not_for_each_seed(spark, monkeypatch):
+    """Texts of one long passage share some fifty frequent seeds. Each pair has one row, and all its seeds count."""
+    rng = np.random.default_rng(10)
+    word = lambda n: [f"w{i}" for i in rng.integers(0, 10**7, n)]
+    one = word(150)
+    rows = [(i, " ".join(word(30 + i % 7) + one + word(40))) for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    _, stored = unique(df, "doc_id", "text")
+    row, _, h = seeds(pa.array([t for _, t in rows]))
+    key, many = np.unique(h, return_counts=True)
+    shift = dealing(stored)[1]
+    keys = np.unique(key[many > MOST] >> shift)
+    assert len(keys) > 40
+    met = frequent_pairs(frequent_seeds(stored, keys, shift, K, WINDOW), K, LEAST_WORDS, SIMILARITY).collect()
+    every = [(a, b) for a in range(90) for b in range(a + 1, 90)]
+    assert len(met) == len({(r.first, r.other) for r in met}) == len(every)
+    texts, pairs = passages(df)
+    name = {r.n: r.least_id for r in texts.collect()}
+    assert sorted((*sorted((name[r.first], name[r.other])), r.matched) for r in pairs.collect()) == [(a, b, 150) for a, b in every]
+    monkeypatch.setattr("sparrowmill.llm.passages.ROUND", 1500)  # several rounds
+    _, again = passages(df)
+    assert sorted(again.collect()) == sorted(pairs.collect())
+
+
 def test_rows_of_one_key_are_paired_in_portions():
     rng = np.random.default_rng(11)
     key = np.sort(rng.integers(0, 400, 3000)).astype(np.uint64)
