@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import example, given, settings
@@ -145,3 +146,25 @@ def test_shards_of_a_run_before_are_replaced(spark, tmp_path):
         files.append({f.name: f.read_bytes() for f in (tmp_path / "shards").iterdir()})
     assert files[0] == files[1] and len(files[0]) == -(-total // 32)
     assert sorted(r.slot for r in rows) == list(range(total)) and sum(r.id is None for r in rows) >= 8
+
+
+def test_blocks_of_sequences_take_less_than_at_the_streams_own_level():
+    rng = np.random.default_rng(3)
+    text = [f"the {w} of a {v} is not what it was in {w}" for w, v in rng.integers(0, 300, (400, 2)).tolist()]
+    ids = [np.frombuffer(" ".join(text[i : i + 12]).encode(), np.uint8).astype("<u2").tobytes() for i in rng.integers(0, 388, 255)]
+    rows = pa.table({"slot": pa.array(np.sort(rng.permutation(8192)[:255])), "ids": pa.array(ids, pa.binary())})
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_table(rows)
+    block = materialise.block(rows)
+    assert pa.ipc.open_stream(block).read_all() == rows and len(block) < 0.95 * sink.getvalue().size
+
+
+def test_a_table_stored_at_a_higher_level_is_smaller(spark):
+    from pathlib import Path
+
+    from sparrowmill.session import Stored
+
+    df = spark.range(30_000).selectExpr("concat_ws(' ', 'the', id % 97, 'of a', hash(id) % 900, 'is not', id % 89, 'in', hash(id, 2) % 700) AS t").coalesce(1)
+    size = {level: sum(p.stat().st_size for p in Path(Stored(df, level=level).path.removeprefix("file://").removeprefix("file:")).glob("*.parquet")) for level in (1, 9)}
+    assert 0 < size[9] < 0.97 * size[1]
