@@ -17,14 +17,18 @@ from pyspark.sql import functions as F
 
 from ..session import Stored, release, scratch
 from .components import components
-from .textnum import Words, mix, slices, xxh64
-from .texts import paired, runs, unique
+from .textnum import U, Words, mix, slices, xxh64
+from .texts import dealing, paired, runs, unique
 
 #: Occurrences of a shingle that each of them meets in one task.
 SPLIT_KEY = 4096
+#: Texts, about, and shingles that say which shingles are frequent. That is an order only: any gives the same pairs, this one few candidates.
+SAMPLE, OFTEN = 8192, 1 << 17
 #: 64-bit words of a wide fingerprint, and bits in which those of two candidates may differ. Sets at a Jaccard coefficient of 0.8
 #: differ in 39 of 256 on average with a deviation of 6, so 96 are nine beyond; unrelated ones differ in 128 with a deviation of 8.
 WORDS, FAR = 4, 96
+#: 64-bit words of a set's parities.
+PARITY = 4
 #: Shared variants up to which they are broadcast, and fingerprints whose variants one task makes.
 BROADCAST, SPLIT = 200_000, 20_000
 _SPREAD = np.array([sum(((v >> (7 - j)) & 1) << (8 * j) for j in range(8)) for v in range(256)], np.uint64)
@@ -196,72 +200,107 @@ def _verified_roots(pairs: DataFrame, texts: DataFrame, width: int, similarity:
     return components(ok.union(more))
 
 
-def prefixes(column: pa.Array, width: int, similarity: float) -> tuple[np.ndarray, ...]:
-    """(row, hash, size of the set, the next hash's leading bits) of each text's prefix: of a set of n shingles in order of
-    their hashes the first n - ceil(similarity * n) + 1. Two sets of the similarity share a shingle of both prefixes."""
+def often(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, U]:
+    """(key, count, shift): the shingles that the most of about SAMPLE of `texts` (see texts.unique) have, ascending by `key`, a hash less its `shift` lowest bits."""
+    sample = texts.where(F.pmod("t", F.lit(max(1, texts.count() // SAMPLE))) == 0).select("n", "text", "size")
+
+    def count(key, n):
+        begin, many, _ = runs(key, n)
+        yield pa.table({"key": pa.array(key[begin].view(np.int64)), "many": pa.array(many.astype(np.int64))})
+
+    found = paired(sample, lambda column: _shingle_sets(column, width), (), None, count, "key long, many long")
+    rows = found.where("many > 2").orderBy(F.desc("many"), "key").limit(OFTEN).toArrow()
+    key, many = rows.column("key").to_numpy().view(np.uint64), rows.column("many").to_numpy()
+    order = np.argsort(key)
+    return key[order], many[order].astype(np.int32), dealing(sample)[1]
+
+
+def prefixes(column: pa.Array, width: int, similarity: float, known: tuple | None = None) -> tuple[np.ndarray, ...]:
+    """(row, hash, size of the set, place in the set) of each text's prefix: of a set of n shingles, the rare first (see often();
+    then in order of their hashes), the first n - ceil(similarity * n) + 1. Two sets of the similarity share a shingle of both prefixes."""
     row, h = _shingle_sets(column, width)
+    if known is not None and len(known[0]):
+        key, many, shift = known
+        at = np.minimum(np.searchsorted(key, h >> shift), len(key) - 1)
+        order = np.lexsort((h, np.where(key[at] == h >> shift, many[at], 0), row))
+        row, h = row[order], h[order]
     size = np.bincount(row, minlength=len(column))
     place = np.arange(len(row)) - (np.cumsum(size) - size)[row]
-    after = np.append(h[1:], np.uint64(0)) if len(h) else h
-    after = np.where(place + 1 < size[row], after, np.uint64(0))
     keep = place < (size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1)[row]
-    return row[keep], h[keep], size[row[keep]].astype(np.uint32), (after[keep] >> np.uint64(32)).astype(np.uint32)
+    return row[keep], h[keep], size[row[keep]].astype(np.uint32), place[keep].astype(np.uint32)
 
 
 def shared_prefixes(texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """(key, n, size, least): a row for each of `texts` (see texts.unique) and each shingle that its prefix shares with another's;
-    `size` is its set's, `least` the first text with the shingle. As many rows as occurrences, whatever the number of a shingle's texts."""
+    """(key, n, size, place, least): a row for each of `texts` (see texts.unique) and each shingle that its prefix shares with another's;
+    `size` is its set's, `place` the shingle's in it, `least` the first text with the shingle. As many rows as occurrences, whatever the number of a shingle's texts."""
 
-    def pair(key, n, size):
+    def pair(key, n, size, place):
         begin, many, _ = runs(key, n)
         least = np.repeat(n[begin], many)
-        yield pa.table({"key": pa.array(key.view(np.int64)), "n": pa.array(n), "size": pa.array(size.astype(np.int64)), "least": pa.array(least)})
+        yield pa.table({"key": pa.array(key.view(np.int64)), "n": pa.array(n), "size": pa.array(size.astype(np.int64)), "place": pa.array(place.astype(np.int64)), "least": pa.array(least)})
 
-    return paired(texts, lambda column: prefixes(column, width, similarity)[:3], (np.uint32,), None, pair, "key long, n long, size long, least long")
+    known = often(texts, width)
+    return paired(texts, lambda column: prefixes(column, width, similarity, known), (np.uint32, np.uint32), None, pair, "key long, n long, size long, place long, least long")
+
+
+def parities(row: np.ndarray, h: np.ndarray, rows: int) -> np.ndarray:
+    """(rows, PARITY): for each of 64 * PARITY classes of hashes whether a row has an odd number of them. An element that one of two
+    sets lacks changes one bit, so where d bits differ, d elements or more do."""
+    bit = (mix(h) >> U(32)) % U(64 * PARITY)
+    count = np.bincount(row * 64 * PARITY + bit.astype(np.int64), minlength=rows * 64 * PARITY).reshape(rows, 64 * PARITY)
+    return np.packbits((count & 1).astype(np.uint8), axis=1).view(U)
 
 
 def wide(texts: DataFrame, width: int, seed: int) -> DataFrame:
-    """(n, w0, ...): WORDS fingerprints of each text's set of shingles, by as many hashes."""
+    """(n, m, w0, ..., p0, ...): the size of each text's set of shingles, WORDS fingerprints of it, by as many hashes, and its parities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 row, h = _shingle_sets(part.column("text"), width, seed)
                 total = np.bincount(row, minlength=part.num_rows)[:, None]
-                cols = {"n": part.column("n")}
+                cols = {"n": part.column("n"), "m": pa.array(total[:, 0])}
                 for i in range(WORDS):
                     counts = bit_counts(mix(h + np.uint64(i)), row, part.num_rows)
                     cols[f"w{i}"] = pa.array(np.packbits(2 * counts > total, axis=1).view(">u8")[:, 0].astype(np.uint64).view(np.int64))
-                yield pa.record_batch(cols)
+                odd = parities(row, h, part.num_rows)
+                yield pa.record_batch(cols | {f"p{i}": pa.array(np.ascontiguousarray(odd[:, i]).view(np.int64)) for i in range(PARITY)})
+
+    return texts.select("n", "text").mapInArrow(run, "n long, m long, " + ", ".join([f"w{i} long" for i in range(WORDS)] + [f"p{i} long" for i in range(PARITY)]))
+
 
-    return texts.select("n", "text").mapInArrow(run, "n long, " + ", ".join(f"w{i} long" for i in range(WORDS)))
+def _close(x: str, y: str, similarity: float) -> Column:
+    """Whether the wide fingerprints of `x` and `y` differ in FAR bits at most, and their parities in no more than sets of the similarity may."""
 
+    def apart(kind: str, n: int) -> Column:
+        bits = [F.bit_count(F.col(f"{x}.{kind}{i}").bitwiseXOR(F.col(f"{y}.{kind}{i}"))) for i in range(n)]
+        return sum(bits[1:], bits[0])
 
-def _close(x: str, y: str) -> Column:
-    """Whether the wide fingerprints of `x` and `y` differ in FAR bits at most."""
-    bits = [F.bit_count(F.col(f"{x}.w{i}").bitwiseXOR(F.col(f"{y}.w{i}"))) for i in range(WORDS)]
-    return sum(bits[1:], bits[0]) <= FAR
+    most = (1 - similarity) / (1 + similarity) * (F.col(f"{x}.m") + F.col(f"{y}.m")) + 1e-6
+    return (apart("w", WORDS) <= FAR) & (apart("p", PARITY) <= most)
 
 
 def across(members: DataFrame, roots: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
     """(a, b): of `members` (see shared_prefixes) all pairs that share a shingle, are in different components by `roots` (node,
-    root), and may be similar by their sizes and `known` (see wide). Pairs of one component could join nothing more."""
-    of = members.join(roots.toDF("n", "root"), "n", "left").select("key", "n", "size", F.coalesce("root", "n").alias("root"))
+    root), and may be similar by their sizes, what is left of their sets from the shingle on, and `known` (see wide). Pairs of one component could join nothing more."""
+    of = members.join(roots.toDF("n", "root"), "n", "left").select("key", "n", "size", "place", F.coalesce("root", "n").alias("root"))
     mixed = of.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.count("*") / SPLIT_KEY).cast("int").alias("parts")).where("lo < hi").select("key", "parts")
     of = Stored(of.join(mixed, "key").join(known, "n").withColumn("part", F.pmod(F.xxhash64("n"), "parts").cast("int"))).df
     every = of.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     x, y = of.alias("x"), every.alias("y").hint("merge")
     on = (F.col("x.key") == F.col("y.key")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.n") < F.col("y.n")) & (F.col("x.root") != F.col("y.root"))
     on &= F.least("x.size", "y.size") >= similarity * F.greatest("x.size", "y.size") - 1e-9
-    return x.join(y, on & _close("x", "y")).select(F.col("x.n").alias("a"), F.col("y.n").alias("b")).distinct()
+    # What sets of the similarity have in common, against what is left of both from their first common shingle on.
+    on &= F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place")) >= similarity / (1 + similarity) * (F.col("x.size") + F.col("y.size")) - 1e-6
+    return x.join(y, on & _close("x", "y", similarity)).select(F.col("x.n").alias("a"), F.col("y.n").alias("b")).distinct()
 
 
 def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, max_distance: int = 3, seed: int = 42) -> DataFrame:
     """(id, component_id): near duplicates by `width`-word shingles, with an exact check of the sets.
 
     Candidates are the links of the texts' fingerprints, texts of one fingerprint beside the least of them, and, as texts of
-    the similarity may differ in more bits than an index can bridge, those that share a shingle of their prefixes and differ in
-    FAR of 256 bits at most: first with the least text of each shingle, then all pairs of texts that are not joined yet. A link is a candidate whose shingle sets have a Jaccard coefficient of `similarity` or more. Equal texts are one node.
+    the similarity may differ in more bits than an index can bridge, those that share a shingle of their prefixes, differ in
+    FAR of 256 bits at most and have parities that allow the similarity: first with the least text of each shingle, then all pairs of texts that are not joined yet. A link is a candidate whose shingle sets have a Jaccard coefficient of `similarity` or more. Equal texts are one node.
     """
     with scratch() as keep:
         rows, texts = unique(df, id_col, text_col)
@@ -272,7 +311,7 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
         members = shared_prefixes(texts, width, similarity)
         known = Stored(wide(texts, width, seed)).df
         first = members.where("n <> least").select(F.col("least").alias("a"), F.col("n").alias("b")).distinct().alias("p")
-        plausible = first.join(known.alias("x"), F.col("p.a") == F.col("x.n")).join(known.alias("y"), F.col("p.b") == F.col("y.n")).where(_close("x", "y")).select("p.a", "p.b")
+        plausible = first.join(known.alias("x"), F.col("p.a") == F.col("x.n")).join(known.alias("y"), F.col("p.b") == F.col("y.n")).where(_close("x", "y", similarity)).select("p.a", "p.b")
         roots = Stored(_verified_roots(same.union(near).union(plausible), texts.select("n", "text"), width, similarity)).df
         release(df.sparkSession)
         more = _verified_roots(across(members, roots, known, similarity), texts.select("n", "text"), width, similarity)

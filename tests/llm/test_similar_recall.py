@@ -1,8 +1,10 @@
 """Recall of the near-dedup stage against all pairs' five-word Jaccard coefficients."""
 
 import numpy as np
+import pyarrow as pa
 
-from sparrowmill.llm.simhash import similar
+from sparrowmill.llm.simhash import _shingle_sets, across, parities, shared_prefixes, similar, wide
+from sparrowmill.llm.texts import unique
 
 
 def _shingles(words):
@@ -71,3 +73,31 @@ def test_pairs_of_a_frequent_shingle_are_found(spark):
         got[r.id] = r.component_id
     assert all(_jaccard(_shingles(texts[a].split()), _shingles(texts[b].split())) >= 0.8 for a, b in wanted)
     assert [pair for pair in sorted(wanted) if got[pair[0]] != got[pair[1]]] == []
+
+
+def test_texts_of_one_frequent_passage_are_no_candidates(spark):
+    """Two thirds of each of many texts are one passage: none of their pairs is similar. Those that are go on as candidates."""
+    rng = np.random.default_rng(13)
+    word = lambda n: [f"w{i}" for i in rng.integers(0, 10**7, n)]
+    line = word(100)
+    texts = [line + word(60) for _ in range(150)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(1000 + i, " ".join([*t[:150], *word(2), *t[152:]])) for i, t in enumerate(texts[:20])]
+    _, stored = unique(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    name = {r.n: r.least_id for r in stored.collect()}
+    none = spark.createDataFrame([], "node long, root long")
+    found = across(shared_prefixes(stored, 5, 0.8), none, wide(stored, 5, 42), 0.8)
+    assert {tuple(sorted((name[r.a], name[r.b]))) for r in found.collect()} == {(i, 1000 + i) for i in range(20)}
+
+
+def test_parities_differ_in_no_more_bits_than_sets_in_elements():
+    rng = np.random.default_rng(14)
+    texts = []
+    for _ in range(200):
+        base = rng.integers(0, 10**6, rng.integers(1, 900))
+        other = np.where(rng.random(len(base)) < rng.uniform(0, 0.3), base + 10**6, base)
+        texts += [" ".join(map(str, base)), " ".join(map(str, other))]
+    row, h = _shingle_sets(pa.array([*texts, None]), 5)
+    bits = parities(row, h, len(texts) + 1)
+    sets = [set(h[row == i].tolist()) for i in range(len(texts))]
+    apart = np.array([np.bitwise_count(bits[i] ^ bits[i + 1]).sum() for i in range(0, len(texts), 2)])
+    assert (apart <= [len(sets[i] ^ sets[i + 1]) for i in range(0, len(texts), 2)]).all() and len(set(apart)) > 20 and not bits[-1].any()
