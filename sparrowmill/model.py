@@ -46,11 +46,11 @@ class Model:
 
     @property
     def dim(self) -> int:
-        return self.matrix.shape[1]
+        return self.matrix.dim
 
     @property
     def vocab_size(self) -> int:
-        return len(self.matrix)
+        return self.matrix.size
 
     @property
     def variant(self) -> str:

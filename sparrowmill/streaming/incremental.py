@@ -22,7 +22,7 @@ def tokenized_stream(spark: SparkSession, path: str, schema: str, vocab: DataFra
     from ..operators.embed import token_ids
 
     def write(batch: DataFrame, number: int) -> None:
-        token_ids(batch, vocab, text_col).drop(text_col).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        token_ids(batch, vocab, text_col, keep_text=False).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     drain(spark.readStream.schema(schema).parquet(path), write, checkpoint)
 
