@@ -333,6 +333,18 @@ def counters(df: DataFrame, ids_col: str = "ids", seconds: float | None = None)
 
 
 _tokenizers: dict = {}
+#: Bytes of text of a portion: the library holds some hundred bytes for each of its tokens.
+PORTION = 1 << 20
+
+
+def portions(texts: pa.Array) -> Iterator[pa.Array]:
+    """A batch's texts in order, in portions of PORTION bytes at most; a longer text is one of its own."""
+    ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy().astype(np.int64))
+    at = 0
+    while at < len(ends):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PORTION, side="right")))
+        yield texts.slice(at, end - at)
+        at = end
 
 
 def wordpiece(df: DataFrame, path: str, text_col: str = "text", out: str = "ids") -> DataFrame:
@@ -358,9 +370,10 @@ def wordpiece(df: DataFrame, path: str, text_col: str = "text", out: str = "ids"
         if name not in _tokenizers:
             _tokenizers.clear()
             _tokenizers[name] = Tokenizer.from_str(shared.value)
-        ids = [e.ids for e in _tokenizers[name].encode_batch_fast(["" if t is None else t for t in x.to_pylist()], add_special_tokens=False)]
-        start = np.append(0, np.cumsum([len(i) for i in ids])).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(start), pa.array(np.array([t for i in ids for t in i], np.int32)))
+        ids = [np.zeros(0, np.int32)]
+        for part in portions(x):
+            ids += [np.array(e.ids, np.int32) for e in _tokenizers[name].encode_batch_fast(["" if t is None else t for t in part.to_pylist()], add_special_tokens=False)]
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([len(i) for i in ids]).astype(np.int32)), pa.array(np.concatenate(ids)))
 
     return df.withColumn(out, encode(F.col(text_col).cast("string")))
 

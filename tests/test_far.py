@@ -67,3 +67,21 @@ def test_rows_of_a_cell_are_those_of_its_table(spark):
         cut = quantize.slice_table(w, dim)
         largest = quantize.magnitudes(quantize.over_top(cut) if axis == "hybrid" else cut)
         assert (quantize.fake_rows(m[:, :dim], bits, axis, largest) == want).all()
+
+
+def test_texts_are_encoded_in_portions(spark, monkeypatch):
+    import public_tokenizers as P
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    texts = ["a red fox", None, "", "w" * 50, "x y " * 9, *["blue whale"] * 20]
+    monkeypatch.setattr(embed, "PORTION", 30)
+    parts = list(embed.portions(pa.array(texts)))
+    assert [t for p in parts for t in p.to_pylist()] == texts
+    assert all(len(p) == 1 or sum(len(t or "") for t in p.to_pylist()) <= 30 for p in parts)
+    file = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    big = ["red fox " * 2000] * 300  # 4.8 MB in one batch
+    monkeypatch.undo()
+    got = spark.createDataFrame([(t,) for t in [*texts, *big]], "text string").coalesce(1)
+    got = [r.ids for r in embed.wordpiece(got, P.path("word_bpe_49k.json")).collect()]
+    assert got == [file.encode(t or "", add_special_tokens=False).ids for t in [*texts, *big]]
