@@ -342,11 +342,7 @@ FROM (WITH {_sql_codes(bits, axis)} SELECT abs(x::DOUBLE - (code * scale)::FLOAT
 
 @query(" UNION ALL ".join(_error_sql(b, a) for b, a in ((8, "dim"), (8, "row"), (4, "dim"), (4, "row"), (3, "row"), (2, "row"))))
 def dequant_error(spark, sf):
-    out = None
-    for b, a in ((8, "dim"), (8, "row"), (4, "dim"), (4, "row"), (3, "row"), (2, "row")):
-        one = quantize.error_stats(quantize.fake_quantize(weights(spark, sf), b, a)).select(F.lit(quantize.cell_name(b, a)).alias("variant"), "*")
-        out = one if out is None else out.union(one)
-    return out
+    return quantize.error_table({quantize.cell_name(b, a): quantize.fake_quantize(weights(spark, sf), b, a) for b, a in ((8, "dim"), (8, "row"), (4, "dim"), (4, "row"), (3, "row"), (2, "row"))})
 
 
 @query(f"""WITH e0 AS (SELECT vec_id AS token_id, unnest(embedding)::FLOAT AS own, generate_subscripts(embedding, 1) - 1 AS d FROM embeddings),

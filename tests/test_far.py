@@ -85,3 +85,16 @@ def test_texts_are_encoded_in_portions(spark, monkeypatch):
     got = spark.createDataFrame([(t,) for t in [*texts, *big]], "text string").coalesce(1)
     got = [r.ids for r in embed.wordpiece(got, P.path("word_bpe_49k.json")).collect()]
     assert got == [file.encode(t or "", add_special_tokens=False).ids for t in [*texts, *big]]
+
+
+def test_percentiles_are_selected_by_digits(spark):
+    rng = np.random.default_rng(3)
+    given = {"a": rng.normal(size=3001), "b": np.repeat([0.5, -0.0, 0.25, 3e300], [5, 4, 3, 2]), "c": np.array([7.0]), "d": 1 + rng.integers(0, 9, 800) * 2.0**-52}
+    rows = [(k, v.tolist()) for k, x in given.items() for v in np.array_split(x, 7)] + [("a", None), ("a", [])]
+    x = spark.createDataFrame(rows, "tag string, xs array<double>").repartition(5)
+    shares = (0.0, 0.01, 0.5, 0.99, 1.0)
+    got = quantize.percentiles(x, shares)
+    each = x.select("tag", F.explode("xs").alias("e")).groupBy("tag").agg(F.percentile("e", F.array(*map(F.lit, shares))).alias("p"))
+    assert got == {r.tag: r.p for r in each.collect()} and set(got) == set(given)
+    plans = [quantize.error_stats(x.select(F.col("xs").alias("vec"), F.col("xs").alias("back")))]
+    assert not any("percentile" in p._jdf.queryExecution().toString() for p in plans)
